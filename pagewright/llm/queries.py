@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, line_dedup, secret_scan, token_ids, toxicity
+from . import byte_bpe, html_extract, line_dedup, secret_scan, token_ids, toxicity
 from .common import shared_folder
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -46,12 +46,17 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan(docs, secret_scan.train(docs)))
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_token_files": op2_token_files,
     "op3_byte_bpe": op3_byte_bpe,
     "op6_toxicity": op6_toxicity,
     "op8_secret_scan": op8_secret_scan,
+    "op10_html_extract": op10_html_extract,
 }
 
 ORACLES: dict[str, str] = {
