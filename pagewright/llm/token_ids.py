@@ -21,6 +21,7 @@ import functools
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -38,7 +39,11 @@ EVERY = 256
 #: A shard is closed when it has so many ids; a longer document makes a longer shard.
 SHARD_TOKENS = 1 << 18
 #: Words whose ids a worker remembers.
-MOST_WORDS = 400_000
+MOST_WORDS = 1_000_000
+
+
+#: Marks that are no letters or digits, and the first character after the Latin blocks.
+MARKS, LATIN_END = ".,;:!?%#*$&|()\"-", chr(0x250)
 
 
 class EliasFano:
@@ -151,22 +156,32 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, width: int):
-        self.tokenizer, self.kind = tokenizer(path), f"<u{width}"
+        self.tokenizer, self.kind = tokenizer(path), "H" if width == 2 else "I"
         self.known: dict[str, bytes] = {"": b""}
         probe = "It's A test,\nof\tTHE  two paths: 12 éÉ <|endoftext|>x"
         if self.texts([probe])[0] != self._packed([probe])[0]:
             raise ValueError(f"{path} joins what blanks separate")
 
     def _packed(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    @staticmethod
+    def _parts(word: str) -> tuple[str, str]:
+        """A Latin word in lower case, and the marks after it: the pre-tokenizer parts them, so more words share an entry."""
+        stem = word.rstrip(MARKS)
+        if stem and stem[-1].isalpha() and max(word) < LATIN_END and "\u0130" not in word:
+            return stem.lower(), word[len(stem) :]
+        return word, ""
 
     def texts(self, texts: list[str]) -> list[bytes]:
         split = [text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for text in texts]
         if len(self.known) > MOST_WORDS:
             self.known = {"": b""}
         known = self.known
-        new = [word for word in set().union(*split) if word not in known]
-        known.update(zip(new, self._packed(new), strict=True))
+        new = {word: self._parts(word) for word in set().union(*split) if word not in known}
+        parts = list({part for pair in new.values() for part in pair if part not in known})
+        known.update(zip(parts, self._packed(parts), strict=True))
+        known.update((word, known[stem] + known[marks]) for word, (stem, marks) in new.items())
         return [b"".join([known[word] for word in words]) for words in split]
 
 
