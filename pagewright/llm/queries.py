@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, html_extract, line_dedup, secret_scan, token_ids, toxicity
+from . import byte_bpe, html_extract, jaccard_join, line_dedup, secret_scan, token_ids, toxicity
 from .common import shared_folder
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -41,6 +41,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(table(spark, sf_dir, "documents"), n=3, share=90)
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secret_scan.digests(secret_scan.scan(docs, secret_scan.train(docs)))
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op3_byte_bpe": op3_byte_bpe,
     "op6_toxicity": op6_toxicity,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_secret_scan": op8_secret_scan,
     "op10_html_extract": op10_html_extract,
 }
