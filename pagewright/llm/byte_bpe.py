@@ -8,12 +8,13 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, rows_of, text_of
+from .common import text_of
 
 #: White space as the pattern's \s has it (Unicode's White_Space).
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -46,21 +47,21 @@ def pieces(text: str) -> Iterator[str]:
     yield text[at:]
 
 
-def encode(enc: tiktoken.Encoding, text: str) -> list[int]:
+def encode(enc: tiktoken.Encoding, text: str) -> np.ndarray:
     """Ids of a text, the same as of the whole text at once, in bounded recursion."""
-    if len(text) <= LONG_RUN:
-        return enc.encode_ordinary(text)
-    out: list[int] = []
+    if len(text) <= LONG and not _run.search(text):
+        return enc.encode_to_numpy(text)
+    out = [np.zeros(0, np.uint32)]
     for piece in pieces(text):
         at = 0
         for run in _run.finditer(piece):
             # \s+(?!\S) takes a run but for its last character, which begins the next match; at the end it takes all.
             end = run.end() - (run.end() < len(piece))
-            out += enc.encode_ordinary(piece[at : run.start()])
-            out += enc._encode_single_piece(piece[run.start() : end])
+            out.append(enc.encode_to_numpy(piece[at : run.start()]))
+            out.append(np.array(enc._encode_single_piece(piece[run.start() : end]), np.uint32))
             at = end
-        out += enc.encode_ordinary(piece[at:])
-    return out
+        out.append(enc.encode_to_numpy(piece[at:]))
+    return np.concatenate(out)
 
 
 def decode(enc: tiktoken.Encoding, ids: list[int]) -> bytes:
@@ -68,18 +69,37 @@ def decode(enc: tiktoken.Encoding, ids: list[int]) -> bytes:
     return enc.decode_bytes(ids)
 
 
+def listed(arrays: list[np.ndarray]) -> pa.ListArray:
+    """An Arrow list column of id arrays."""
+    ends = np.cumsum([0, *map(len, arrays)])
+    flat = np.concatenate([np.zeros(0, np.uint32), *arrays])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int32)))
+
+
+def unlisted(column: pa.ListArray) -> list[np.ndarray]:
+    """The id arrays of an Arrow list column; null is no ids."""
+    flat, sizes = column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().fill_null(0).to_numpy()
+    return np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else []
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def encode_documents(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, ids array<int>`` for each row, in whole texts, special tokens taken as text.
 
     Null and empty texts have no ids. Rows stay as they are: null ids and repeated rows are kept, other columns are
     left out whatever their names. An empty table gives an empty table. Nothing is shuffled.
     """
-    schema = pa.schema([("id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(rank_file, pattern)
-        rows = ((key, encode(enc, text_of(raw))) for key, raw in rows_of(batches))
-        return batches_of(rows, schema, weigh=lambda row: 4 * len(row[1]))
+        for part in slices(batches):
+            ids = listed([encode(enc, text_of(raw)) for raw in part.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([part.column(0), ids], ["id", "ids"])
 
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("raw"))
     return given.mapInArrow(run, "id long, ids array<int>").withColumnRenamed("id", id_col)
@@ -87,12 +107,12 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, id_col: str
 
 def decode_ids(encoded: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
     """Add ``decoded binary`` to ``id_col, ids``. Null ids decode as no ids; an id without a rank raises KeyError."""
-    schema = pa.schema([("id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(rank_file, pattern)
-        rows = ((key, ids or [], decode(enc, ids or [])) for key, ids in rows_of(batches))
-        return batches_of(rows, schema, weigh=lambda row: 8 * len(row[1]))
+        for part in slices(batches):
+            decoded = [decode(enc, ids.tolist()) for ids in unlisted(part.column(1))]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(decoded, pa.binary())], ["id", "ids", "decoded"])
 
     given = encoded.select(F.col(id_col).alias("id"), "ids")
     return given.mapInArrow(run, "id long, ids array<int>, decoded binary").withColumnRenamed("id", id_col)
@@ -100,16 +120,18 @@ def decode_ids(encoded: DataFrame, rank_file: str, pattern: str, id_col: str = "
 
 def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``id_col, n_tokens, ids_sha256, decoded_sha256`` of decoded rows."""
-    schema = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string())])
-    schema = schema.append(pa.field("decoded_sha256", pa.string()))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = functools.cache(str)
-        rows = (
-            (key, len(ids), hashlib.sha256(",".join(map(name, ids)).encode()).hexdigest(), hashlib.sha256(raw).hexdigest())
-            for key, ids, raw in rows_of(batches)
-        )
-        return batches_of(rows, schema)
+        names = list(map(str, range(1 << 16)))
+        for part in slices(batches):
+            arrays = [ids.tolist() for ids in unlisted(part.column(1))]
+            said = [",".join([names[i] if i < len(names) else str(i) for i in ids]) for ids in arrays]
+            columns = (
+                pa.array(list(map(len, arrays)), pa.int64()),
+                pa.array([hashlib.sha256(x.encode()).hexdigest() for x in said]),
+                pa.array([hashlib.sha256(x).hexdigest() for x in part.column(2).to_pylist()]),
+            )
+            yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     given = decoded.select(F.col(id_col).alias("id"), "ids", "decoded")
     out = given.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
