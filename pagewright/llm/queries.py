@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, html_extract, jaccard_join, line_dedup, secret_scan, token_ids, toxicity
+from . import byte_bpe, decontaminate, html_extract, jaccard_join, line_dedup, secret_scan, token_ids, toxicity
 from .common import shared_folder
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -35,6 +35,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.decode_ids(encoded, BYTE_RANKS, public_tokenizers.PATTERN))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_token_files": op2_token_files,
     "op3_byte_bpe": op3_byte_bpe,
+    "op5_decontaminate": op5_decontaminate,
     "op6_toxicity": op6_toxicity,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_secret_scan": op8_secret_scan,
