@@ -146,18 +146,26 @@ def distinct_voters(fixed: list[str], mined: list[str], rows: list[set[str]]) ->
 
 def fit(rows: Iterable[tuple[str, int]]) -> Model:
     """A model of labelled texts. With fewer than two toxic rows it is of the fixed words and patterns alone."""
-    found = [(features(text), int(label)) for text, label in rows]
-    toxic = sum(label for _, label in found)
+    rows = [(text, int(label)) for text, label in rows]
+    toxic = sum(label for _, label in rows)
     fixed = [word + "$" for word in INSULTS] + list(PATTERNS)
-    if toxic < 2 or toxic == len(found):
+    if toxic < 2 or toxic == len(rows):
         return Model(weights={word + "$": 3.0 for word in INSULTS}, patterns=dict.fromkeys(PATTERNS, 3.0))
-    on = Counter(name for row, label in found if label for name in row)
-    of = Counter(name for row, _ in found for name in row if on[name] >= LEAST_ROWS)
-    mined = [name for name, n in on.items() if n >= LEAST_ROWS and n >= LEAST_SHARE * of[name]]
+    on = Counter()
+    for text, label in rows:
+        if label:
+            on.update(features(text).keys())
+    wanted = {name for name, n in on.items() if n >= LEAST_ROWS} | set(fixed)
+    found = []  # of each row only the features that may be voters: all of them would fill the driver
+    for text, label in rows:
+        row = features(text)
+        found.append(({name: row[name] for name in wanted & row.keys()}, label))
+    of = Counter(name for row, _ in found for name in row)
+    mined = [name for name in wanted if on[name] >= LEAST_ROWS and on[name] >= LEAST_SHARE * of[name]]
     names = distinct_voters(fixed, mined, [set(row) for row, _ in found])
     votes = np.array([[name in row for name in names] for row, _ in found], float)
     q, rates = label_model(votes, np.array([label for _, label in found]))
-    counts = np.array([[min(row[name], 3) for name in names] for row, _ in found], float)
+    counts = np.array([[min(row.get(name, 0), 3) for name in names] for row, _ in found], float)
     weights, bias = linear(counts, q)
     told = dict(zip(names, weights.tolist(), strict=True))
     for name in fixed:  # words that the sample doesn't hold keep a prior weight
