@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 #: White space as the pattern's \s has it (Unicode's White_Space).
-SPACE = "\t-\r \x85\xa0  -     　"
+SPACE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, 0x2000))) + "-" + "".join(map(chr, (0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Texts longer than this are split before encoding.
 LONG = 16_384
 #: Runs of white space longer than this are encoded without the pattern, which recurses over them.
@@ -118,21 +118,22 @@ def decode_ids(encoded: DataFrame, rank_file: str, pattern: str, id_col: str = "
     return given.mapInArrow(run, "id long, ids array<int>, decoded binary").withColumnRenamed("id", id_col)
 
 
-def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``id_col, n_tokens, ids_sha256, decoded_sha256`` of decoded rows."""
+def digests(decoded: DataFrame, id_col: str = "doc_id", keep_ids: bool = False) -> DataFrame:
+    """``id_col, n_tokens, ids_sha256, decoded_sha256`` of decoded rows, with ``ids`` if asked."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = list(map(str, range(1 << 16)))
         for part in slices(batches):
             arrays = [ids.tolist() for ids in unlisted(part.column(1))]
             said = [",".join([names[i] if i < len(names) else str(i) for i in ids]) for ids in arrays]
-            columns = (
+            columns = [
                 pa.array(list(map(len, arrays)), pa.int64()),
                 pa.array([hashlib.sha256(x.encode()).hexdigest() for x in said]),
                 pa.array([hashlib.sha256(x).hexdigest() for x in part.column(2).to_pylist()]),
-            )
-            yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            ]
+            shown = [part.column(1)] if keep_ids else []
+            yield pa.RecordBatch.from_arrays([part.column(0), *columns, *shown], ["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + keep_ids])
 
     given = decoded.select(F.col(id_col).alias("id"), "ids", "decoded")
-    out = given.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    return out.withColumnRenamed("id", id_col)
+    kind = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
+    return given.mapInArrow(run, kind).withColumnRenamed("id", id_col)
