@@ -3,6 +3,9 @@
 A shingle sets one bit of a sketch by exclusive or, so two sketches differ in no more bits than the sets have elements
 of their own. Two sets at the threshold differ in at most d elements, for a size band a known number; of d + 1 pieces of
 their sketches one is equal. Joining equal pieces of a band therefore finds every link; sets of shingles decide.
+
+Pieces without a set bit are equal in many documents. With d + 1 + z pieces, z + 1 are equal: a document leaves out its
+empty pieces when it has z or fewer, since then a link has another piece, and gives them all when it has more.
 """
 
 from __future__ import annotations
@@ -22,8 +25,10 @@ from .graph import components
 #: Sizes of one band differ by this factor at most.
 BAND = 1.25
 _edges = sorted({int(BAND**k) for k in range(200)})
-#: Bits of the sketch that pairs in one bucket are compared by, and members of a block there.
-MINI_BITS, BLOCK = 2048, 256
+#: The binary logarithm of the bits of a piece.
+PIECE_BITS = 20
+#: Bits of the sketch that pairs in one bucket are compared by, least and most, and members of a block there.
+MINI_BITS, BLOCK = (256, 8192), 256
 
 
 @cache
@@ -32,10 +37,15 @@ def band_of(size: int) -> int:
 
 
 @cache
-def pieces_of(band: int, share: int) -> int:
-    """One more than the elements that a linked pair, the smaller in the band, can differ in; share is the threshold in hundredths."""
+def pieces_of(band: int, share: int) -> tuple[int, int]:
+    """Pieces of a band's sketches, and how many empty ones a document leaves out; share is the threshold in hundredths.
+
+    A linked pair, the smaller in the band, differs in so many elements at most that one more piece than those and the
+    empty ones left out must be equal.
+    """
     size = _edges[band + 1] - 1
-    return (size + size * 100 // share) * (100 - share) // (100 + share) + 1
+    pieces = (size + size * 100 // share) * (100 - share) // (100 + share) + 1
+    return pieces + pieces // 16, pieces // 16
 
 
 @cache
@@ -55,22 +65,50 @@ def shingle_set(raw: bytes | None, n: int) -> np.ndarray:
 
 
 def sketch(hashes: np.ndarray, pieces: int) -> np.ndarray:
-    """Parity of the bits that the shingles of each piece set; sorted hashes are grouped by piece."""
+    """A hash of the parities in each piece of 2^PIECE_BITS bits, 0 where none is odd; sorted hashes are grouped by piece.
+
+    Exclusive or of a value for each bit takes a bit set twice out again, as its parity does, so the piece itself is
+    never laid out. Equal pieces have equal hashes; wide pieces keep single shingles of strangers apart.
+    """
     out = np.zeros(pieces, np.uint64)
     at = ((hashes >> np.uint64(32)) * np.uint64(pieces)) >> np.uint64(32)
     starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    out[at[starts]] = np.bitwise_xor.reduceat(np.uint64(1) << (hashes & np.uint64(63)), starts)
+    out[at[starts]] = np.bitwise_xor.reduceat(mixed((hashes & np.uint64((1 << PIECE_BITS) - 1)) + np.uint64(1)), starts)
     return out
 
 
+def given_pieces(hashes: np.ndarray, band: int, share: int) -> list[tuple[int, int]]:
+    """``at, piece`` of the pieces that a document is joined by in a band."""
+    count, spare = pieces_of(band, share)
+    found = sketch(hashes, count)
+    at = np.flatnonzero(found)
+    if count - len(at) > spare:
+        at = np.arange(count)
+    return list(zip(at.tolist(), found[at].view(np.int64).tolist(), strict=True))
+
+
 def mini_sketch(hashes: np.ndarray) -> bytes:
-    bits = np.bincount(((hashes >> np.uint64(8)) & np.uint64(MINI_BITS - 1)).astype(np.int64), minlength=MINI_BITS) & 1
+    """Parities of about a bit for each shingle; halves added by exclusive or are the sketch of half the bits."""
+    size = min(max(MINI_BITS[0], 1 << (len(hashes) - 1).bit_length()), MINI_BITS[1])
+    bits = np.bincount(((hashes >> np.uint64(8)) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def folded(minis: list[bytes]) -> np.ndarray:
+    """Sketches of one length: the shortest's."""
+    size, out = min(map(len, minis)), []
+    for mini in minis:
+        row = np.frombuffer(mini, np.uint64)
+        while 8 * len(row) > size:
+            row = row[: len(row) // 2] ^ row[len(row) // 2 :]
+        out.append(row)
+    return np.stack(out)
+
+
 def sketched(docs: DataFrame, n: int, share: int, id_col: str, text_col: str) -> DataFrame:
-    """``id, n, h1, h2, mini, sketches`` of each row: set size, 128 bits of the set, and its pieces in each band."""
-    pieces = pa.list_(pa.struct([("band", pa.int32()), ("pieces", pa.list_(pa.int64()))]))
+    """``id, n, h1, h2, mini, sketches`` of each row: set size, 128 bits of the set, and what it is joined by in each band."""
+    piece = pa.struct([("at", pa.int32()), ("piece", pa.int64())])
+    pieces = pa.list_(pa.struct([("band", pa.int32()), ("pieces", pa.list_(piece))]))
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("mini", pa.binary()), ("sketches", pieces)])
 
     def row(key: int | None, raw: bytes | None) -> tuple:
@@ -79,14 +117,14 @@ def sketched(docs: DataFrame, n: int, share: int, id_col: str, text_col: str) ->
             return key, 0, 0, 0, b"", []
         h1 = np.add.reduce(mixed(found)).view(np.int64)
         h2 = np.bitwise_xor.reduce(mixed(found + np.uint64(0x5851F42D4C957F2D))).view(np.int64)
-        parts = [{"band": k, "pieces": sketch(found, pieces_of(k, share)).view(np.int64)} for k in bands_of(len(found), share)]
+        parts = [{"band": k, "pieces": [{"at": at, "piece": x} for at, x in given_pieces(found, k, share)]} for k in bands_of(len(found), share)]
         return key, len(found), int(h1), int(h2), mini_sketch(found), parts
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batches_of((row(*x) for x in rows_of(batches)), schema, weigh=lambda r: 256 + 2 * r[1])
 
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("raw"))
-    kind = "id long, n long, h1 long, h2 long, mini binary, sketches array<struct<band int, pieces array<long>>>"
+    kind = "id long, n long, h1 long, h2 long, mini binary, sketches array<struct<band int, pieces array<struct<at int, piece long>>>>"
     return given.mapInArrow(run, kind)
 
 
@@ -138,7 +176,7 @@ def close_pairs(members: DataFrame, share: int) -> DataFrame:
     def pairs(group: list[tuple]) -> Iterator[tuple]:
         i, j = group[0][1:3]
         ids, comps, sizes = (np.array([r[k] for r in group], np.int64) for k in (4, 5, 6))
-        bits = np.frombuffer(b"".join(r[7] for r in group), np.uint64).reshape(len(group), -1)
+        bits = folded([r[7] for r in group])
         side = np.array([r[3] for r in group])
         for at in range(len(group)):
             if i != j and side[at] != i:
@@ -182,20 +220,22 @@ def link(docs: DataFrame, n: int = 3, share: int = 90, id_col: str = "doc_id", t
     result and one text stands for them in comparisons. Null ids keep a null
     component and link with nothing. Other columns are left out; an empty table gives an empty one.
 
-    Equal sets are one class, held by its smallest id. In each bucket of equal pieces, classes are compared with the
-    smallest and the largest of it, which is linear; what these links leave in different components is compared by
-    sketches in blocks, so no link between components is lost and the pairs of a component are not gone through.
+    Equal sets are one class, held by its smallest id. In each bucket of equal pieces, classes that share more than one
+    with the smallest or the largest of it are compared with that, which is linear; all that these links leave in
+    different components is compared by sketches in blocks, so no link between components is lost and the pairs of a
+    component are not gone through.
     """
     table = written(sketched(docs, n, share, id_col, text_col), "sketches")
     full = table.filter("n > 0 AND id IS NOT NULL")
     classes = written(full.groupBy("n", "h1", "h2").agg(F.min("id").alias("id")), "classes")
     reps = full.join(classes, ["n", "h1", "h2", "id"], "left_semi")
-    banded = reps.select("id", F.explode("sketches").alias("s")).select("id", "s.band", F.posexplode("s.pieces").alias("at", "piece"))
-    keys = banded.select(F.xxhash64("band", "at", "piece").alias("key"), "id")
+    banded = reps.select("id", F.explode("sketches").alias("s")).select("id", "s.band", F.size("s.pieces").alias("pieces"), F.explode("s.pieces").alias("p"))
+    keys = banded.select(F.xxhash64("band", "p.at", "p.piece").alias("key"), "id", "pieces")
     buckets = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high")
     members = written(keys.join(buckets, "key"), "members")
-    ends = members.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("id").alias("b")), F.struct(F.col("id").alias("a"), F.col("high").alias("b")))).alias("p"))
-    stars = written(ends.select("p.a", "p.b").filter("a <> b").distinct(), "stars")
+    ends = members.select("pieces", F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("id").alias("b")), F.struct(F.col("id").alias("a"), F.col("high").alias("b")))).alias("p"))
+    ends = ends.select("p.a", "p.b", "pieces").filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"), F.min("pieces").alias("pieces"))
+    stars = written(ends.filter("n > 1 OR pieces < 4").select("a", "b"), "stars")
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("raw"))
     texts = written(only(given, members.select("id").distinct()).groupBy("id").agg(F.max("raw").alias("raw")), "texts")
     edges = written(verified(stars, texts, n, share), "links")
