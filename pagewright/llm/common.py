@@ -81,7 +81,7 @@ def batches_of(rows: Iterable[tuple], schema: pa.Schema, weigh=None, most: int =
 class WordHashes(dict):
     """Word (bytes) to its 64-bit hash, remembered for up to ``most`` words."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 250_000):
         super().__init__()
         self.most = most
 

@@ -30,7 +30,7 @@ PATTERNS = {
 }
 WORD = re.compile(r"\w+")
 #: Labelled rows that fitting collects, at most; those with the smallest hashes of their ids.
-MOST_FIT = 6000
+MOST_FIT = 4000
 #: Beginnings of words that may be voters: inflected and compound forms share them.
 BEGINNINGS = range(4, 9)
 #: A mined voter fires on so many toxic rows at least, and its rows are toxic in such a share.
@@ -57,7 +57,7 @@ class Model:
 class Weights(dict):
     """Word to the sum of its weights, remembered for some of the words."""
 
-    def __init__(self, model: Model, most: int = 1_000_000):
+    def __init__(self, model: Model, most: int = 250_000):
         super().__init__()
         self.model, self.most = model, most
 
