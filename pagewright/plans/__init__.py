@@ -5,16 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import catalog, repetition
+from . import registry
+from . import text_queries as _text  # noqa: F401  registers its queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The smoke query."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
+    """Repeated lines of documents with their labels and sizes, the most repeated first."""
+    docs = registry.table(spark, sf_dir, "documents")
+    lines = repetition.repeated_lines(docs.withColumn("text", T.compact(F.col("text"))), "doc_id", F.col("text"))
+    found = lines.join(docs.select("doc_id", "source", "n_chars"), "doc_id")
+    labelled = catalog.hydrate(found, registry.table(spark, sf_dir, "labels"), "doc_id", {"quality": -1, "toxic": -1})
+    return labelled.orderBy(F.desc("n"), "doc_id", "line")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return registry.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return registry.ORACLES
