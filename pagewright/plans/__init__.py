@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import catalog, repetition
-from . import registry
-from . import text_queries as _text  # noqa: F401  registers its queries
+from . import block_queries, catalog_queries, registry, stream_queries, text_queries  # noqa: F401  registers their queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
