@@ -15,10 +15,9 @@ STRIP = r"regexp_replace(regexp_replace({x}, '^\s+', ''), '\s+$', '')"
 NEWLINES = "replace(replace({x}, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
 COMPACT = STRIP.format(x=r"regexp_replace(regexp_replace(" + NEWLINES + r", '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')")
 ANCHOR = "array_to_string(regexp_extract_all(lower({x}), '[a-z0-9]+'), ' ')"
-MATCH = (
-    r"lower(" + STRIP.format(x=r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '\$+', ' ', 'g'), '\\[a-zA-Z]+', ' ', 'g'), "
-    r"'[{{}}^_`~|()\[\]<>#*_.,:;''""!?，。；：！？、]', ' ', 'g'), '\s+', ' ', 'g')") + ")"
-)
+_PUNCTUATION = """[{{}}^_`~|()\\[\\]<>#*_.,:;''"!?，。；：！？、]"""
+_BARE = r"regexp_replace(regexp_replace({x}, '\$+', ' ', 'g'), '\\[a-zA-Z]+', ' ', 'g')"
+MATCH = "lower(" + STRIP.format(x=rf"regexp_replace(regexp_replace({_BARE}, '{_PUNCTUATION}', ' ', 'g'), '\s+', ' ', 'g')") + ")"
 
 
 @query("compact_text", f"SELECT doc_id, {COMPACT.format(x='text')} AS text FROM documents")

@@ -2,6 +2,7 @@
 
 import decimal
 import math
+import os
 
 import duckdb
 import pytest
@@ -9,7 +10,7 @@ import pytest
 from pagewright import plans
 from pagewright.plans import registry
 
-FOLDER = "/root/testdata/sf0.001"
+FOLDER = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
