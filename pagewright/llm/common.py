@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows that leave Python go in batches of about so many bytes.
 BATCH_BYTES = 8 << 20
@@ -42,6 +43,23 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches to Python of a few MB, so that a worker's memory doesn't follow the length of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def among(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Rows whose column may be in keys: all of those, and few others while keys are fewer than some ten millions.
+
+    A Bloom filter of 2^20 words of 64 bits, whatever the number of keys, is broadcast; joins that follow shuffle what is
+    left.
+    """
+    word, bit = F.pmod(F.xxhash64(column), F.lit(1 << 20)), F.expr(f"shiftleft(1L, pmod(hash({column}), 64))")
+    bloom = keys.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    near = rows.withColumn("_word", word).join(F.broadcast(bloom), "_word").filter(F.col("_bits").bitwiseAND(bit) != 0)
+    return near.drop("_word", "_bits")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

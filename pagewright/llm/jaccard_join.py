@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batches_of, mixed, partitions, rows_of, shingle_hashes, written
+from .common import WordHashes, among, batches_of, dropped, mixed, partitions, rows_of, shingle_hashes, written
 from .graph import components
 
 #: Sizes of one band differ by this factor at most.
-BAND = 1.25
+BAND = 1.6
 _edges = sorted({int(BAND**k) for k in range(200)})
 #: The binary logarithm of the bits of a piece.
 PIECE_BITS = 20
@@ -77,14 +77,14 @@ def sketch(hashes: np.ndarray, pieces: int) -> np.ndarray:
     return out
 
 
-def given_pieces(hashes: np.ndarray, band: int, share: int) -> list[tuple[int, int]]:
-    """``at, piece`` of the pieces that a document is joined by in a band."""
+def given_keys(hashes: np.ndarray, band: int, share: int) -> np.ndarray:
+    """Hashes of band, place and piece of the pieces that a document is joined by in a band."""
     count, spare = pieces_of(band, share)
     found = sketch(hashes, count)
     at = np.flatnonzero(found)
     if count - len(at) > spare:
         at = np.arange(count)
-    return list(zip(at.tolist(), found[at].view(np.int64).tolist(), strict=True))
+    return mixed(found[at] ^ mixed(at.astype(np.uint64) + (np.uint64(band + 1) << np.uint64(32)))).view(np.int64)
 
 
 def mini_sketch(hashes: np.ndarray) -> bytes:
@@ -106,10 +106,9 @@ def folded(minis: list[bytes]) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, n: int, share: int, id_col: str, text_col: str) -> DataFrame:
-    """``id, n, h1, h2, mini, sketches`` of each row: set size, 128 bits of the set, and what it is joined by in each band."""
-    piece = pa.struct([("at", pa.int32()), ("piece", pa.int64())])
-    pieces = pa.list_(pa.struct([("band", pa.int32()), ("pieces", pa.list_(piece))]))
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("mini", pa.binary()), ("sketches", pieces)])
+    """``id, n, h1, h2, mini, keys`` of each row: set size, 128 bits of the set, and what it is joined by in each band."""
+    pieces = pa.list_(pa.list_(pa.int64()))
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("mini", pa.binary()), ("keys", pieces)])
 
     def row(key: int | None, raw: bytes | None) -> tuple:
         found = shingle_set(raw, n)
@@ -117,25 +116,17 @@ def sketched(docs: DataFrame, n: int, share: int, id_col: str, text_col: str) ->
             return key, 0, 0, 0, b"", []
         h1 = np.add.reduce(mixed(found)).view(np.int64)
         h2 = np.bitwise_xor.reduce(mixed(found + np.uint64(0x5851F42D4C957F2D))).view(np.int64)
-        parts = [{"band": k, "pieces": [{"at": at, "piece": x} for at, x in given_pieces(found, k, share)]} for k in bands_of(len(found), share)]
+        parts = [given_keys(found, k, share) for k in bands_of(len(found), share)]
         return key, len(found), int(h1), int(h2), mini_sketch(found), parts
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batches_of((row(*x) for x in rows_of(batches)), schema, weigh=lambda r: 256 + 2 * r[1])
 
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("raw"))
-    kind = "id long, n long, h1 long, h2 long, mini binary, sketches array<struct<band int, pieces array<struct<at int, piece long>>>>"
+    kind = "id long, n long, h1 long, h2 long, mini binary, keys array<array<long>>"
     return given.mapInArrow(run, kind)
 
 
-def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs (``id, ...``) whose id is in ids; a Bloom filter of 2^20 words, broadcast, goes before the join."""
-    word, bit = F.pmod(F.xxhash64("id"), F.lit(1 << 20)), F.expr("shiftleft(1L, pmod(hash(id), 64))")
-    bloom = ids.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    near = docs.withColumn("word", word).join(F.broadcast(bloom), "word").filter(F.col("bits").bitwiseAND(bit) != 0)
-    return near.drop("word", "bits").join(ids, "id", "left_semi")
-
-
 def verified(pairs: DataFrame, texts: DataFrame, n: int, share: int) -> DataFrame:
     """The pairs ``a, b`` whose sets have the share; the texts of b come to those of a."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -229,25 +220,29 @@ def link(docs: DataFrame, n: int = 3, share: int = 90, id_col: str = "doc_id", t
     full = table.filter("n > 0 AND id IS NOT NULL")
     classes = written(full.groupBy("n", "h1", "h2").agg(F.min("id").alias("id")), "classes")
     reps = full.join(classes, ["n", "h1", "h2", "id"], "left_semi")
-    banded = reps.select("id", F.explode("sketches").alias("s")).select("id", "s.band", F.size("s.pieces").alias("pieces"), F.explode("s.pieces").alias("p"))
-    keys = banded.select(F.xxhash64("band", "p.at", "p.piece").alias("key"), "id", "pieces")
+    keys = written(reps.select("id", F.explode("keys").alias("k")).select("id", F.size("k").alias("pieces"), F.explode("k").alias("key")), "keys")
+    small = written(table.drop("keys"), "sizes")
+    dropped(table)
     buckets = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high")
-    members = written(keys.join(buckets, "key"), "members")
+    buckets = written(buckets, "buckets")
+    members = written(among(keys, buckets, "key").join(buckets, "key"), "members")
+    dropped(keys)
     ends = members.select("pieces", F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("id").alias("b")), F.struct(F.col("id").alias("a"), F.col("high").alias("b")))).alias("p"))
     ends = ends.select("p.a", "p.b", "pieces").filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"), F.min("pieces").alias("pieces"))
     stars = written(ends.filter("n > 1 OR pieces < 4").select("a", "b"), "stars")
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("raw"))
-    texts = written(only(given, members.select("id").distinct()).groupBy("id").agg(F.max("raw").alias("raw")), "texts")
+    linked = members.select("id").distinct()
+    near = among(given, linked, "id").join(linked, "id", "left_semi")
+    texts = written(near.groupBy("id").agg(F.max("raw").alias("raw")), "texts")
     edges = written(verified(stars, texts, n, share), "links")
     comps = written(components(edges), "components")
     labelled = members.select("key", "size", "id").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     mixed_keys = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
-    rest = labelled.join(mixed_keys, "key", "left_semi").join(reps.select("id", "n", "mini"), "id")
+    rest = labelled.join(mixed_keys, "key", "left_semi").join(small.select("id", "n", "mini").dropDuplicates(["id"]), "id")
     more = close_pairs(rest, share).join(stars, ["a", "b"], "left_anti")
     found = written(verified(more, texts, n, share), "links")
     comps = written(components(edges.unionByName(found)), "components")
     named = classes.join(comps, "id", "left").select("n", "h1", "h2", F.coalesce("comp", "id").alias("component_id"))
-    small = table.select("id", "n", "h1", "h2")
-    out = small.join(named, ["n", "h1", "h2"], "left")
+    out = small.select("id", "n", "h1", "h2").join(named, ["n", "h1", "h2"], "left")
     comp = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"))

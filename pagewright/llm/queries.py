@@ -9,13 +9,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import byte_bpe, cover_tree, decontaminate, html_extract, jaccard_join, line_dedup, secret_scan, substring_dedup, token_ids, toxicity
-from .common import shared_folder
+from .common import shared_folder, small_batches
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
