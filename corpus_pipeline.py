@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm import byte_bpe, decontaminate, jaccard_join, line_dedup, toxicity
-from pagewright.llm.common import written
+from pagewright.llm.common import small_batches, written
 
 #: The columns of documents, which all stages but the last return.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -22,6 +22,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts to be toxic go; it is fitted on labelled rows that aren't held out."""
+    small_batches(spark)
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
     return toxicity.score(docs.select(COLUMNS), model).filter("predicted = 0").select(COLUMNS)
 
@@ -34,6 +35,7 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links reach, the one with the smallest id stays; documents without words and without ids all stay."""
+    small_batches(spark)
     linked = written(jaccard_join.link(docs, SHINGLE, SHARE), "linked")
     gone = linked.filter("component_id <> doc_id").select(F.col("doc_id").alias("gone"))
     return docs.join(gone, docs.doc_id == gone.gone, "left_anti").select(COLUMNS)
@@ -41,11 +43,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, question and answer, go."""
+    small_batches(spark)
     return decontaminate.clean(docs, _table(spark, sf_dir, "benchmark")).select(COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids, ids_sha256, decoded_sha256`` of each document, the last two of the ids and of their decoded bytes."""
+    small_batches(spark)
     encoded = byte_bpe.encode_documents(docs, RANKS, public_tokenizers.PATTERN)
     decoded = byte_bpe.decode_ids(encoded, RANKS, public_tokenizers.PATTERN)
     return byte_bpe.digests(decoded, keep_ids=True)
