@@ -208,3 +208,58 @@ def coordinate_bounds(parser: Column, box: Column, width: Column, height: Column
 def clamped_page(page: Column, start: Column, count: Column) -> Column:
     """A page within a batch of pages from start."""
     return F.least(F.greatest(page, start), start + F.greatest(count, F.lit(1)) - 1)
+
+
+def needs_compaction(version: Column, *heavy: Column) -> Column:
+    """Whether a stored task is of an old version or still holds heavy fields."""
+    held = F.lit(False)
+    for column in heavy:
+        held = held | column.isNotNull()
+    return (F.coalesce(version, F.lit(0)) < 2) | held
+
+
+def benchmark_record(model: Column, name: Column, kind: Column, size: Column, pages: Column, backend: Column) -> Column:
+    """What a run is recorded with; zero sizes and counts are unknown."""
+    return F.struct(
+        F.nullif(model, F.lit("")).alias("modelId"), F.nullif(name, F.lit("")).alias("name"), kind.alias("kind"),
+        F.nullif(size, F.lit(0)).alias("sizeBytes"), F.nullif(pages, F.lit(0)).alias("pageCount"), F.nullif(backend, F.lit("")).alias("backend"),
+    )
+
+
+def block_record(label: Column, content: Column, box: Column, order: Column) -> Column:
+    return F.struct(F.coalesce(label, F.lit("text")).alias("block_label"), F.coalesce(content, F.lit("")).alias("block_content"), box.alias("block_bbox"), order.alias("block_order"))
+
+
+def uses_parser(model: Column, parsers: Column, name: str) -> Column:
+    """Whether a task or any of its pages is of a parser."""
+    return (F.lower(F.coalesce(model, F.lit(""))) == name) | F.coalesce(F.exists(parsers, lambda p: F.lower(p) == name), F.lit(False))
+
+
+def history_locked(processing: Column, switching: Column, active: Column) -> Column:
+    return F.coalesce(processing, F.lit(False)) | F.coalesce(switching, F.lit(False)) | (F.coalesce(active, F.lit(0)) > 0)
+
+
+def copied_text(view: Column, record: Column, markdown: Column) -> Column:
+    """What a copy takes: the record in JSON in that view, else the Markdown."""
+    return F.when(view == "json", F.to_json(record)).otherwise(F.coalesce(markdown, F.lit("")))
+
+
+def cache_key(*parts: Column) -> Column:
+    return F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+
+
+def zipped_pages(texts: Column, images: Column) -> Column:
+    """Pages from parallel lists, as many as the shorter has."""
+    count = F.least(F.size(texts), F.size(images))
+    return F.slice(F.arrays_zip(texts.alias("text"), images.alias("images")), F.lit(1), count)
+
+
+def percent_box(box: Column, width: Column, height: Column) -> Column:
+    """A box as left, top, width and height in hundredths of its page."""
+    at = lambda i: F.get(box, F.lit(i))
+    return F.array(at(0) / width * 100, at(1) / height * 100, (at(2) - at(0)) / width * 100, (at(3) - at(1)) / height * 100)
+
+
+def polygon_bounds(xs: Column, width: Column) -> Column:
+    """A page's width, or where a box goes beyond it, that."""
+    return F.greatest(width, F.array_max(xs))

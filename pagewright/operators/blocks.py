@@ -128,3 +128,49 @@ def layout_output(lines: DataFrame, key: str) -> DataFrame:
     kept = lines.withColumn("s", T.strip(F.col("line"))).withColumn("_seen", seen).filter((F.col("_seen") == 1) & ~noise)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("ord", "s"))), lambda e: e["s"])
     return kept.groupBy(key).agg(F.array_join(ordered, "\n").alias("text"))
+
+
+def anchored_pages(blocks: DataFrame, pages: DataFrame, key: str) -> DataFrame:
+    """``key, ord, page, confidence``: pages of blocks by their words in the pages' texts, else by resets of position.
+
+    ``blocks``: ``key, ord, label, text, box``; ``pages``: ``key, page, text``. Where a search begins depends on the page
+    before, so a document's rows go through Python together; documents are independent. Visual blocks then take the page
+    of an anchored caption behind them.
+    """
+    import pandas as pd
+
+    def run(own: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+        said = [f" {t} " for t in texts.sort_values("page")["text"].fillna("")]
+        last, top, page, out = max(1, len(said)) - 1, None, 0, []
+        for row in own.sort_values("ord").itertuples():
+            words, y = (row.words or "").split(), None if row.top is None or pd.isna(row.top) else row.top
+            found = anchor(words, said, page)
+            if found is not None:
+                page, confidence = found, "text"
+                top = top if y is None else y
+            else:
+                if y is not None:
+                    page += top is not None and y + 80 < top and page < last
+                    top = y
+                confidence = "heuristic" if last else "single-page"
+            out.append((getattr(row, key), row.ord, row.label, page, confidence))
+        return pd.DataFrame(out, columns=[key, "ord", "label", "page", "confidence"])
+
+    left = blocks.select(key, "ord", "label", T.anchor_words(F.coalesce("text", F.lit(""))).alias("words"), F.get("box", F.lit(1)).alias("top"))
+    right = pages.select(key, "page", T.anchor_words(F.coalesce("text", F.lit(""))).alias("text"))
+    kind = f"{key} long, ord long, label string, page int, confidence string"
+    placed = left.groupBy(key).cogroup(right.groupBy(key)).applyInPandas(run, kind)
+    return backfill_pages(placed, key)
+
+
+def anchor(words: list[str], pages: list[str], current: int, sizes: tuple[int, ...] = (18, 12, 8, 5)) -> int | None:
+    """The page that alone holds the first words, the longest stretch first; of several the first from the current one on."""
+    if len(words) < 4:
+        return None
+    stretches = [words[:n] for n in sizes if len(words) >= n] or [words[:6]]
+    for stretch in stretches:
+        text = " ".join(stretch)
+        held = [i for i, page in enumerate(pages) if text in page] if len(text) >= 16 else []
+        if held:
+            return held[0] if len(held) == 1 else next((i for i in held if i >= current), held[0])
+    return None

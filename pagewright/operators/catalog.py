@@ -148,3 +148,51 @@ def join_continuations(rows: DataFrame, key: str, order: str, text: str) -> Data
     mark = F.when(before.isNull(), "").when(open_end & F.col("_part").rlike("^[a-z]"), " ").otherwise("\n\n")
     marked = parts.select(key, order, F.concat(mark, F.col("_part")).alias("_part"))
     return marked.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "_part"))), lambda p: p["_part"]), "").alias(text))
+
+
+def model_catalog(ids: DataFrame, definitions: DataFrame, runtime: DataFrame) -> DataFrame:
+    """Models in the catalog's order that are defined and configured. ``ids``: ``ord, id``; short lists."""
+    return ids.join(F.broadcast(definitions), "id").join(F.broadcast(runtime), "id").orderBy("ord")
+
+
+def with_labels(rows: DataFrame, label: str, names: list[DataFrame]) -> DataFrame:
+    """``shown``: a label's name from the first dictionary (``label, name``; short lists) that has it, else the label."""
+    out = rows
+    for i, dictionary in enumerate(names):
+        out = out.join(F.broadcast(dictionary.select(F.col("label").alias(label), F.col("name").alias(f"_n{i}"))), label, "left")
+    return out.withColumn("shown", F.coalesce(*[f"_n{i}" for i in range(len(names))], label)).drop(*[f"_n{i}" for i in range(len(names))])
+
+
+def lease_models(leases: DataFrame, pool: str) -> DataFrame:
+    """``pool, models, leases, mixed``: how many leases of how many models a pool holds."""
+    out = leases.groupBy(pool).agg(F.countDistinct("model").alias("models"), F.count("*").alias("leases"))
+    return out.withColumn("mixed", F.col("models") > 1)
+
+
+def chosen_device(devices: DataFrame, identity: str | None, index: int | None) -> DataFrame:
+    """One device: by its id, else by its index, else the only one; an error if that leaves none. A short list."""
+    rank = F.when(F.col("device_id") == F.lit(identity), 1).when(F.col("index") == F.lit(index), 2).otherwise(3)
+    ranked = devices.select("*", rank.alias("_rank"), F.count("*").over(Window.partitionBy(F.lit(1))).alias("_all"))
+    fits = ranked.filter((F.col("_rank") < 3) | ((F.col("_all") == 1) & F.lit(identity is None and index is None)))
+    best = fits.orderBy("_rank", "index").limit(1).drop("_rank", "_all")
+    found = devices.agg(F.count("*").alias("_n")).crossJoin(best.agg(F.count("*").alias("_m")))
+    check = found.select(F.when(F.col("_m") == 0, F.raise_error(F.lit("no device fits"))).otherwise(F.lit(True)).alias("_ok"))
+    return best.crossJoin(check).filter("_ok").drop("_ok")
+
+
+def first_available(preferences: DataFrame, available: DataFrame, key: str, order: str) -> DataFrame:
+    """The first preference that is there."""
+    return preferences.join(available.select(key).distinct(), key, "left_semi").agg(F.min_by(key, order).alias(key))
+
+
+def services_of(models: DataFrame, deployments: DataFrame, key: str) -> DataFrame:
+    """``key, ord, service``: services of each model in order. ``deployments``: ``key, services array``."""
+    return models.join(deployments, key).select(key, F.posexplode("services").alias("ord", "service"))
+
+
+def combined_images(pages: DataFrame, key: str, batch: str) -> DataFrame:
+    """``key, images``: image names of pages under their batches' names, all in one map; later ones win."""
+    from ..functions.records import namespaced
+
+    named = pages.select(key, batch, namespaced(F.col("images"), F.col(batch).cast("string")).alias("images"))
+    return merge_maps(named, key, batch, "images", True)

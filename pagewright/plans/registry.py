@@ -55,5 +55,6 @@ class Fixture:
         names, kinds = zip(*(c.strip().rsplit(" ", 1) for c in self.columns.split(",")), strict=True)
         duck = [_DUCK[k[6:-1]] + "[]" if k.startswith("array<") else _DUCK[k] for k in kinds]
         values = ", ".join("(" + ", ".join(map(_literal, row)) + ")" for row in self.rows)
-        casts = ", ".join(f"CAST({n} AS {k}) AS {n}" for n, k in zip(names, duck, strict=True))
-        return f"(SELECT {casts} FROM (VALUES {values}) AS v({', '.join(names)}))"
+        casts = ", ".join(f'CAST("{n}" AS {k}) AS "{n}"' for n, k in zip(names, duck, strict=True))
+        quoted = ", ".join(f'"{n}"' for n in names)
+        return f"(SELECT {casts} FROM (VALUES {values}) AS v({quoted}))"

@@ -151,3 +151,24 @@ class PageBackends:
         return pages.select("doc_id", "page", "text").mapInPandas(call, "doc_id long, page int, raw string, error string")
 
 
+
+
+def export(results: DataFrame, folder: str, stem: str = "stem") -> None:
+    """Markdown, JSON and image files as three tables of named contents, image names checked and kept under their document.
+
+    ``results``: ``stem, markdown, json, images map``. Files of their own names are a matter of the store that takes them.
+    """
+    from ..functions.coerce import from_base64, is_safe_path
+
+    results.select(F.concat(stem, F.lit(".md")).alias("name"), "markdown").write.mode("overwrite").parquet(f"{folder}/markdown")
+    results.select(F.concat(stem, F.lit(".json")).alias("name"), "json").write.mode("overwrite").parquet(f"{folder}/json")
+    images = results.select(stem, F.explode("images").alias("path", "data")).filter(is_safe_path(F.col("path")))
+    images = images.select(F.concat_ws("/", stem, "path").alias("name"), from_base64(F.col("data")).alias("content"))
+    images.filter("content IS NOT NULL").write.mode("overwrite").parquet(f"{folder}/assets")
+
+
+def newest(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """``path, text`` of the newest file of a pattern that isn't blank."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    texts = files.select("path", "modificationTime", F.col("content").cast("string").alias("text"))
+    return texts.filter(F.col("text").rlike(r"\S")).orderBy(F.desc("modificationTime"), "path").limit(1).select("path", "text")

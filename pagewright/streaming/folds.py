@@ -127,3 +127,28 @@ def leases(requests: DataFrame, most: int = 1) -> DataFrame:
         return pd.DataFrame(found, columns=["seq", "lease", "accepted"])
 
     return requests.groupBy("pool").applyInPandas(fold, "seq long, lease string, accepted boolean")
+
+
+def heartbeats(events: DataFrame, idle: float = 20.0) -> DataFrame:
+    """``stream, at``: where a stream was silent for ``idle`` seconds before its first output, once for each such time.
+
+    ``events``: ``stream, at double, has_text``. The batch form of an idle timer: gaps from the start to the first text.
+    """
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("stream").orderBy("at")
+    seen = F.max(F.col("has_text").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    gaps = events.select("stream", F.coalesce(F.lag("at").over(order), F.lit(0.0)).alias("a"), F.col("at").alias("b"), F.coalesce(seen, F.lit(0)).alias("seen")).filter("seen = 0")
+    beats = gaps.withColumn("n", F.floor((F.col("b") - F.col("a")) / idle).cast("int")).filter("n > 0")
+    return beats.select("stream", F.explode(F.transform(F.sequence(F.lit(1), F.col("n")), lambda k: F.col("a") + k * idle)).alias("at"))
+
+
+def guarded(snapshots_: DataFrame, key: str, order: str, text: Column) -> DataFrame:
+    """``key, order``: the first snapshot of a stream that repeats itself or shows a decoder's trace, where a run is stopped."""
+    from ..functions.text import structural_artifact
+    from ..operators.repetition import ngram_runs
+
+    whole = snapshots_.withColumn("_id", F.struct(key, order))
+    looped = ngram_runs(whole, "_id", text).select("_id").distinct().select("_id.*")
+    traced = snapshots_.filter(structural_artifact(text).isNotNull()).select(key, order)
+    return looped.unionByName(traced).groupBy(key).agg(F.min(order).alias(order))

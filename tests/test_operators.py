@@ -201,3 +201,13 @@ def test_split_write(spark, tmp_path):
     files.write_split(tasks, str(tmp_path), ["markdown"])
     assert spark.read.parquet(str(tmp_path / "tasks")).columns == ["id", "name"]
     assert catalog.hydrate(spark.read.parquet(str(tmp_path / "tasks")), spark.read.parquet(str(tmp_path / "results")), "id", {"markdown": ""}).first().markdown == "heavy"
+
+
+def test_export_and_newest(spark, tmp_path):
+    rows = [("a.m", "# md", "{}", {"img/x.png": "aGk=", "../evil": "aGk=", "bad.png": "%%%"})]
+    files.export(spark.createDataFrame(rows, "stem string, markdown string, json string, images map<string,string>"), str(tmp_path / "e"))
+    assert [(r.name, bytes(r.content)) for r in spark.read.parquet(str(tmp_path / "e" / "assets")).collect()] == [("a.m/img/x.png", b"hi")]
+    for n, (name, text) in enumerate((("1.mmd", "old"), ("2.mmd", "new"), ("3.mmd", "  "))):
+        (tmp_path / name).write_text(text)
+        os.utime(tmp_path / name, (1000 + n, 1000 + n))
+    assert files.newest(spark, str(tmp_path), "*.mmd").first().text == "new"
