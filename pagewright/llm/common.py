@@ -48,16 +48,29 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def among(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
-    """Rows whose column may be in keys: all of those, and few others while keys are fewer than some ten millions.
+def _marked(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """``_may``: whether a row's column may be in keys; never false where it is.
 
-    A Bloom filter of 2^20 words of 64 bits, whatever the number of keys, is broadcast; joins that follow shuffle what is
-    left.
+    By a Bloom filter of 2^20 words of 64 bits, whatever the number of keys, which is broadcast.
     """
     word, bit = F.pmod(F.xxhash64(column), F.lit(1 << 20)), F.expr(f"shiftleft(1L, pmod(hash({column}), 64))")
     bloom = keys.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    near = rows.withColumn("_word", word).join(F.broadcast(bloom), "_word").filter(F.col("_bits").bitwiseAND(bit) != 0)
-    return near.drop("_word", "_bits")
+    found = rows.withColumn("_word", word).join(F.broadcast(bloom), "_word", "left")
+    return found.withColumn("_may", F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("_word", "_bits")
+
+
+def among(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Rows whose column may be in keys: all of those, and few others while keys are fewer than some ten millions.
+
+    Joins that follow shuffle only what is left.
+    """
+    return _marked(rows, keys, column).filter("_may").drop("_may")
+
+
+def without(rows: DataFrame, gone: DataFrame, column: str, on: list[str]) -> DataFrame:
+    """Rows that ``gone`` doesn't hold, by ``on`` (``column`` among them); only rows that it may hold are shuffled."""
+    marked = _marked(rows, gone, column)
+    return marked.filter("NOT _may").drop("_may").unionByName(marked.filter("_may").drop("_may").join(gone, on, "left_anti").select(*rows.columns))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -19,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, among, batches_of, dropped, mixed, partitions, rows_of, shingle_hashes, written
+from .common import WordHashes, among, batches_of, dropped, mixed, partitions, rows_of, shingle_hashes, without, written
 from .graph import components
 
 #: Sizes of one band differ by this factor at most.
-BAND = 1.6
+BAND = 1.25
 _edges = sorted({int(BAND**k) for k in range(200)})
+#: Share of its pieces that a class must have in common with the smallest or largest of their buckets to be compared with it at once.
+SHARED = 0.15
 #: The binary logarithm of the bits of a piece.
 PIECE_BITS = 20
 #: Bits of the sketch that pairs in one bucket are compared by, least and most, and members of a block there.
@@ -211,15 +213,17 @@ def link(docs: DataFrame, n: int = 3, share: int = 90, id_col: str = "doc_id", t
     result and one text stands for them in comparisons. Null ids keep a null
     component and link with nothing. Other columns are left out; an empty table gives an empty one.
 
-    Equal sets are one class, held by its smallest id. In each bucket of equal pieces, classes that share more than one
-    with the smallest or the largest of it are compared with that, which is linear; all that these links leave in
+    Equal sets are one class, held by its smallest id. In each bucket of equal pieces, classes that share
+    SHARED of their pieces with the smallest or the largest of it are compared with that, which is linear; all that these links leave in
     different components is compared by sketches in blocks, so no link between components is lost and the pairs of a
     component are not gone through.
     """
     table = written(sketched(docs, n, share, id_col, text_col), "sketches")
     full = table.filter("n > 0 AND id IS NOT NULL")
     classes = written(full.groupBy("n", "h1", "h2").agg(F.min("id").alias("id")), "classes")
-    reps = full.join(classes, ["n", "h1", "h2", "id"], "left_semi")
+    own = full.select("id", "n", "h1", "h2")
+    copies = own.join(classes.withColumnRenamed("id", "rep"), ["n", "h1", "h2"]).filter("id <> rep").select("id", "n", "h1", "h2")
+    reps = without(full, written(copies, "copies"), "id", ["n", "h1", "h2", "id"])
     keys = written(reps.select("id", F.explode("keys").alias("k")).select("id", F.size("k").alias("pieces"), F.explode("k").alias("key")), "keys")
     small = written(table.drop("keys"), "sizes")
     dropped(table)
@@ -229,7 +233,7 @@ def link(docs: DataFrame, n: int = 3, share: int = 90, id_col: str = "doc_id", t
     dropped(keys)
     ends = members.select("pieces", F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("id").alias("b")), F.struct(F.col("id").alias("a"), F.col("high").alias("b")))).alias("p"))
     ends = ends.select("p.a", "p.b", "pieces").filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"), F.min("pieces").alias("pieces"))
-    stars = written(ends.filter("n > 1 OR pieces < 4").select("a", "b"), "stars")
+    stars = written(ends.filter(F.col("n") >= F.greatest(F.lit(1), F.floor(F.col("pieces") * SHARED))).select("a", "b"), "stars")
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("raw"))
     linked = members.select("id").distinct()
     near = among(given, linked, "id").join(linked, "id", "left_semi")
