@@ -49,3 +49,6 @@ def test_rows(spark):
     assert [tuple(r) for r in out if r.doc_id in (2, None)] == [(2, 0, empty, empty), (None, 0, empty, empty)]
     assert {r.decoded_sha256 for r in out if r.doc_id == 1} == {hashlib.sha256(b"Hello world").hexdigest()}
     assert byte_bpe.encode_documents(docs.limit(0), BYTE_RANKS, PATTERN).count() == 0
+    whole = byte_bpe.round_trip(docs, BYTE_RANKS, PATTERN).collect()
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in whole) == sorted((str(r.doc_id), *tuple(r)[1:]) for r in out)
+    assert all(len(r.ids) == r.n_tokens for r in whole)
