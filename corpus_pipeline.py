@@ -50,9 +50,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids, ids_sha256, decoded_sha256`` of each document, the last two of the ids and of their decoded bytes."""
     small_batches(spark)
-    encoded = byte_bpe.encode_documents(docs, RANKS, public_tokenizers.PATTERN)
-    decoded = byte_bpe.decode_ids(encoded, RANKS, public_tokenizers.PATTERN)
-    return byte_bpe.digests(decoded, keep_ids=True)
+    return byte_bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN)
 
 
 STAGES = [
