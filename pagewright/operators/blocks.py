@@ -11,6 +11,8 @@ from ..functions import text as T
 DET = r"<\|det\|>\s*([A-Za-z_][\w-]*)\s*(\[[^\]]*\])?\s*<\|/det\|>"
 EMPTY_KINDS = ("chart", "seal")
 VISUAL_KINDS = ("image", "figure", "chart")
+# Beginnings of lines that a model prints beside its output.
+NOISE_STARTS = ("INFO:", "WARNING:", "The attention mask", "Setting `pad_token_id`", "image:", "other:", "===", "%|")
 
 
 def det_blocks(docs: DataFrame, key: str, raw: Column) -> DataFrame:
@@ -122,7 +124,9 @@ def text_lines(pages: DataFrame, keys: list[str]) -> DataFrame:
 
 def layout_output(lines: DataFrame, key: str) -> DataFrame:
     """``key, text``: what a model printed from its first tag on, noise left out. ``lines``: ``key, ord, line``."""
-    noise = F.col("s").rlike(r"^(?:INFO:|WARNING:|The attention mask|Setting `pad_token_id`|image:|other:|===|%\|)") | (F.col("s") == "")
+    noise = F.col("s") == ""
+    for start in NOISE_STARTS:
+        noise = noise | F.col("s").startswith(start)
     order = Window.partitionBy(key).orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = F.max(F.contains(F.col("s"), F.lit("<|det|>")).cast("int")).over(order)
     kept = lines.withColumn("s", T.strip(F.col("line"))).withColumn("_seen", seen).filter((F.col("_seen") == 1) & ~noise)
