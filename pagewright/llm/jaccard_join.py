@@ -130,7 +130,7 @@ def sketched(docs: DataFrame, n: int, share: int, id_col: str, text_col: str) ->
 
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int, share: int) -> DataFrame:
-    """The pairs ``a, b`` whose sets have the share; the texts of b come to those of a."""
+    """The pairs ``a, b`` whose sets have the share; the texts of b come to those of a. Joined by merging at every size."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +150,7 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, share: int) -> DataFram
 
     right = texts.select(F.col("id").alias("b"), F.col("raw").alias("raw_b"))
     left = texts.select(F.col("id").alias("a"), F.col("raw").alias("raw_a"))
-    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "raw_a", "raw_b")
+    joined = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "raw_a", "raw_b")
     return joined.mapInArrow(run, "a long, b long")
 
 
@@ -236,7 +236,7 @@ def link(docs: DataFrame, n: int = 3, share: int = 90, id_col: str = "doc_id", t
     stars = written(ends.filter(F.col("n") >= F.greatest(F.lit(1), F.floor(F.col("pieces") * SHARED))).select("a", "b"), "stars")
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("raw"))
     linked = members.select("id").distinct()
-    near = among(given, linked, "id").join(linked, "id", "left_semi")
+    near = among(given, linked, "id").join(linked.hint("merge"), "id", "left_semi")
     texts = written(near.groupBy("id").agg(F.max("raw").alias("raw")), "texts")
     edges = written(verified(stars, texts, n, share), "links")
     comps = written(components(edges), "components")
