@@ -157,13 +157,19 @@ class WordEncoder:
 
     def __init__(self, path: str, width: int):
         self.tokenizer, self.kind = tokenizer(path), "H" if width == 2 else "I"
+        # Normalizing and splitting leave words of small ASCII letters as they are, so the model alone encodes them.
+        self.bare = Tokenizer(self.tokenizer.model)
+        words = ["a", "the", "zzxq", "internationalization", "it", "s"]
+        if self._packed(words) != self._packed(words, self.bare):
+            self.bare = self.tokenizer
         self.known: dict[str, bytes] = {"": b""}
         probe = "It's A test,\nof\tTHE  two paths: 12 éÉ <|endoftext|>x"
         if self.texts([probe])[0] != self._packed([probe])[0]:
             raise ValueError(f"{path} joins what blanks separate")
 
-    def _packed(self, texts: list[str]) -> list[bytes]:
-        return [array(self.kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _packed(self, texts: list[str], by: Tokenizer | None = None) -> list[bytes]:
+        encoded = (by or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)
+        return [array(self.kind, e.ids).tobytes() for e in encoded]
 
     @staticmethod
     def _parts(word: str) -> tuple[str, str]:
@@ -179,8 +185,11 @@ class WordEncoder:
             self.known = {"": b""}
         known = self.known
         new = {word: self._parts(word) for word in set().union(*split) if word not in known}
-        parts = list({part for pair in new.values() for part in pair if part not in known})
-        known.update(zip(parts, self._packed(parts), strict=True))
+        parts = {part for pair in new.values() for part in pair if part not in known}
+        simple = [part for part in parts if part.isascii() and part.isalpha() and part.islower()]
+        known.update(zip(simple, self._packed(simple, self.bare), strict=True))
+        others = list(parts.difference(simple))
+        known.update(zip(others, self._packed(others), strict=True))
         known.update((word, known[stem] + known[marks]) for word, (stem, marks) in new.items())
         return [b"".join([known[word] for word in words]) for words in split]
 
