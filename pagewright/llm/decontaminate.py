@@ -21,8 +21,10 @@ WORD = re.compile(r"\w+")
 K1, B = 1.2, 0.75
 #: Words of a passage, and between the starts of two.
 WINDOW, STRIDE = 64, 32
-#: A passage is a candidate for an item when its score is such a share of the item's own.
+#: A passage is a candidate for an item when its score is such a share of the item's own, of an item of more than LONG
+#: words of its best stretch of WINDOW words. Two passages hold a copy of the others, or of that stretch, so that one has half.
 THRESHOLD = 0.5
+LONG = 2 * WINDOW - STRIDE + 1
 #: Shares of the words of question and answer that matched runs of three words must cover.
 QUESTION, ANSWER = 0.6, 0.6
 #: Items of an index, and of one of its blocks; more items make more indexes, each broadcast for a pass of its own.
@@ -44,9 +46,24 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return (words[:cut], words[cut:]) if cut else ([], words)
 
 
+def best_stretch(words: list[str], impact: dict[str, float]) -> float:
+    """The most that the different words of WINDOW words in a row sum to, less what rounding may add."""
+    counts: Counter = Counter()
+    total = best = 0.0
+    for at, word in enumerate(words):
+        total += 0 if counts[word] else impact[word]
+        counts[word] += 1
+        if at >= WINDOW:
+            gone = words[at - WINDOW]
+            counts[gone] -= 1
+            total -= 0 if counts[gone] else impact[gone]
+        best = max(best, total)
+    return best * (1 - 1e-9)
+
+
 @dataclass
 class Index:
-    """Inverted lists of items with BM25 impacts as shares of each item's own score, and their maxima by block.
+    """Inverted lists of items with BM25 impacts as shares of each item's own score (or its best stretch's), and their maxima by block.
 
     ``bounds[t, k]`` is the largest impact of term t in block k; row 0 is of unknown words. ``lists[t]`` holds the items
     (ascending) and impacts of term t.
@@ -64,13 +81,14 @@ class Index:
         terms: dict[str, int] = {}
         postings: list[list[tuple[int, float]]] = [[]]
         for at, (_, text) in enumerate(rows):
-            counts = Counter(words_of(text))
+            words = words_of(text)
+            counts = Counter(words)
             size = sum(counts.values())
             impact = {}
             for word, n in counts.items():
                 idf = math.log(1 + (total - frequency[word] + 0.5) / (frequency[word] + 0.5))
                 impact[word] = idf * n * (K1 + 1) / (n + K1 * (1 - B + B * size / mean))
-            own = sum(impact.values())
+            own = sum(impact.values()) if size <= LONG else best_stretch(words, impact)
             for word, value in impact.items():
                 if word not in terms:
                     terms[word] = len(postings)
@@ -191,7 +209,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     """``id_col, item_col, score, question_overlap, answer_overlap``: the items in each document's whole text.
 
     Every passage of WINDOW words (the last may be shorter) is a query; all items from THRESHOLD of their own score on
-    are candidates, and those stay whose question and answer are both in the text around. Null texts and items hold
+    (of their best stretch's, if they have more than LONG words; the score may then be over 1) are candidates, and those stay whose question and answer are both in the text around. Null texts and items hold
     nothing; rows with null ids and repeated rows are searched too; other columns are left out; empty tables give no rows.
     The index goes to every task, ``most_items`` items at a time, with a pass over the documents for each.
     """

@@ -94,3 +94,19 @@ def test_given_documents(spark):
         want |= {(row.doc_id, key) for key, words in items.items() if f" {' '.join(words)} " in text}
     got = {(r.doc_id, r.item_id) for r in QUERIES["op5_decontaminate"](spark, folder).collect()}
     assert want and got == want
+
+
+@pytest.mark.parametrize("rare", ["even", "first", "ends"])
+def test_exact_copies_of_long_items(rare):
+    """A whole copy of an item is found at every length and place, wherever its rare words are."""
+    rng = random.Random(8)
+    items = []
+    for key, size in enumerate([60, 64, 65, 90, 97, 98, 110, 130, 200, 400, 1000]):
+        places = {"even": range(size), "first": range(20), "ends": [*range(10), *range(size - 10, size)]}[rare]
+        items.append((key, " ".join(f"r{rng.randrange(10**6)}" if i in places else f"c{rng.randrange(40)}" for i in range(size))))
+    index = index_of(items)
+    for key, text in items:
+        for before in [*range(0, 70, 3), 1000]:
+            around = lambda n: " ".join(f"o{rng.randrange(500)}" for _ in range(n))
+            found = {leak[0] for leak in index.leaks(f"{around(before)} {text} {around(rng.randrange(100))}")}
+            assert key in found
