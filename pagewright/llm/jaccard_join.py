@@ -31,6 +31,8 @@ SHARED = 0.15
 PIECE_BITS = 20
 #: Bits of the sketch that pairs in one bucket are compared by, least and most, and members of a block there.
 MINI_BITS, BLOCK = (256, 8192), 256
+#: Spokes that meet one copy of their hub's text, and rows of buckets in one group.
+SPOKES, GROUP = 1024, 8192
 
 
 @cache
@@ -122,49 +124,74 @@ def sketched(docs: DataFrame, n: int, share: int, id_col: str, text_col: str) ->
         return key, len(found), int(h1), int(h2), mini_sketch(found), parts
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return batches_of((row(*x) for x in rows_of(batches)), schema, weigh=lambda r: 256 + 2 * r[1])
+        return batches_of((row(*x) for x in rows_of(batches)), schema, weigh=lambda r: 256 + 5 * r[1])
 
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("raw"))
     kind = "id long, n long, h1 long, h2 long, mini binary, keys array<array<long>>"
     return given.mapInArrow(run, kind)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, n: int, share: int) -> DataFrame:
-    """The pairs ``a, b`` whose sets have the share; the texts of b come to those of a. Joined by merging at every size."""
+def verified(pairs: DataFrame, given: DataFrame, n: int, share: int) -> DataFrame:
+    """The pairs ``hub, spoke`` whose sets have the share, as ``a, b``. ``given``: ``id, raw`` of all documents.
+
+    Only texts of the pairs' documents are shuffled. Those of spokes come to their hubs in a sorted stream, behind the hub's
+    own text, which is sent once to each of the tasks that its spokes are dealt to, SPOKES at most a group.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    ids = pairs.select(F.explode(F.array("hub", "spoke")).alias("id")).distinct()
+    near = among(given, ids, "id").join(ids.hint("merge"), "id", "left_semi")
+    texts = written(near.groupBy("id").agg(F.max("raw").alias("raw")), "texts")
+    hubs = pairs.groupBy("hub").agg(F.ceil(F.count("*") / SPOKES).alias("ways"))
+    dealt = pairs.join(hubs.hint("merge"), "hub").withColumn("way", F.pmod(F.xxhash64("spoke"), F.col("ways")))
+    spokes = dealt.join(texts.hint("merge"), dealt.spoke == texts.id).select("hub", "way", "spoke", "raw")
+    ways = hubs.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ways") - 1)).alias("way"))
+    own = among(texts.withColumnRenamed("id", "hub"), hubs, "hub").join(ways.hint("merge"), "hub")
+    stream = own.select("hub", "way", F.lit(None).cast("long").alias("spoke"), "raw").unionByName(spokes)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
-
         def rows() -> Iterator[tuple]:
-            nonlocal last, held
-            for a, b, raw_a, raw_b in rows_of(batches):
-                if a != last:
-                    last, held = a, shingle_set(raw_a, n)
-                other = shingle_set(raw_b, n)
+            held = np.zeros(0, np.uint64)
+            for hub, _, spoke, raw in rows_of(batches):
+                if spoke is None:
+                    held = shingle_set(raw, n)
+                    continue
+                other = shingle_set(raw, n)
                 both = len(np.intersect1d(held, other, assume_unique=True))
                 if 100 * both >= share * (len(held) + len(other) - both):
-                    yield a, b
+                    yield min(hub, spoke), max(hub, spoke)
 
         return batches_of(rows(), schema)
 
-    right = texts.select(F.col("id").alias("b"), F.col("raw").alias("raw_b"))
-    left = texts.select(F.col("id").alias("a"), F.col("raw").alias("raw_a"))
-    joined = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "raw_a", "raw_b")
-    return joined.mapInArrow(run, "a long, b long")
+    ordered = stream.repartition(partitions(given.sparkSession), "hub", "way").sortWithinPartitions("hub", "way", F.asc_nulls_first("spoke"))
+    return ordered.mapInArrow(run, "a long, b long")
+
+
+def groups_of(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """``group, size, id, comp``: documents of the buckets that hold several components, each once in a group.
+
+    Buckets with the same smallest component are one group, or several of about GROUP rows where they have more together, so
+    that the sketch of a document goes to its groups instead of all its buckets. A bucket is never parted.
+    """
+    labelled = members.select("key", "id").join(comps.hint("merge"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    keys = labelled.groupBy("key").agg(F.min("comp").alias("home"), F.max("comp").alias("y"), F.count("*").alias("rows")).filter("home <> y")
+    homes = keys.groupBy("home").agg(F.ceil(F.sum("rows") / GROUP).alias("ways"))
+    keys = keys.join(homes.hint("merge"), "home")
+    keys = keys.select("key", F.xxhash64("home", F.pmod(F.xxhash64("key"), F.col("ways"))).alias("group"))
+    held = written(labelled.join(keys.hint("merge"), "key").select("group", "id", "comp").distinct(), "groups")
+    return held.join(held.groupBy("group").agg(F.count("*").alias("size")).hint("merge"), "group")
 
 
 def close_pairs(members: DataFrame, share: int) -> DataFrame:
-    """Pairs ``a, b`` of one bucket in different components whose sizes and sketches allow a link.
+    """Pairs ``a, b`` of one group in different components whose sizes and sketches allow a link.
 
-    ``members``: ``key, size, id, comp, n, mini``. A bucket is dealt into blocks of about BLOCK members and each pair of
-    blocks is one group of a sorted stream, so a task holds two blocks. Pairs that fail are never rows.
+    ``members``: ``group, size, id, comp, n, mini``. A group is dealt into blocks of about BLOCK members and each pair of
+    blocks is one stretch of a sorted stream, so a task holds two blocks. Pairs that fail are never rows.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks.cast("long")).cast("int")
     dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp", "n", "mini")
+    dealt = dealt.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp", "n", "mini")
 
     def pairs(group: list[tuple]) -> Iterator[tuple]:
         i, j = group[0][1:3]
@@ -200,7 +227,7 @@ def close_pairs(members: DataFrame, share: int) -> DataFrame:
 
         return batches_of(rows(), schema)
 
-    ordered = dealt.repartition(partitions(members.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    ordered = dealt.repartition(partitions(members.sparkSession), "group", "i", "j").sortWithinPartitions("group", "i", "j")
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -213,8 +240,8 @@ def link(docs: DataFrame, n: int = 3, share: int = 90, id_col: str = "doc_id", t
     result and one text stands for them in comparisons. Null ids keep a null
     component and link with nothing. Other columns are left out; an empty table gives an empty one.
 
-    Equal sets are one class, held by its smallest id. In each bucket of equal pieces, classes that share
-    SHARED of their pieces with the smallest or the largest of it are compared with that, which is linear; all that these links leave in
+    Equal sets are one class, held by its smallest id. In each bucket of equal pieces, classes that share SHARED of their
+    pieces with the smallest or the largest of it are compared with that, which is linear; all that these links leave in
     different components is compared by sketches in blocks, so no link between components is lost and the pairs of a
     component are not gone through.
     """
@@ -223,29 +250,29 @@ def link(docs: DataFrame, n: int = 3, share: int = 90, id_col: str = "doc_id", t
     classes = written(full.groupBy("n", "h1", "h2").agg(F.min("id").alias("id")), "classes")
     own = full.select("id", "n", "h1", "h2")
     copies = own.join(classes.withColumnRenamed("id", "rep"), ["n", "h1", "h2"]).filter("id <> rep").select("id", "n", "h1", "h2")
-    reps = without(full, written(copies, "copies"), "id", ["n", "h1", "h2", "id"])
-    keys = written(reps.select("id", F.explode("keys").alias("k")).select("id", F.size("k").alias("pieces"), F.explode("k").alias("key")), "keys")
+    copies = written(copies, "copies")
     small = written(table.drop("keys"), "sizes")
-    dropped(table)
-    buckets = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high")
+    reps = without(full.select("id", "n", "h1", "h2", "keys"), copies, "id", ["n", "h1", "h2", "id"])
+    keys = reps.select("id", F.explode("keys").alias("k")).select("id", F.size("k").alias("pieces"), F.explode("k").alias("key"))
+    buckets = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high")
     buckets = written(buckets, "buckets")
-    members = written(among(keys, buckets, "key").join(buckets, "key"), "members")
-    dropped(keys)
-    ends = members.select("pieces", F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("id").alias("b")), F.struct(F.col("id").alias("a"), F.col("high").alias("b")))).alias("p"))
-    ends = ends.select("p.a", "p.b", "pieces").filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"), F.min("pieces").alias("pieces"))
-    stars = written(ends.filter(F.col("n") >= F.greatest(F.lit(1), F.floor(F.col("pieces") * SHARED))).select("a", "b"), "stars")
+    members = written(among(keys, buckets, "key").join(buckets.hint("merge"), "key"), "members")
+    dropped(table)
+    dropped(buckets)
+    ends = members.select("pieces", F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("id").alias("b"), F.lit(1).alias("low")), F.struct(F.col("id").alias("a"), F.col("high").alias("b"), F.lit(0).alias("low")))).alias("p"))
+    ends = ends.select("p.*", "pieces").filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"), F.sum("low").alias("low"), F.min("pieces").alias("pieces"))
+    ends = ends.filter(F.col("n") >= F.greatest(F.lit(1), F.floor(F.col("pieces") * SHARED)))
+    low = 2 * F.col("low") >= F.col("n")
+    stars = written(ends.select(F.when(low, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("spoke")), "stars")
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("raw"))
-    linked = members.select("id").distinct()
-    near = among(given, linked, "id").join(linked.hint("merge"), "id", "left_semi")
-    texts = written(near.groupBy("id").agg(F.max("raw").alias("raw")), "texts")
-    edges = written(verified(stars, texts, n, share), "links")
+    edges = written(verified(stars, given, n, share), "links")
     comps = written(components(edges), "components")
-    labelled = members.select("key", "size", "id").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    mixed_keys = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
-    rest = labelled.join(mixed_keys, "key", "left_semi").join(small.select("id", "n", "mini").dropDuplicates(["id"]), "id")
-    more = close_pairs(rest, share).join(stars, ["a", "b"], "left_anti")
-    found = written(verified(more, texts, n, share), "links")
-    comps = written(components(edges.unionByName(found)), "components")
+    near = groups_of(members, comps).join(small.select("id", "n", "mini").dropDuplicates(["id"]).hint("merge"), "id")
+    tried = stars.select(F.least("hub", "spoke").alias("hub"), F.greatest("hub", "spoke").alias("spoke"))
+    more = written(close_pairs(near, share).toDF("hub", "spoke").join(tried, ["hub", "spoke"], "left_anti"), "pairs")
+    found = written(verified(more, given, n, share), "links")
+    if not found.isEmpty():
+        comps = written(components(found.unionByName(comps.select(F.col("comp").alias("a"), F.col("id").alias("b")))), "components")
     named = classes.join(comps, "id", "left").select("n", "h1", "h2", F.coalesce("comp", "id").alias("component_id"))
     out = small.select("id", "n", "h1", "h2").join(named, ["n", "h1", "h2"], "left")
     comp = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
