@@ -18,6 +18,7 @@ gives the offset of a document in constant time, with about 2 + log2(ids / docum
 from __future__ import annotations
 
 import functools
+import json
 import os
 import struct
 import zlib
@@ -26,6 +27,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,13 +40,21 @@ MAGIC, VERSION = b"EFTK", 1
 EVERY = 256
 #: A shard is closed when it has so many ids; a longer document makes a longer shard.
 SHARD_TOKENS = 1 << 18
-#: Words whose ids a worker remembers.
-MOST_WORDS = 1_000_000
-
-
+#: Words whose ids a worker remembers, and characters of texts that are encoded together.
+MOST_WORDS, GROUP = 800_000, 4 << 20
 #: Marks that are no letters or digits, and the first character after the Latin blocks.
 MARKS, LATIN_END = ".,;:!?%#*$&|()\"-", chr(0x250)
 
+# The normalizer and the pre-tokenizer of the word-level vocabulary files, as their JSON states them.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
 
 class EliasFano:
     """A sequence that never falls, of numbers from 0 up."""
@@ -141,57 +151,80 @@ def pack(keys: list[int | None], lengths: list[int], ids: bytes, width: int) ->
 
 @functools.lru_cache(maxsize=2)
 def tokenizer(path: str) -> Tokenizer:
-    """The tokenizer of a file; strings of special tokens in a text are ordinary text."""
+    """The tokenizer of a file as the library reads it: strings of its special tokens in a text are those tokens."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(path)
 
 
-class WordEncoder:
-    """Ids of texts by a tokenizer whose normalizer and pre-tokenizer never join what a blank separates.
+#: How the byte-level pre-tokenizer writes bytes: visible Latin characters as they are, the others from U+0100 on.
+_visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_written = {b: chr(0x100 + i) for i, b in enumerate(sorted(set(range(0x100)) - set(_visible)))}
 
-    Each stretch between blanks is encoded by the library once and remembered, up to MOST_WORDS of them. That it gives
-    the ids of the whole text is checked on first use and by the tests.
+
+class WordEncoder:
+    """Ids of whole texts, by words where the tokenizer's own rules part them at white space, else by the library's call on the text.
+
+    With NORMALIZER and PRE_TOKENIZER no rule looks across ASCII white space: NFC composes nothing with it, each run of it becomes
+    one blank, letters are put in lower case one by one, no match of the pattern holds white space or looks around, and special
+    tokens (which are found first) hold none and strip none. So the ids of a text are those of its words in order, and each word is
+    encoded once. A letter and a mark after it are in different matches as well, so words share the ids of their stems; a
+    stem of letters before LATIN_END is one match that NFC leaves as it is, so the library's model alone encodes its bytes.
+    Tokenizers with other rules encode each text whole.
     """
 
     def __init__(self, path: str, width: int):
-        self.tokenizer, self.kind = tokenizer(path), "H" if width == 2 else "I"
-        # Normalizing and splitting leave words of small ASCII letters as they are, so the model alone encodes them.
-        self.bare = Tokenizer(self.tokenizer.model)
-        words = ["a", "the", "zzxq", "internationalization", "it", "s"]
-        if self._packed(words) != self._packed(words, self.bare):
-            self.bare = self.tokenizer
+        self.tokenizer, self.kind = tokenizer(path), np.dtype("<u2" if width == 2 else "<u4")
+        self.model, self.code = self.tokenizer.model, "H" if width == 2 else "I"
+        rules, added = json.loads(self.tokenizer.to_str()), self.tokenizer.get_added_tokens_decoder().values()
+        self.parted = (rules["normalizer"], rules["pre_tokenizer"]) == (NORMALIZER, PRE_TOKENIZER)
+        self.parted &= not any(t.lstrip or t.rstrip or t.normalized or t.single_word or t.content.isalpha() or any(map(str.isspace, t.content)) for t in added)
+        self.parted &= rules["post_processor"] is rules["truncation"] is rules["padding"] is None
         self.known: dict[str, bytes] = {"": b""}
-        probe = "It's A test,\nof\tTHE  two paths: 12 éÉ <|endoftext|>x"
-        if self.texts([probe])[0] != self._packed([probe])[0]:
-            raise ValueError(f"{path} joins what blanks separate")
-
-    def _packed(self, texts: list[str], by: Tokenizer | None = None) -> list[bytes]:
-        encoded = (by or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)
-        return [array(self.kind, e.ids).tobytes() for e in encoded]
-
-    @staticmethod
-    def _parts(word: str) -> tuple[str, str]:
-        """A Latin word in lower case, and the marks after it: the pre-tokenizer parts them, so more words share an entry."""
-        stem = word.rstrip(MARKS)
-        if stem and stem[-1].isalpha() and max(word) < LATIN_END and "\u0130" not in word:
-            return stem.lower(), word[len(stem) :]
-        return word, ""
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array(self.code, e.ids).tobytes() for e in encoded]
+
+    def _stem(self, stem: str) -> bytes:
+        written = stem if stem.isascii() else stem.encode().decode("latin-1").translate(_written)
+        return array(self.code, [t.id for t in self.model.tokenize(written)]).tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        known, others = self.known, []
+        for word in words:
+            stem = word.rstrip(MARKS)
+            if stem.isalpha() and (stem.isascii() or max(stem) < LATIN_END and "\u0130" not in stem):
+                low = stem.lower()
+                ids = known.get(low)
+                if ids is None:
+                    ids = known[low] = self._stem(low)
+                if len(stem) < len(word):
+                    marks = word[len(stem) :]
+                    if marks not in known:
+                        known[marks] = self.whole([marks])[0]
+                    ids += known[marks]
+                known[word] = ids
+            else:
+                others.append(word)
+        known.update(zip(others, self.whole(others), strict=True))
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        split = [text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for text in texts]
+        if not self.parted:
+            return self.whole(texts)
         if len(self.known) > MOST_WORDS:
             self.known = {"": b""}
-        known = self.known
-        new = {word: self._parts(word) for word in set().union(*split) if word not in known}
-        parts = {part for pair in new.values() for part in pair if part not in known}
-        simple = [part for part in parts if part.isascii() and part.isalpha() and part.islower()]
-        known.update(zip(simple, self._packed(simple, self.bare), strict=True))
-        others = list(parts.difference(simple))
-        known.update(zip(others, self._packed(others), strict=True))
-        known.update((word, known[stem] + known[marks]) for word, (stem, marks) in new.items())
-        return [b"".join([known[word] for word in words]) for words in split]
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        self._learn([word for word in words if word not in self.known])
+        found = [self.known[word] for word in words]
+        table, sizes = np.frombuffer(b"".join(found), self.kind), np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
+        at = coded.indices.to_numpy()
+        lengths = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        raw = table[np.arange(ends[-1]) + np.repeat((np.cumsum(sizes) - sizes)[at] - ends[:-1], lengths)].tobytes()
+        cuts = (self.kind.itemsize * ends[split.offsets.to_numpy()]).tolist()
+        return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -238,7 +271,7 @@ def write_token_files(
         for key, raw in rows:
             group.append((key, text_of(raw)))
             size += len(group[-1][1])
-            if size >= 1 << 20 or len(group) == 4096:
+            if size >= GROUP or len(group) == 8192:
                 yield group
                 group, size = [], 0
         if group:

@@ -1,4 +1,6 @@
+import json
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -13,11 +15,34 @@ parts = [*"aZé'Σ<|>12.日 \n\t\r", chr(0x85), chr(0x1C), chr(0xA0), chr(0x301)
 letters = st.lists(st.sampled_from(parts), max_size=40).map("".join)
 
 
-@settings(max_examples=80, deadline=None)
+whole = Tokenizer.from_file(WORD_BPE)
+
+
+@settings(max_examples=300, deadline=None)
 @given(st.lists(letters, min_size=1, max_size=5))
 def test_words_have_the_ids_of_whole_texts(texts):
     encoder = token_ids.word_encoder(WORD_BPE, 2)
-    assert encoder.texts(texts) == encoder._packed(texts)
+    assert encoder.parted
+    got = [np.frombuffer(raw, "<u2").tolist() for raw in encoder.texts(texts)]
+    assert got == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_given_texts_have_the_ids_of_whole_texts(spark):
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    texts += ["a <|endoftext|> b", "x<|ENDOFTEXT|>Y <|StartOfText|>z<|startoftext|>.", "\x0b \x0c\x1c\x85 a\u2028b"]
+    got = token_ids.WordEncoder(WORD_BPE, 2).texts(texts)
+    assert all(np.frombuffer(raw, "<u2").tolist() == e.ids for raw, e in zip(got, whole.encode_batch(texts, add_special_tokens=False), strict=True))
+
+
+def test_other_rules_encode_whole_texts(tmp_path):
+    rules = json.loads(whole.to_str())
+    rules["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"\p{L}+(?= \p{N})|\S"
+    path = str(tmp_path / "other.json")
+    Path(path).write_text(json.dumps(rules))
+    encoder = token_ids.WordEncoder(path, 2)
+    texts = ["abc 1 def", "", "one 2 three"]
+    assert not encoder.parted
+    assert [np.frombuffer(raw, "<u2").tolist() for raw in encoder.texts(texts)] == [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
 
 
 @settings(max_examples=80, deadline=None)
