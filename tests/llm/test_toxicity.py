@@ -22,10 +22,26 @@ def test_label_model_discounts_repeated_voters():
     one = np.where(truth, rng.random(2000) < 0.6, rng.random(2000) < 0.02)
     other = np.where(truth, rng.random(2000) < 0.6, rng.random(2000) < 0.02)
     votes = np.stack([one, one, one, other], axis=1).astype(float)
-    posterior, rates = toxicity.label_model(votes, truth.astype(int))
+    labels = np.where(rng.random(2000) < 0.1, truth, -1)
+    posterior, rates, right = toxicity.label_model(votes, labels, np.where(labels >= 0, 0.1 + 0.8 * labels, np.where(votes.any(1), 0.5, 0.05)))
     assert abs(rates[3, 0] - 0.6) < 0.1 and rates[3, 1] < 0.05
     assert rates[0, 2] < 0.5 < rates[3, 2]
-    assert posterior[truth].mean() > 0.7 > 0.2 > posterior[~truth].mean()
+    assert posterior[truth].mean() > 0.6 > 0.2 > posterior[~truth].mean()
+    assert min(right) > 0.85
+
+
+def test_accuracies_of_voters_and_labels_are_learned_from_unlabelled_rows():
+    rng = np.random.default_rng(4)
+    truth = rng.random(6000) < 0.25
+    rates = [(0.7, 0.05), (0.5, 0.02), (0.6, 0.1), (0.4, 0.01), (0.3, 0.2)]
+    votes = np.stack([np.where(truth, rng.random(6000) < a, rng.random(6000) < b) for a, b in rates], axis=1).astype(float)
+    wrong = rng.random(6000) < 0.2
+    labels = np.where(rng.random(6000) < 0.3, truth ^ wrong, -1)
+    posterior, found, right = toxicity.label_model(votes, labels, np.where(labels >= 0, 0.1 + 0.8 * labels, np.where(votes.any(1), 0.5, 0.05)))
+    assert np.abs(found[:, :2] - np.array(rates)).max() < 0.08
+    assert abs(right[0] - 0.8) < 0.08 and abs(right[1] - 0.8) < 0.08
+    flipped = (labels >= 0) & wrong
+    assert (np.round(posterior[flipped]) == truth[flipped]).mean() > 0.7
 
 
 def test_held_out_accuracy(spark):
