@@ -48,7 +48,7 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def _marked(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+def marked(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     """``_may``: whether a row's column may be in keys; never false where it is.
 
     By a Bloom filter of 2^20 words of 64 bits, whatever the number of keys, which is broadcast.
@@ -64,12 +64,12 @@ def among(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
 
     Joins that follow shuffle only what is left.
     """
-    return _marked(rows, keys, column).filter("_may").drop("_may")
+    return marked(rows, keys, column).filter("_may").drop("_may")
 
 
 def without(rows: DataFrame, gone: DataFrame, column: str, on: list[str]) -> DataFrame:
     """Rows that ``gone`` doesn't hold, by ``on`` (``column`` among them); only rows that it may hold are shuffled."""
-    marked = _marked(rows, gone, column)
+    marked = marked(rows, gone, column)
     return marked.filter("NOT _may").drop("_may").unionByName(marked.filter("_may").drop("_may").join(gone.hint("merge"), on, "left_anti").select(*rows.columns))
 
 

@@ -12,12 +12,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, rows_of, text_of, written
+from .common import batches_of, marked, rows_of, text_of, written
 
-#: A subtree is a template when it is on so many different articles of its host at least, and on such a share of them.
-MIN_PAGES, MIN_SHARE = 10, 0.3
-#: Template keys up to so many (8 bytes each) are broadcast; more are joined to their pages, which shuffles the pages.
-MOST_BROADCAST = 200_000
+#: A subtree is a template when it is on pages of its host with so many different articles.
+MIN_PAGES = 10
+#: Tasks among which the pages with one template are dealt.
+WAYS = 16
 
 # Fixed values of HTML: elements by how they are read.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,27 +38,32 @@ FENCE = set("table ul ol dl div section article aside nav body html blockquote t
 #: Elements that are never part of an article, and their roles.
 NOISE = set("nav footer aside form button select dialog menu audio video canvas object applet head search fieldset".split()) | RAW
 NOISE_ROLES = set("navigation banner contentinfo complementary search dialog alert menu menubar toolbar form".split())
-#: Words of class and id names that mark what isn't the article.
+#: Whole names in a class list, or whole ids, that mark a container as not of the article.
 NOISE_NAMES = set(
-    """ad ads adv advert adverts advertisement advertising adsense banner cookie cookies consent gdpr notice notices alert nav
-    navbar navigation menu menus sidebar sidebars breadcrumb breadcrumbs footer masthead comment comments disqus reply replies
-    respond share sharing social related recommended promo promotion sponsor sponsored newsletter subscribe subscription popup
-    modal overlay pagination pager widget toolbar skip paywall signup login""".split()
+    """ad ads adv advert adverts advertisement advertising adsense ad-slot ad-banner ad-container banner banners cookie cookies
+    cookie-banner cookie-consent cookie-notice consent gdpr notice notices alert nav navbar navigation main-nav site-nav menu menus
+    main-menu nav-menu sidebar sidebars left-sidebar right-sidebar breadcrumb breadcrumbs footer site-footer page-footer masthead
+    site-header page-header comment comments comment-list comments-area comment-respond disqus disqus_thread reply replies respond
+    share sharing share-buttons social social-links social-share related related-posts related-articles recommended promo promos
+    promotion sponsor sponsored newsletter newsletter-signup subscribe subscription popup modal overlay pagination pager widget
+    widgets toolbar skip skip-link paywall signup login""".split()
 )
 #: Content elements: inside an article they aren't templates, however often a text recurs.
 CONTENT = set("p h1 h2 h3 h4 h5 h6 li blockquote pre td th tr tbody table dd dt figure figcaption br b i em strong a span code".split())
 
-_tag = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+|=)*+)>""")
+#: A tag ends before the next tag begins; what doesn't is text.
+_tag = re.compile(r"""<(/?)([a-zA-Z][^\s/><]*+)((?:[\s/]++|[^\s/>=<]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'<][^\s><]*+)?+)?+|=)*+)>""")
 _attr = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
-_name = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "noise", "main", "kids", "hash", "parent")
+    """``noise``: an element that its kind, role or style keeps out; ``named``: a container that its names do; ``main``: an article's element."""
+
+    __slots__ = ("tag", "noise", "named", "main", "kids", "hash", "parent")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str):
         self.tag, self.parent, self.kids, self.hash = tag, parent, [], 0
-        self.noise, self.main = tag in NOISE, tag in ("article", "main")
+        self.noise, self.named, self.main = tag in NOISE, False, tag in ("article", "main")
         if attributes and not attributes.isspace():
             self._mark(attributes)
 
@@ -66,9 +71,9 @@ class Node:
         for name, a, b, c in _attr.findall(attributes):
             name, value = name.lower(), unescape(a or b or c).lower()
             if name in ("class", "id"):
-                self.noise |= self.tag not in ("html", "body", "main") and not NOISE_NAMES.isdisjoint(_name.findall(value))
+                self.named |= self.tag not in ("html", "body", "main") and self.tag not in CONTENT and not NOISE_NAMES.isdisjoint(value.split())
             elif name == "role":
-                self.noise |= value in NOISE_ROLES
+                self.noise |= value in NOISE_ROLES and not self.main
                 self.main |= value in ("main", "article")
             elif name == "itemprop":
                 self.main |= value == "articlebody"
@@ -123,8 +128,6 @@ def parse(html: str) -> Node:
             elif html[mark + 1] in "!?" or html[mark + 1] == "/" and not html[mark + 2 : mark + 3].isalpha():
                 end = html.find(">", mark)
                 at = size if end < 0 else end + 1
-            elif html[mark + 1].isalpha() or html[mark + 1] == "/":
-                break  # a tag that never ends holds no text
             else:
                 top.kids.append("<")
                 at = mark + 1
@@ -174,7 +177,7 @@ def walk(node: Node, deleted: set[int], inside: bool) -> Iterator[Node | str]:
         for kid in reversed(here.kids):
             if isinstance(kid, str):
                 stack.append(kid)
-            elif not kid.noise and not (kid.hash in deleted and not (inside and kid.tag in CONTENT)) and not (kid.tag == "header" and not has_heading(kid)):
+            elif not (kid.noise or kid.named or kid.hash in deleted and not (inside and kid.tag in CONTENT) or kid.tag == "header" and not has_heading(kid)):
                 stack.append(kid)
 
 
@@ -196,22 +199,25 @@ def descendants(node: Node) -> Iterator[Node | str]:
 
 
 def article(root: Node) -> Node | None:
-    """The outermost article (or else main element) with the most text; None without any."""
-    best, most = None, -1
+    """The outermost article (or else main element) with the most text, one without a name of NOISE_NAMES first; None without any.
+
+    Names of elements around it don't matter, nor does a form around the page.
+    """
+    best, most = None, (False, -1)
     stack = [root]
     while stack:
         here = stack.pop()
-        if here.noise:
+        if here.noise and here.tag != "form":
             continue
         if here.main and here.tag == "main":
-            inner = [x for x in descendants(here) if isinstance(x, Node) and x.main and x is not here and not x.noise]
+            inner = [x for x in descendants(here) if isinstance(x, Node) and x.main and x is not here and not x.noise and not x.named]
             if len(inner) == 1:
                 stack.append(inner[0])
                 continue
         if here.main:
-            length = len(text_in(here, set(), True))
-            if length > most:
-                best, most = here, length
+            rank = not here.named, len(text_in(here, set(), True))
+            if rank > most:
+                best, most = here, rank
         else:
             stack.extend(x for x in reversed(here.kids) if isinstance(x, Node))
     return best
@@ -234,18 +240,11 @@ def extract(html: str, deleted: set[int] = frozenset()) -> str:
     return text_in(root, deleted, False) if found is None else text_in(found, deleted, True)
 
 
-def host_key(host: str) -> int:
-    return xxhash.xxh64_intdigest(host.encode("utf-8", "surrogatepass"))
-
-
-def key_of(host: int, subtree: int) -> int:
-    """One signed 64-bit key of a host's key and a subtree's hash."""
-    x = ((host ^ subtree) * 0x9E3779B97F4A7C15 + subtree) & 0xFFFFFFFFFFFFFFFF
-    return (x ^ (x >> 32)) - (1 << 63)
-
-
 def subtrees(html: str) -> tuple[int, list[int]]:
-    """The hash of a page's article, and the hashes of its subtrees that could be templates, each once."""
+    """The hash of a page's article, and the hashes of its subtrees that could be templates, each once.
+
+    Those outside the article, and what in it isn't content itself.
+    """
     root = parse(html)
     found = article(root)
     hashes = set()
@@ -254,7 +253,7 @@ def subtrees(html: str) -> tuple[int, list[int]]:
         here, inside = stack.pop()
         inside |= here is found
         for kid in here.kids:
-            if isinstance(kid, Node) and not kid.noise:
+            if isinstance(kid, Node) and not kid.noise and not (kid.named and inside):
                 if kid is not found and not (inside and kid.tag in CONTENT) and kid.tag not in ("html", "body", "br"):
                     hashes.add(kid.hash)
                 stack.append((kid, inside))
@@ -262,74 +261,55 @@ def subtrees(html: str) -> tuple[int, list[int]]:
     return body.hash, sorted(hashes)
 
 
-def extract_known(html: str, host: str, known: set[int]) -> str:
-    """``extract``, with the templates of a host among the keys of all."""
-    root = parse(html)
-    own = host_key(host)
-    deleted = {x.hash for x in descendants(root) if isinstance(x, Node) and key_of(own, x.hash) in known} if known and host else set()
-    found = article(root)
-    return text_in(root, deleted, False) if found is None else text_in(found, deleted, True)
-
-
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> tuple[DataFrame, DataFrame]:
-    """``(trees, keys)``: ``id, host, body, subtrees, keys`` of each page, and the keys of templates of hosts.
+def read(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
+    """``row, html, host, page``: all other columns, the html as bytes, its host, and a hash of both; equal pages of a host have one."""
+    kept = F.struct(*[F.col(f"`{c}`") for c in pages.columns if c not in (html_col, "text", "n_chars")]).alias("row")
+    out = pages.select(kept, F.col(f"`{html_col}`").cast("binary").alias("html"), host_of(F.col(f"`{url_col}`")).alias("host"))
+    return out.withColumn("page", F.xxhash64("host", "html"))
+
 
-    A host's pages with the same article count once, so copies of a page don't make its article a template. Pages
-    without a host are left out. Each (host, subtree, article) is counted once before subtrees are counted, so that no
-    task gets a host's pages together.
+def templates(given: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(trees, found)``: ``host, page, body, subtrees`` of each page with a host, and ``host, subtree`` of templates.
+
+    Pages of a host with the same article count once, so copies of a page don't make its article a template. Each
+    (host, subtree, article) is counted once before subtrees are counted, so that no task gets a host's pages together.
     """
-    longs = pa.list_(pa.int64())
-    schema = pa.schema([("id", pa.int64()), ("host", pa.string()), ("body", pa.int64()), ("subtrees", longs), ("keys", longs)])
+    schema = pa.schema([("host", pa.string()), ("page", pa.int64()), ("body", pa.int64()), ("subtrees", pa.list_(pa.int64()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for key, host, raw in rows_of(batches):
-                body, hashes = subtrees(text_of(raw))
-                own = host_key(host)
-                yield key, host, body, hashes, [key_of(own, x) for x in hashes]
-
-        return batches_of(rows(), schema)
+        return batches_of(((host, page, *subtrees(text_of(raw))) for host, page, raw in rows_of(batches)), schema)
 
-    given = pages.select(F.col(id_col).cast("long").alias("id"), host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("binary").alias("raw"))
-    trees = given.filter(F.col("host") != "").mapInArrow(run, "id long, host string, body long, subtrees array<long>, keys array<long>")
-    trees = written(trees, "subtrees")
-    seen = trees.select("host", "body", F.explode("keys").alias("key")).distinct().groupBy("host", "key").agg(F.count("*").alias("n"))
-    totals = trees.select("host", "body").distinct().groupBy("host").agg(F.count("*").alias("articles"))
-    many = seen.filter(F.col("n") >= MIN_PAGES).join(totals, "host").filter(F.col("n") >= MIN_SHARE * F.col("articles"))
-    return trees, written(many.select("key"), "templates")
+    some = given.filter("host <> '' AND html IS NOT NULL").select("host", "page", "html")
+    trees = written(some.mapInArrow(run, "host string, page long, body long, subtrees array<long>"), "subtrees")
+    seen = trees.select("host", "body", F.explode("subtrees").alias("subtree")).distinct().groupBy("host", "subtree").agg(F.count("*").alias("n"))
+    return trees, written(seen.filter(F.col("n") >= MIN_PAGES).select("host", "subtree"), "templates")
 
 
-def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``pages`` without its html, with ``text string, n_chars long`` of the whole html; columns of these names are replaced.
 
-    Null and empty html: empty text. A null url: no templates. Null ids and repeated rows stay; an empty table gives an
-    empty one. Up to ``most_broadcast`` template keys go to all tasks; beyond, each page meets its own by a join on id.
+    Null and empty html: empty text. A null url: no templates. Repeated rows and ids stay, each with the text of its
+    own html; other columns may have any names; an empty table gives an empty one. Pages meet the templates of their host by a
+    join at every size, a template's pages in WAYS tasks; only pages that have one are shuffled for it.
     """
-    trees, keys = templates(pages, id_col, url_col, html_col)
+    given = read(pages, url_col, html_col)
+    trees, found = templates(given)
+    ways = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(WAYS - 1).cast("long")))
+    each = trees.select("host", "page", F.explode("subtrees").alias("subtree")).distinct().withColumn("way", F.pmod("page", F.lit(WAYS)))
+    own = each.join(found.withColumn("way", ways), ["host", "subtree", "way"], "left_semi").groupBy("page").agg(F.collect_set("subtree").alias("deleted"))
+    own = written(own, "deleted")
+    may = marked(given, own, "page")
+    none = may.filter("NOT _may").select("row", "html", F.lit(None).cast("array<long>").alias("deleted"))
+    some = may.filter("_may").join(own.hint("merge"), "page", "left").select("row", "html", "deleted")
+
+    @F.arrow_udf("string")
+    def text(raw: pa.Array, deleted: pa.Array) -> pa.Array:
+        return pa.array([extract(text_of(a), set(b or ())) for a, b in zip(raw.to_pylist(), deleted.to_pylist(), strict=True)], pa.string())
+
+    out = none.unionByName(some).select("row", text("html", "deleted").alias("text"))
     kept = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
-    row, html = F.struct(*kept).alias("row"), F.col(html_col).cast("binary").alias("html")
-    if keys.limit(most_broadcast + 1).count() <= most_broadcast:
-        held = pages.sparkSession.sparkContext.broadcast({r.key for r in keys.toLocalIterator()})
-
-        @F.arrow_udf("string")
-        def by_key(raw: pa.Array, hosts: pa.Array) -> pa.Array:
-            known = held.value
-            return pa.array([extract_known(text_of(a), b, known) for a, b in zip(raw.to_pylist(), hosts.to_pylist(), strict=True)], pa.string())
-
-        out = pages.select(row, html, host_of(F.col(url_col)).alias("host")).select("row", by_key("html", "host").alias("text"))
-    else:
-
-        @F.arrow_udf("string")
-        def by_own(raw: pa.Array, own: pa.Array) -> pa.Array:
-            return pa.array([extract(text_of(a), set(b or ())) for a, b in zip(raw.to_pylist(), own.to_pylist(), strict=True)], pa.string())
-
-        each = trees.select("id", F.explode(F.arrays_zip("subtrees", "keys")).alias("x")).select("id", "x.subtrees", F.col("x.keys").alias("key"))
-        own = each.join(keys, "key", "left_semi").groupBy("id").agg(F.collect_set("subtrees").alias("own"))
-        left = pages.select(row, html, F.col(id_col).cast("long").alias("page"))
-        out = left.join(own, left.page.eqNullSafe(own.id), "left").select("row", by_own("html", "own").alias("text"))
-    text = out.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], "text")
-    return text.withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], "text", F.length("text").cast("long").alias("n_chars"))
