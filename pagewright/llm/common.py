@@ -69,8 +69,8 @@ def among(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
 
 def without(rows: DataFrame, gone: DataFrame, column: str, on: list[str]) -> DataFrame:
     """Rows that ``gone`` doesn't hold, by ``on`` (``column`` among them); only rows that it may hold are shuffled."""
-    marked = marked(rows, gone, column)
-    return marked.filter("NOT _may").drop("_may").unionByName(marked.filter("_may").drop("_may").join(gone.hint("merge"), on, "left_anti").select(*rows.columns))
+    told = marked(rows, gone, column)
+    return told.filter("NOT _may").drop("_may").unionByName(told.filter("_may").drop("_may").join(gone.hint("merge"), on, "left_anti").select(*rows.columns))
 
 
 def partitions(spark: SparkSession) -> int:
