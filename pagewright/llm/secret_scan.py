@@ -22,12 +22,16 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
-#: Tokens that can be secrets: runs of their alphabet with a digit, 8 characters or more. All others are outside.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*+[0-9])[A-Za-z0-9+/_.=-]{8,}")
+#: Tokens, which marks of keys may join, and what is between them.
+PIECE = re.compile(r"\w++(?:[+/.-]++\w++)*+(?:={1,2}(?![\w=]))?|\W++")
 STATES = "BIO"
-#: Rows that fitting collects at most; those with the smallest hashes of their ids.
-MOST_FIT = 3000
-STEPS, RIDGE = 120, 0.003
+#: Rows that fitting looks at, at most (those with the smallest hashes of their ids), and their windows that it collects.
+MOST_FIT, MOST_WINDOWS = 3000, 2500
+#: Tokens of such a window, and characters of a token that its features look at.
+WINDOW, LONGEST = 24, 128
+STEPS, RIDGE = 80, 0.001
+#: Strings whose weights a worker remembers, and tokens that are tagged together.
+MOST_STRINGS, GROUP = 200_000, 1 << 18
 
 Span = tuple[str, int, int]
 
@@ -47,15 +51,14 @@ def ordered(spans: list[Span]) -> list[Span]:
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def runs(text: str) -> list[list[tuple[int, int]]]:
-    """Candidates of a text, those with one character between them, not white space, in one sequence."""
-    out: list[list[tuple[int, int]]] = []
-    for m in CANDIDATE.finditer(text):
-        if out and m.start() - out[-1][-1][1] == 1 and not text[m.start() - 1].isspace():
-            out[-1].append(m.span())
-        else:
-            out.append([m.span()])
-    return out
+def pieces_of(text: str) -> list[str]:
+    """Gap, token, gap, ..., gap: all of a text."""
+    pieces = PIECE.findall(text)
+    if not pieces or pieces[0][0].isalnum() or pieces[0][0] == "_":
+        pieces.insert(0, "")
+    if len(pieces) % 2 == 0:
+        pieces.append("")
+    return pieces
 
 
 def shape(token: str) -> str:
@@ -63,43 +66,85 @@ def shape(token: str) -> str:
     return re.sub(r"(.)\1+", r"\1", re.sub("[0-9]", "9", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", token))))
 
 
-def file_features(text: str) -> list[str]:
+_hint = re.compile(r"pass|pwd|secret|token|key|auth|bearer|credential|phrase|login")
+
+
+def file_feature(text: str) -> str:
     """What the whole text looks like: its length and how much of it is code."""
     code = sum(map(text.count, "={};")) * 200 // (len(text) + 200)
-    return [f"file length {len(text).bit_length() // 3}", f"file code {min(code, 4)}"]
+    return f"length {len(text).bit_length() // 3} code {min(code, 4)}"
 
 
-def features(text: str, start: int, end: int) -> list[str]:
-    """Names of what holds of a candidate: shape, neighbouring words and marks."""
-    token = text[start:end]
+def own_features(token: str) -> list[str]:
+    """What a token itself looks like."""
+    token = token[:LONGEST]
+    if token.isalpha() and (token.islower() or token[1:].islower()) and len(token) < 20:
+        return ["any", "plain word", f"plain length {len(token) // 4}", "is " + token.lower()]
     counts = Counter(token)
-    entropy = -sum(n / len(token) * math.log2(n / len(token)) for n in counts.values())
+    entropy = -sum(n / len(token) * math.log2(n / len(token)) for n in counts.values()) if token else 0.0
     digits = sum(map(str.isdigit, token))
-    left, right = text[max(0, start - 48) : start], text[end : end + 24]
-    words = re.findall(r"[A-Za-z]+", left)
-    marks = re.sub(r"[\sA-Za-z0-9]", "", left[-4:])
     kinds = ("lower " * bool(re.search("[a-z]", token))) + ("upper " * bool(re.search("[A-Z]", token))) + ("mark " * bool(re.search(r"[+/_.=-]", token)))
-    hint = bool(re.search(r"pass|pwd|secret|token|key|auth|bearer|credential", " ".join(words[-3:]).lower()))
+    turns = len(re.findall("[a-z][A-Z]", token))
     return [
         "any",
         "shape " + shape(token)[:12],
         f"length {min(len(token), 64) // 4}",
         f"entropy {min(round(2 * entropy), 10)} kinds {kinds}",
-        f"digits {round(6 * digits / len(token))} kinds {kinds}",
+        f"digits {round(6 * digits / max(1, len(token)))} kinds {kinds}",
+        f"turns {min(turns, 4)} long {min(len(token) // 8, 4)}",
         "begins " + re.sub("[0-9]", "9", token[:4]),
         f"dots {min(token.count('.'), 3)} slashes {min(token.count('/'), 3)} dashes {min(token.count('-'), 3)}",
         "hex" if re.fullmatch(r"[0-9a-f]+", token) else "not hex",
-        f"last word {words[-1].lower() if words else ''}",
-        f"word before {words[-2].lower() if len(words) > 1 else ''}",
-        f"marks before {marks[-2:]}",
-        f"mark at {left[-1:] if not left[-1:].isalnum() else 'a'}",
-        f"mark after {right[:1] if not right[:1].isalnum() else 'a'}",
-        f"hint {hint} assigned {bool(re.search('[=:]', marks))} long {len(token) >= 16} letters {digits < len(token)}",
-        f"at sign {'@' in (left[-1:], right[:1])}",
-        f"in a link {'//' in left.rsplit(None, 1)[-1] if left.split() else False} {'//' in token}",
     ]
 
 
+def beside_features(token: str) -> list[str]:
+    """What a token tells of its neighbours; the empty one is the end of a line."""
+    token = token[:LONGEST]
+    low = token.lower()
+    kind = "end" if not token else "plain" if token.isalpha() and not token[1:].isupper() else shape(token)[:6]
+    return [f"kind {kind}", f"hint {bool(_hint.search(low))}", "is " + low if len(low) < 20 else "long"]
+
+
+def gap_features(gap: str) -> list[str]:
+    marks = "".join(gap.split())
+    return [f"marks {marks[-3:]}", f"blank {gap != marks}", f"assigned {bool(re.search('[=:]', marks))}"]
+
+
+def joint_feature(before: int, assigned: int, own: int) -> str:
+    return f"hint before {before} assigned {assigned} own {own}"
+
+
+def is_hint(token: str) -> int:
+    return int(bool(_hint.search(token[:LONGEST].lower())))
+
+
+def is_assigned(gap: str) -> int:
+    return int("=" in gap or ":" in gap)
+
+
+def size_class(token: str) -> int:
+    """Short, long, or long and mixed: 0 to 3 by length, 4 more where it isn't a plain word."""
+    return min(len(token) // 6, 3) + 4 * (not (token.isalpha() and (token.islower() or token[1:].islower())))
+
+
+#: Places whose features a token has, besides joint and file features: itself, its neighbours, and the gaps around it.
+PLACES = {"own": own_features, "before": beside_features, "before that": beside_features, "after": beside_features, "gap before": gap_features, "gap after": gap_features}
+
+
+def line_features(tokens: list[str], gaps: list[str], file: str) -> list[list[str]]:
+    """Names of all features of each token of a line; ``gaps`` has one more."""
+    out = []
+    for i, token in enumerate(tokens):
+        at = {
+            "own": token, "before": tokens[i - 1] if i else "", "before that": tokens[i - 2] if i > 1 else "",
+            "after": tokens[i + 1] if i + 1 < len(tokens) else "", "gap before": gaps[i], "gap after": gaps[i + 1],
+        }
+        names = [f"{place}: {name}" for place, of in PLACES.items() for name in of(at[place])]
+        out.append([*names, joint_feature(is_hint(at["before"]), is_assigned(gaps[i]), size_class(token)), "file: " + file])
+    return out
+
+
 @dataclass
 class Model:
     """Weights of features for B, I and O, of steps between them, and of first states."""
@@ -109,9 +154,8 @@ class Model:
     step: np.ndarray = field(default_factory=lambda: np.zeros((3, 3)))
     first: np.ndarray = field(default_factory=lambda: np.zeros(3))
 
-    def emissions(self, text: str, run: list[tuple[int, int]], own: list[str]) -> np.ndarray:
-        rows = [[self.names[x] for x in own + features(text, a, b) if x in self.names] for a, b in run]
-        return np.array([self.emit[row].sum(0) for row in rows])
+    def weight(self, names: Iterable[str]) -> np.ndarray:
+        return self.emit[[self.names[x] for x in names if x in self.names]].sum(0)
 
 
 def viterbi(emit: np.ndarray, step: np.ndarray, first: np.ndarray) -> list[int]:
@@ -127,6 +171,31 @@ def viterbi(emit: np.ndarray, step: np.ndarray, first: np.ndarray) -> list[int]:
     return path[::-1]
 
 
+def best_paths(emits: list[np.ndarray], step: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """``viterbi`` of many sequences at once, place by place over those that are as long."""
+    sizes = np.array([len(x) for x in emits], np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    out = [np.zeros(0, np.int8)] * len(emits)
+    for at in range(0, len(order), 4096):
+        part = order[at : at + 4096]
+        long = sizes[part]
+        flat, starts = np.concatenate([emits[i] for i in part]), np.cumsum(long) - long
+        score = flat[starts] + first
+        back = [np.zeros((len(part), 3), np.int8)]
+        for t in range(1, int(long[0])):
+            n = int(np.searchsorted(-long, -t, "left"))  # sequences of more than t tokens
+            all_ = score[:n, :, None] + step
+            back.append(all_.argmax(1).astype(np.int8))
+            score[:n] = all_.max(1) + flat[starts[:n] + t]
+        for i, k in enumerate(part.tolist()):
+            path = np.zeros(long[i], np.int8)
+            path[-1] = score[i].argmax()
+            for t in range(int(long[i]) - 1, 0, -1):
+                path[t - 1] = back[t][i, path[t]]
+            out[k] = path
+    return out
+
+
 #: Steps that can't be: to inside from outside, and to inside at first.
 _BAN = np.zeros((3, 3))
 _BAN[2, 1] = -1e4
@@ -144,6 +213,7 @@ def fit_crf(sequences: list[tuple[list[list[str]], list[int]]]) -> Model:
     at = np.array([(i, t) for i, t, _ in tokens])
     flat = np.concatenate([np.array(row, int) for _, _, row in tokens])
     owner = np.repeat(np.arange(len(tokens)), [len(row) for _, _, row in tokens])
+    heads = np.cumsum([0, *(len(row) for _, _, row in tokens[:-1])])
     gold = np.zeros((len(sequences), deep), int)
     mask = np.zeros((len(sequences), deep), bool)
     for i, (_, states) in enumerate(sequences):
@@ -159,7 +229,7 @@ def fit_crf(sequences: list[tuple[list[list[str]], list[int]]]) -> Model:
         return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
 
     for k in range(1, STEPS + 1):
-        per_token = np.stack([np.bincount(owner, params[0][flat, s], len(tokens)) for s in range(3)], 1)
+        per_token = np.add.reduceat(params[0][flat], heads, axis=0)
         emit = np.zeros((n, deep, 3))
         emit[at[:, 0], at[:, 1]] = per_token
         step, first = params[1] + _BAN, params[2] + _FIRST_BAN
@@ -190,20 +260,34 @@ def fit_crf(sequences: list[tuple[list[list[str]], list[int]]]) -> Model:
     return Model(names, params[0], params[1] + _BAN, params[2] + _FIRST_BAN)
 
 
+def windows(text: str, spans: list[tuple[int, int]]) -> Iterator[tuple[list[str], list[str], list[int], str]]:
+    """``tokens, gaps, states, file`` of the lines of a text, in parts of WINDOW tokens; a token in a span begins it or goes on with it."""
+    pieces, file = pieces_of(text), file_feature(text)
+    spans, at, last = sorted(spans), 0, None
+    tokens, gaps, states = [], [pieces[0]], []
+    for token, gap in zip(pieces[1::2], pieces[2::2], strict=True):
+        begin = at + len(gaps[-1])
+        at = begin + len(token)
+        while spans and spans[0][1] <= begin:
+            spans.pop(0)
+        span = spans[0] if spans and spans[0][0] < at else None
+        states.append(2 if span is None else 1 if span == last else 0)
+        last = span
+        tokens.append(token[:LONGEST])
+        gaps.append(gap)
+        if "\n" in gap or len(tokens) == WINDOW:
+            yield tokens, gaps, [0 if k == 0 and x == 1 else x for k, x in enumerate(states)], file
+            tokens, gaps, states = [], [gap], []
+    if tokens:
+        yield tokens, gaps, [0 if k == 0 and x == 1 else x for k, x in enumerate(states)], file
+
+
 def labelled(text: str, spans: list[tuple[int, int]]) -> list[tuple[list[list[str]], list[int]]]:
-    """Sequences of a text; a candidate in a span begins it, or goes on with it."""
-    own, out = file_features(text), []
-    for run in runs(text):
-        states, last = [], None
-        for a, b in run:
-            span = next((s for s in spans if s[0] < b and a < s[1]), None)
-            states.append(2 if span is None else 1 if span == last else 0)
-            last = span
-        out.append(([own + features(text, a, b) for a, b in run], states))
-    return out
+    """Features and states of the windows of a text."""
+    return [(line_features(tokens, gaps, file), states) for tokens, gaps, states, file in windows(text, spans)]
 
 
-def examples(count: int = 1500, seed: int = 7) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+def examples(count: int = 1200, seed: int = 7) -> Iterator[tuple[str, list[tuple[int, int]]]]:
     """Made-up texts with one item each, so that every kind is learned whatever the corpus holds."""
     rng = random.Random(seed)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
@@ -216,6 +300,8 @@ def examples(count: int = 1500, seed: int = 7) -> Iterator[tuple[str, list[tuple
         lambda: "AKIA" + some(16, alphabet[:26] + alphabet[52:]),
         lambda: "eyJ" + some(30) + "." + some(40) + "." + some(30),
         lambda: some(rng.randint(32, 64), "0123456789abcdef"),
+        lambda: "".join(rng.choices(alphabet[:52], k=rng.randint(14, 30))),
+        lambda: "-".join(word() + word() for _ in range(rng.randint(3, 5))),
     )
     plain = (
         lambda: f"{word()}.{rng.randint(1, 99)}@mail{rng.randint(1, 9)}.example.com",
@@ -230,6 +316,7 @@ def examples(count: int = 1500, seed: int = 7) -> Iterator[tuple[str, list[tuple
         lambda: "-".join(some(n, "0123456789abcdef") for n in (8, 4, 4, 4, 12)),
         lambda: f"{rng.choice(['GB', 'DE', 'FR', 'ES'])}{some(20, '0123456789')}",
     )
+    phrase = lambda: " ".join(word() for _ in range(rng.randint(3, 6)))
     given = ('{} = "', "{}: ", "{}=", "export {}='", "Authorization: Bearer ", "{} is ", '"{}": "', "")
     for i in range(count):
         words = [word() for _ in range(rng.randint(4, 40))]
@@ -237,6 +324,8 @@ def examples(count: int = 1500, seed: int = 7) -> Iterator[tuple[str, list[tuple
         if i % 2:
             name = rng.choice(["password", "token", "secret_key", "API_KEY", "auth", "access_key", "client_secret", "pwd"])
             lead, item = rng.choice(given).format(name), rng.choice(secrets)()
+            if i % 10 == 1:  # of several tokens, to the closing mark
+                lead, item = rng.choice(["passphrase", "pass phrase", "recovery phrase"]) + rng.choice([': "', ' = "', "='"]), phrase()
             spans = [(len(before + lead), len(before + lead + item))]
         else:
             lead, item, spans = rng.choice(["", "", "id: ", "see ", 'name = "']), rng.choice(plain)(), []
@@ -244,44 +333,162 @@ def examples(count: int = 1500, seed: int = 7) -> Iterator[tuple[str, list[tuple
 
 
 def train(docs: DataFrame, most: int = MOST_FIT, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on made-up examples and on ``most`` rows at most, labelled by the fixed patterns."""
+    """Fit on made-up examples and on windows of ``most`` rows at most, labelled by the fixed patterns.
+
+    MOST_WINDOWS windows come to the driver, those with a span first, then those with the smallest hashes.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
     keys = rows.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(most)
-    sample = rows.join(F.broadcast(keys), "id").orderBy(F.xxhash64("id"), "id", "text").select("text").limit(most)
+    schema = pa.schema([("tokens", pa.list_(pa.string())), ("gaps", pa.list_(pa.string())), ("states", pa.list_(pa.int32())), ("file", pa.string())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[tuple]:
+            for (text,) in rows_of(batches):
+                for tokens, gaps, states, file in windows(text, [(a, b) for _, a, b in base_spans(text)]):
+                    yield tokens, [gap[-LONGEST:] for gap in gaps], states, file
+
+        return batches_of(found(), schema, weigh=lambda row: 64 * len(row[0]))
+
+    cut = rows.join(F.broadcast(keys), "id").select("text").mapInArrow(run, "tokens array<string>, gaps array<string>, states array<int>, file string")
+    sample = cut.distinct().orderBy(F.array_min("states") == 2, F.xxhash64("tokens", "gaps"), "tokens", "gaps", "states", "file").limit(MOST_WINDOWS)
     sequences = [s for text, spans in examples() for s in labelled(text, spans)]
-    for row in sample.toLocalIterator():
-        sequences += labelled(row.text, [(a, b) for _, a, b in base_spans(row.text)])
+    sequences += [(line_features(r.tokens, r.gaps, r.file), r.states) for r in sample.collect()]
     return fit_crf(sequences)
 
 
+class Tagger:
+    """Tags all tokens of many texts at once: strings with the same known features share a row of weights, rows are added up by place."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.known: dict[str, dict[str, int]] = {place: {} for place in PLACES}
+        self.rows: dict[str, dict[tuple, int]] = {place: {} for place in PLACES}
+        self.weights: dict[str, list[np.ndarray]] = {place: [] for place in PLACES}
+        self.names = {place: {name.removeprefix(place + ": "): i for name, i in model.names.items() if name.startswith(place + ": ")} for place in PLACES}
+        self.joint = np.array([[[model.weight([joint_feature(a, b, c)]) for c in range(8)] for b in range(2)] for a in range(2)])
+        self.files: dict[str, np.ndarray] = {}
+        step, first = model.step, model.first
+        #: What a span can gain by its steps against outside throughout: by a token after its first, and by its ends.
+        self.inner = max(0.0, (step[:2, :2] - step[2, 2]).max())
+        leave, enter = max(0.0, (step[:2, 2] - step[2, 2]).max()), max(step[2, 0] - step[2, 2], first[0] - first[2])
+        self.outer = enter + leave
+
+    def _ids(self, place: str, strings: list[str]) -> np.ndarray:
+        known, rows, names, of = self.known[place], self.rows[place], self.names[place], PLACES[place]
+        for x in strings:
+            if x not in known:
+                key = tuple([names[name] for name in of(x) if name in names])
+                if key not in rows:
+                    rows[key] = len(rows)
+                    self.weights[place].append(self.model.emit[list(key)].sum(0))
+                known[x] = rows[key]
+        return np.array([known[x] for x in strings], np.int64)
+
+    def emissions(self, tokens: list[str], gaps: list[str], files: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of the states of each token, and whether it begins a line. A text ends with an empty token behind its last gap."""
+        if sum(map(len, self.known.values())) > MOST_STRINGS:
+            self.__init__(self.model)
+        coded, between = pa.array(tokens).dictionary_encode(), pa.array(gaps).dictionary_encode()
+        names, marks = coded.dictionary.to_pylist(), between.dictionary.to_pylist()
+        token, gap = coded.indices.to_numpy(), between.indices.to_numpy()
+        empty = names.index("")
+        starts = np.array(["\n" in x for x in marks])[gap] | np.concatenate([[True], token[:-1] == empty])
+        one = np.concatenate([[empty], token[:-1]])
+        one[starts] = empty
+        two = np.concatenate([[empty], one[:-1]])
+        two[starts] = empty
+        after = np.concatenate([token[1:], [empty]])
+        after[:-1][starts[1:]] = empty
+        out = files.copy()
+        for place, where, strings in (("own", token, names), ("before", one, names), ("before that", two, names), ("after", after, names), ("gap before", gap, marks), ("gap after", np.concatenate([gap[1:], gap[:1]]), marks)):
+            ids = self._ids(place, strings)
+            out += np.array(self.weights[place])[ids][where]
+        hint, size, assigned = (np.array(list(map(of, of_what))) for of, of_what in ((is_hint, names), (size_class, names), (is_assigned, marks)))
+        out += self.joint[hint[one], assigned[gap], size[token]]
+        out[token == empty] = (-1e4, -1e4, 0)
+        return out, starts
+
+    def tags(self, emit: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, list[int]]]:
+        """First token and best states of each line that isn't outside throughout.
+
+        A line is passed over when no token gains enough for any span to pay, which is what Viterbi would find.
+        """
+        gain = emit[:, :2].max(1) - emit[:, 2] + self.inner
+        begins = np.flatnonzero(starts)
+        total, most = np.add.reduceat(np.maximum(gain, 0), begins), np.maximum.reduceat(gain, begins)
+        pays = np.where(most > 0, total, most) + self.outer > 0
+        ends = np.concatenate([begins[1:], [len(emit)]])
+        lines = list(zip(begins[pays].tolist(), ends[pays].tolist(), strict=True))
+        for (a, _), states in zip(lines, best_paths([emit[a:b] for a, b in lines], self.model.step, self.model.first), strict=True):
+            if states.min() < 2:
+                yield a, states.tolist()
+
+    def find(self, texts: list[str]) -> list[list[Span]]:
+        """Base spans of each text, and those of the field that overlap none of them."""
+        tokens, gaps, firsts, files = [], [], [], []
+        for text in texts:
+            pieces = pieces_of(text)
+            firsts.append(len(tokens))
+            tokens += pieces[1::2]
+            tokens.append("")
+            gaps += pieces[0::2]
+            file = file_feature(text)
+            if file not in self.files:
+                self.files[file] = self.model.weight(["file: " + file])
+            files.append(self.files[file])
+        sizes = np.diff([*firsts, len(tokens)])
+        emit, starts = self.emissions(tokens, gaps, np.repeat(np.array(files), sizes, axis=0))
+        added: list[list[Span]] = [[] for _ in texts]
+        which = np.repeat(np.arange(len(texts)), sizes)
+        places: dict[int, np.ndarray] = {}
+        for a, states in self.tags(emit, starts):
+            of = int(which[a])
+            if of not in places:
+                low, high = firsts[of], firsts[of] + int(sizes[of])
+                lengths = np.array([(len(g), len(t)) for g, t in zip(gaps[low:high], tokens[low:high], strict=True)]).ravel()
+                places = {of: np.cumsum(lengths)}
+            for k, state in enumerate(states, a - firsts[of]):
+                begin, end = int(places[of][2 * k]), int(places[of][2 * k + 1])
+                if state == 0:
+                    added[of].append(("crf", begin, end))
+                elif state == 1:
+                    added[of][-1] = ("crf", added[of][-1][1], end)
+        out = []
+        for text, more in zip(texts, added, strict=True):
+            base = base_spans(text)
+            out.append(ordered(base + [s for s in more if all(s[2] <= a or b <= s[1] for _, a, b in base)]))
+        return out
+
+
 def find(model: Model, text: str) -> list[Span]:
     """Base spans, and those of the field that overlap none of them."""
-    base = base_spans(text)
-    added: list[Span] = []
-    own = None
-    for run in runs(text):
-        own = own or file_features(text)
-        states = viterbi(model.emissions(text, run, own), model.step, model.first)
-        for (a, b), state in zip(run, states, strict=True):
-            if state == 0:
-                added.append(("crf", a, b))
-            elif state == 1:
-                added[-1] = ("crf", added[-1][1], b)
-    return ordered(base + [s for s in added if all(s[2] <= a or b <= s[1] for _, a, b in base)])
+    return Tagger(model).find([text])[0]
 
 
 def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, spans array<struct<kind, start, end>>`` of each row's whole text, in code points, ends exclusive.
 
-    Null and empty texts have no spans. Null and repeated ids are kept, other columns left out; an empty table gives an
-    empty one. Nothing is shuffled.
+    Every token of a line is tagged. Null and empty texts have no spans. Null and repeated ids are kept, other columns left
+    out; an empty table gives an empty one. Nothing is shuffled.
     """
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     schema = pa.schema([("id", pa.int64()), ("spans", kind)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = ((key, find(model, text_of(raw))) for key, raw in rows_of(batches))
-        rows = ((key, [dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans]) for key, spans in found)
+        tagger = Tagger(model)
+
+        def found() -> Iterator[tuple]:
+            held, size = [], 0
+            for key, raw in rows_of(batches):
+                held.append((key, text_of(raw)))
+                size += 8 + len(held[-1][1]) // 6
+                if size >= GROUP:
+                    yield from zip([k for k, _ in held], tagger.find([x for _, x in held]), strict=True)
+                    held, size = [], 0
+            if held:
+                yield from zip([k for k, _ in held], tagger.find([x for _, x in held]), strict=True)
+
+        rows = ((key, [dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans]) for key, spans in found())
         return batches_of(rows, schema)
 
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("raw"))
