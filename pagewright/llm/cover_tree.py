@@ -15,16 +15,16 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batches_of, partitions, rows_of, written
 
 SCALE = 1024.0
-#: Rows of a data block and of a query pack, and of their nodes that aren't split.
-BLOCK_ROWS, PACK_ROWS, LEAF, PACK_LEAF = 4096, 512, 48, 8
-#: Children after which a node whose children cover fewer than two rows each stays whole.
-TRIED = 32
+#: Rows of a data block and of a query pack, and of their nodes that aren't split; packs that one task holds together.
+BLOCK_ROWS, PACK_ROWS, LEAF, PACK_LEAF, PACKS = 4096, 512, 48, 8, 8
+#: A node's radius divided by this covers each of its children; centres of siblings are farther apart than that.
+BASE = 1.3
 #: What 64 bits hold.
 LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
 #: Sums below this are exact in 64-bit floats.
@@ -45,7 +45,11 @@ class Node:
 
 @dataclass
 class CoverTree:
-    """Rows in tree order. A child's radius is at most half its parent's, and centres of siblings are farther apart than that."""
+    """Rows in tree order. A child's radius is its parent's divided by BASE at most, and centres of siblings are farther apart than that.
+
+    A node of more than ``leaf`` rows is split, unless its children would be single rows for the most part: those are
+    scored at once, which is what their bounds would cost.
+    """
 
     ids: np.ndarray
     x: np.ndarray
@@ -75,18 +79,16 @@ class CoverTree:
             node.radius, node.low = float(far.max(initial=0.0)), place
             groups: list[tuple] = []
             if len(rows) > leaf and node.radius > 0:
-                reach, left, distance, centre = node.radius / 2, rows, far, node.centre
+                reach, left, distance, centre = node.radius / BASE, rows, far, node.centre
                 while len(left):
                     near = distance <= reach
                     groups.append((centre, left[near], distance[near]))
                     left = left[~near]
-                    if len(groups) >= TRIED and len(rows) - len(left) < 2 * len(groups):
-                        break
                     if len(left):
                         centre = int(left[0])
                         distance = spread(left, centre)
-                if len(left) or 4 * len(groups) > 3 * len(rows):
-                    groups = []  # Children would be single rows, as in many dimensions: halving the radius parts nothing.
+                if 4 * len(groups) > 3 * len(rows):
+                    groups = []
             own = np.zeros(0, int) if groups else rows
             order.append(own)
             place += len(own)
@@ -107,6 +109,14 @@ class CoverTree:
         return cls(ids[ranks], x[ranks], root, np.sqrt((x[ranks] ** 2).sum(axis=1)))
 
 
+    def nodes(self) -> int:
+        count, work = 0, [self.root]
+        while work:
+            count += 1
+            work += work.pop().kids
+        return count
+
+
 class Best:
     """The k best scores of each query so far; ties go to the smaller id."""
 
@@ -210,43 +220,56 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
     """``query_id, rank, id_col, score``: the k best of ``vectors`` for each of ``queries``, fewer if there are no more.
 
     A query never finds a row with its own id. Ties go to the smaller id. Null ids, null vectors and vectors with null or
-    non-finite components take no part; vectors of other lengths than the query's don't either. Equal query rows are one
-    query; repeated rows of data each count. Scores that 64 bits can't hold become the nearest that they
-    can before they are ranked. Other columns
-    are left out; empty tables give no rows. Blocks of data are dealt into ``groups`` (by default the shuffle partitions)
-    and packs of queries go to all groups, so a task streams packs over its own blocks and sends k rows a query.
+    non-finite components take no part; vectors of other lengths than the query's don't either. An id is one query: of
+    several vectors with it the smallest counts. Repeated rows of data each count. Scores that 64 bits can't hold become the
+    nearest that they can before they are ranked. Other columns are left out; empty tables give no rows.
+
+    Blocks of data are dealt into ``groups`` (by default the shuffle partitions) and packs of queries into sets of PACKS. A
+    task holds one set and streams the blocks of a group past it, each once, and sends k rows a query.
     """
-    shape = (F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    shape = (F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector"))
     groups = groups or partitions(vectors.sparkSession)
-    blocks = packed(vectors.select(*shape).filter("id IS NOT NULL AND vector IS NOT NULL"), BLOCK_ROWS, LEAF)
-    asked = queries.select(*shape).filter("id IS NOT NULL AND vector IS NOT NULL").distinct()
-    asked = written(asked, "queries")
-    packs = written(packed(asked.repartition(max(1, -(-asked.count() // PACK_ROWS)), "id"), PACK_ROWS, PACK_LEAF), "packs")
-    blocks = written(blocks, "blocks").withColumn("group", F.pmod(F.hash("part", "seq"), F.lit(groups)))
-    packs = packs.select("dim", "part", "seq", F.col("blob").alias("pack"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
-    pairs = packs.join(blocks.select("dim", "group", "blob").hint("merge"), ["dim", "group"]).select("dim", "group", "part", "seq", "pack", "blob")
+    fine = "id IS NOT NULL AND vector IS NOT NULL AND forall(vector, x -> x IS NOT NULL AND abs(x) < double('Infinity'))"
+    blocks = written(packed(vectors.select(*shape).filter(fine), BLOCK_ROWS, LEAF), "blocks")
+    asked = written(queries.select(*shape).filter(fine).groupBy("id").agg(F.min("vector").alias("vector")), "queries")
+    parts = max(1, -(-asked.count() // PACK_ROWS))
+    sets = -(-parts // PACKS)
+    packs = written(packed(asked.repartition(parts, "id"), PACK_ROWS, PACK_LEAF), "packs").withColumn("set", F.pmod("part", F.lit(sets)))
+
+    def every(n: int, name: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+
+    held = packs.select("dim", every(groups, "group"), "set", F.lit(0).alias("kind"), "part", "seq", "blob")
+    met = blocks.select("dim", F.pmod(F.hash("part", "seq"), F.lit(groups)).alias("group"), every(sets, "set"), F.lit(1).alias("kind"), "part", "seq", "blob")
+    stream = held.unionByName(met).repartition(groups * sets, "group", "set").sortWithinPartitions("dim", "group", "set", "kind", "part", "seq")
     schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            last, best = None, None
+            last, bests = None, []
             for batch in batches:
                 for at in range(batch.num_rows):
-                    *key, pack, blob = (column[at].as_py() for column in batch.columns)
+                    *key, kind, _, _, blob = (column[at].as_py() for column in batch.columns)
                     if key != last:
-                        yield from results(best)
-                        last, best = key, Best(pickle.loads(pack), k)
-                    search(best, pickle.loads(blob))
-            yield from results(best)
+                        yield from results(bests)
+                        last, bests = key, []
+                    if kind == 0:
+                        bests.append(Best(pickle.loads(blob), k))
+                    elif bests:
+                        block = pickle.loads(blob)
+                        for best in bests:
+                            search(best, block)
+            yield from results(bests)
 
         return batches_of(rows(), schema)
 
-    def results(best: Best | None) -> Iterator[tuple]:
-        for query, found in zip(best.queries.ids.tolist() if best else (), best.rows if best else (), strict=True):
-            for score, key in found:
-                yield query, key, -score
+    def results(bests: list[Best]) -> Iterator[tuple]:
+        for best in bests:
+            for query, found in zip(best.queries.ids.tolist(), best.rows, strict=True):
+                for score, key in found:
+                    yield query, key, -score
 
-    found = pairs.mapInArrow(run, "query_id long, id long, score long")
+    found = stream.mapInArrow(run, "query_id long, id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")

@@ -26,9 +26,9 @@ def check_node(tree, node):
         assert np.sqrt(((inside - tree.x[node.centre]) ** 2).sum(1)).max() <= node.radius + 1e-6
     centres = [kid.centre for kid in node.kids]
     for i, kid in enumerate(node.kids):
-        assert kid.radius <= node.radius / 2 + 1e-6
+        assert kid.radius <= node.radius / ct.BASE + 1e-6
         for other in centres[:i]:
-            assert np.sqrt(((tree.x[kid.centre] - tree.x[other]) ** 2).sum()) > node.radius / 2
+            assert np.sqrt(((tree.x[kid.centre] - tree.x[other]) ** 2).sum()) > node.radius / ct.BASE
         check_node(tree, kid)
     assert node.high == (node.kids[-1].high if node.kids else node.own)
 
@@ -56,7 +56,31 @@ def test_low_dimensions_are_pruned():
     assert ct.search(best, ct.CoverTree.of(np.arange(4000), x)) < 0.3 * 4000 * 1000
 
 
+def test_trees_of_given_vectors():
+    """Random directions in 64 dimensions: trees have nodes, but what is nearest is so far that next to nothing is pruned."""
+    rows = duckdb.sql("SELECT vec_id, embedding FROM '/root/testdata/sf0.1/embeddings.parquet' ORDER BY vec_id").fetchall()
+    ids, x = np.array([r[0] for r in rows]), np.floor(1024 * np.array([r[1] for r in rows]))
+    asked = ids % 100 == 0
+    data, queries = ct.CoverTree.of(ids, x), ct.CoverTree.of(ids[asked], x[asked], ct.PACK_LEAF)
+    check_node(data, data.root)
+    assert data.nodes() > 10
+    best = ct.Best(queries, 10)
+    scored = ct.search(best, data)
+    print(f"{data.nodes()} and {queries.nodes()} nodes, {1 - scored / len(ids) / asked.sum():.3f} of pairs pruned")
+    for key, row, found in zip(queries.ids, queries.x, best.rows, strict=True):
+        assert found == sorted((-int(row @ v), int(i)) for i, v in zip(ids, x, strict=True) if i != key)[:10]
+
+
+def test_one_ranking_an_id_whatever_the_columns(spark):
+    rows = [(0, [1.0, 2.0], 5, 6), (0, [0.5, 9.0], 5, 6), (0, [float("nan"), 0.0], 5, 6), (1, [1.0, 1.0], 5, 6), (2, [2.0, 0.0], 5, 6)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int, query_id int")
+    out = sorted(map(tuple, ct.top_k(vectors, vectors.filter("vec_id = 0"), groups=2).collect()))
+    assert out == [(0, 1, 1, 512 * 1024 + 9216 * 1024), (0, 2, 2, 1024 * 1024)]
+
+
 def test_rows(spark, monkeypatch):
+    monkeypatch.setattr(ct, "PACKS", 1)
+    monkeypatch.setattr(ct, "PACK_ROWS", 2)
     monkeypatch.setattr(ct, "BLOCK_ROWS", 64)
     rng = np.random.default_rng(2)
     rows = [(i, rng.normal(size=8).tolist()) for i in range(300)]
