@@ -11,6 +11,7 @@ TITLE_LABELS = ("title", "section_title")
 CAPTION_LABELS = ("image_caption", "figure_caption", "table_caption")
 VISUAL_LABELS = ("image", "chart")
 FORMULA_LABELS = ("formula", "display_formula")
+PAGE_SKIPPED = ("header", "footer", "header_image", "footer_image", "page_number", "page_num", "number", "seal")
 PAGE_TITLES = ("doc_title", "title", "section_title", "paragraph_title", "subtitle", "reference_title", "ref_title")
 PAGE_FORMULAS = ("formula", "display_formula", "equation")
 PAGE_CAPTIONS = ("image_caption", "figure_caption", "figure_title")
@@ -84,25 +85,47 @@ def reference_entry(c: Column) -> Column:
     return F.when(number != "", F.concat(number, F.lit(". "), strip(rest))).otherwise(F.concat(F.lit("- "), text))
 
 
-def page_block(kind: Column, text: Column) -> Column:
-    """Markdown of a block without tables, by its kind."""
-    body = prose(text)
+def heading(kind: Column, text: Column) -> Column:
+    """A title with as many hashes as it brings, or as its level has."""
     hashes = F.regexp_extract(strip(text), r"(?U)^(#{1,6})\s+", 1)
     title = prose(F.regexp_replace(text, r"(?U)^#{1,6}\s*", ""))
     level = F.when(hashes != "", F.length(hashes)).otherwise(heading_level(kind, title))
-    lead = r"(?isU)^(abstract|摘要|index terms|keywords|关键词)\s*[—–:-]\s*(.+)$"
+    return F.when(title != "", F.concat(F.repeat(F.lit("#"), level), F.lit(" "), title)).otherwise("")
+
+
+def marked(text: Column, mark: str) -> Column:
+    """Prose between marks; nothing for nothing."""
+    body = prose(text)
+    return F.when(body != "", F.concat(F.lit(mark), body, F.lit(mark))).otherwise("")
+
+
+def paragraph(text: Column) -> Column:
+    """Prose, with what leads into an abstract or into keywords as a heading, and one sign for items."""
+    body, lead = prose(text), r"(?isU)^(abstract|摘要|index terms|keywords|关键词)\s*[—–:-]\s*(.+)$"
     section = F.regexp_extract(body, lead, 1)
-    return (
-        F.when(F.coalesce(text, F.lit("")) == "", "")
-        .when(kind.isin(*PAGE_TITLES), F.when(title != "", F.concat(F.repeat(F.lit("#"), level), F.lit(" "), title)).otherwise(""))
-        .when(kind.isin(*PAGE_FORMULAS), display_formula(text))
-        .when(kind.isin(*PAGE_CAPTIONS), F.when(body != "", F.concat(F.lit("*"), body, F.lit("*"))).otherwise(""))
-        .when(kind == "table_caption", F.when(body != "", F.concat(F.lit("**"), body, F.lit("**"))).otherwise(""))
-        .when(kind.isin(*PAGE_REFERENCES), reference_entry(text))
-        .when(section != "", F.concat(F.lit("## "), F.initcap(section), F.lit("\n\n"), strip(F.regexp_extract(body, lead, 2))))
-        .when(body.rlike(r"(?U)^[-*+]\s+"), F.regexp_replace(body, r"(?U)^[-*+]\s+", "- "))
-        .otherwise(body)
+    titled = F.concat(F.lit("## "), F.initcap(section), F.lit("\n\n"), strip(F.regexp_extract(body, lead, 2)))
+    return F.when(section != "", titled).otherwise(F.regexp_replace(body, r"(?U)^[-*+]\s+", "- "))
+
+
+def page_block(kind: Column, text: Column, tabled: Column | None = None) -> Column:
+    """Markdown of a block by its kind. ``tabled``: its text with HTML tables as Markdown, for tables and blocks that hold one.
+
+    Running heads and feet, page numbers and seals have none, whatever their text.
+    """
+    held = F.lower(text).contains("<table")
+    renderers = (
+        ((F.coalesce(text, F.lit("")) == "") | kind.isin(*PAGE_SKIPPED), F.lit("")),
+        (kind.isin(*PAGE_TITLES), heading(kind, text)),
+        (kind.isin(*PAGE_FORMULAS), display_formula(text)),
+        ((kind == "table") | held, text if tabled is None else tabled),
+        (kind.isin(*PAGE_CAPTIONS), marked(text, "*")),
+        (kind == "table_caption", marked(text, "**")),
+        (kind.isin(*PAGE_REFERENCES), reference_entry(text)),
     )
+    out = paragraph(text)
+    for like, rendered in reversed(renderers):
+        out = F.when(like, rendered).otherwise(out)
+    return out
 
 
 def tagged_block(label: Column, content: Column, first_title: Column) -> Column:

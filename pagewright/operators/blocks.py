@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as T
+from . import tables
 
 DET = r"<\|det\|>\s*([A-Za-z_][\w-]*)\s*(\[[^\]]*\])?\s*<\|/det\|>"
 EMPTY_KINDS = ("chart", "seal")
@@ -36,7 +37,7 @@ def det_markdown(blocks: DataFrame, key: str) -> DataFrame:
 
 
 def page_blocks(docs: DataFrame, key: str, raw: Column) -> DataFrame:
-    """``key, ord, kind, box, text`` of output in BLOCK and CHILD tags; charts and seals have no text."""
+    """``key, ord, kind, box, text`` of output in BLOCK and CHILD tags, texts cleaned; charts and seals have none."""
     parts = F.slice(F.split(raw, "<BLOCK>", -1), 2, 1_000_000_000)
     out = docs.select(key, F.posexplode(parts).alias("ord", "part"))
     head = r"^\s*([a-zA-Z_]+)"
@@ -45,11 +46,12 @@ def page_blocks(docs: DataFrame, key: str, raw: Column) -> DataFrame:
     numbers = F.regexp_extract_all(F.regexp_extract("part", box, 1), F.lit(r"-?[0-9.]+"), F.lit(0))
     child = F.regexp_extract("part", r"(?s)<CHILD>(.*)", 1)
     body = F.get(F.split(child, "<(?:FORK|CHILD|BLOCK)>"), F.lit(0))
-    return out.select(
+    out = out.select(
         key, "ord", F.when(kind != "", kind).otherwise("unknown").alias("kind"),
         F.when(F.size(numbers) == 4, F.transform(numbers, lambda v: v.cast("double"))).alias("box"),
         F.when(F.lower(kind).isin(*EMPTY_KINDS), "").otherwise(T.strip(F.coalesce(body, F.lit("")))).alias("text"),
     )
+    return out.withColumn("text", tables.cleaned("text"))
 
 
 def promote_title(blocks: DataFrame, key: str, page: str = "page") -> DataFrame:
@@ -85,8 +87,9 @@ def alt_texts(blocks: DataFrame, key: list[str]) -> DataFrame:
 
 
 def page_markdown(blocks: DataFrame, key: str) -> DataFrame:
-    """``key, markdown`` of blocks without tables, in order, a blank line between."""
-    lines = blocks.withColumn("_line", T.page_block(F.col("kind"), F.col("text"))).filter("_line <> ''")
+    """``key, markdown`` of blocks in order, a blank line between; tables as Markdown's."""
+    tabled = blocks.withColumn("_tabled", tables.tables_in("text"))
+    lines = tabled.withColumn("_line", T.page_block(F.lower("kind"), F.col("text"), F.col("_tabled"))).filter("_line <> ''")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("ord", "_line"))), lambda e: e["_line"])
     return lines.groupBy(key).agg(F.array_join(ordered, "\n\n").alias("markdown"))
 

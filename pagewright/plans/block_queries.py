@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import blocks, linking, tables
 from .registry import Fixture, query, table
+from .text_queries import block_sql, prose_sql, strip_sql
 
 DET = Fixture(
     "doc_id long, raw string",
@@ -35,13 +37,24 @@ def det_blocks(spark, sf_dir):
     return out.select("doc_id", "ord", "label", "text", F.array_join("box", ",").alias("box"))
 
 
-DET_WANT = Fixture(
-    "doc_id long, markdown string",
-    ((1, "# Main title\n\nBody\n\nmore\n\n## Second"), (2, "**Image:** a picture\n\n*Caption here*\n\n$$\nx = 1\n$$"), (5, "# Real")),
-)
+def _names(*sets) -> str:
+    return ", ".join(f"'{x}'" for kinds in sets for x in kinds)
+
 
+_COMPACT = strip_sql("regexp_replace(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')")
 
-@query("det_markdown", f"SELECT * FROM {DET_WANT.sql()}")
+
+@query(
+    "det_markdown",
+    f"""
+    WITH b AS (SELECT doc_id, ord, lower(trim(label)) AS kind, {_COMPACT} AS text FROM ({_DETS})),
+    t AS (SELECT *, sum(CASE WHEN kind IN ({_names(T.TITLE_LABELS)}) AND text <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ord) AS seen FROM b),
+    l AS (SELECT doc_id, ord, CASE WHEN text = '' OR kind IN ({_names(T.SKIPPED_LABELS)}) THEN '' WHEN kind IN ({_names(T.TITLE_LABELS)}) THEN CASE WHEN seen = 1 THEN '# ' ELSE '## ' END || text
+            WHEN kind IN ({_names(T.CAPTION_LABELS)}) THEN '*' || text || '*' WHEN kind IN ({_names(T.FORMULA_LABELS)}) THEN '$$' || chr(10) || text || chr(10) || '$$'
+            WHEN kind IN ({_names(T.VISUAL_LABELS)}) THEN '**' || upper(kind[1]) || kind[2:] || ':** ' || text ELSE text END AS line FROM t)
+    SELECT doc_id, string_agg(line, chr(10) || chr(10) ORDER BY ord) AS markdown FROM l WHERE line <> '' GROUP BY doc_id
+    """,
+)
 def det_markdown(spark, sf_dir):
     return blocks.det_markdown(blocks.det_blocks(DET.frame(spark), "doc_id", F.col("raw")), "doc_id")
 
@@ -51,26 +64,47 @@ PAGES = Fixture(
     (
         (1, 0, "<BLOCK>title [1, 2, 3, 4]<CHILD>A heading<BLOCK>text [1, 2, 3, 4]<FORK><CHILD> Some text <FORK>rest<BLOCK>chart [0,0,1,1]<CHILD>ignored<BLOCK>figure_title [1,1,2,2]<CHILD>Fig. 1 Growth. More"),
         (2, 1, "<BLOCK>title [1,2]<CHILD>Not first page<BLOCK><CHILD>odd<BLOCK>image [0, 0, 5, 5]<BLOCK>text [1,1,1,1]<CHILD>x"),
+        (3, 0, "<BLOCK>header [0,0,9,9]<CHILD>Running head<BLOCK>text [1,1,2,2]<CHILD>[Non-Text]<BLOCK>equation [1,1,2,2]<CHILD>\\alpha = b \\tag{1}<BLOCK>subtitle [2,2,3,3]<CHILD>Small<BLOCK>title [2,2,3,3]<CHILD>Later"),
+        (4, 0, "<BLOCK>figure [0,0,1,1]<BLOCK>chart [0,0,1,1]<BLOCK>image_caption [1,1,2,2]<CHILD>Figure 3b. [Left] shown. Right not.<BLOCK>page_number [0,0,1,1]<CHILD>7<BLOCK>table [0,0,1,1]<CHILD><table><tr><td>k</td></tr><tr><td>v</td></tr>"),
     ),
 )
-PAGES_WANT = Fixture(
-    "doc_id long, ord int, kind string, box string, text string, visual long, alt string",
-    (
-        (1, 0, "doc_title", "1.0,2.0,3.0,4.0", "A heading", None, None), (1, 1, "text", "1.0,2.0,3.0,4.0", "Some text", None, None), (1, 2, "chart", "0.0,0.0,1.0,1.0", "", 1, "Growth."),
-        (1, 3, "figure_title", "1.0,1.0,2.0,2.0", "Fig. 1 Growth. More", None, None), (2, 0, "title", None, "Not first page", None, None), (2, 1, "unknown", None, "odd", None, None),
-        (2, 2, "image", "0.0,0.0,5.0,5.0", "", 1, "image 1"), (2, 3, "text", "1.0,1.0,1.0,1.0", "x", None, None),
-    ),
-)
+_PAGE_BLOCKS = f"""
+  SELECT doc_id, page, ord, CASE WHEN kind = '' THEN 'unknown' ELSE kind END AS kind, CASE WHEN len(n) = 4 THEN list_transform(n, lambda x: x::DOUBLE) END AS box,
+         CASE WHEN lower(kind) IN ({_names(blocks.EMPTY_KINDS)}) OR body = '[Non-Text]' THEN '' WHEN body LIKE '<table>%' AND body NOT LIKE '%</table>' THEN body || '</table>' ELSE regexp_replace(body, '\\s*\\\\tag\\s*\\{{[^{{}}]*\\}}', '') END AS text
+  FROM (SELECT *, regexp_extract(part, '^\\s*([a-zA-Z_]+)', 1) AS kind, regexp_extract_all(regexp_extract(part, '^\\s*[a-zA-Z_]+\\s*\\[\\s*([-0-9.,\\s]+)\\]', 1), '-?[0-9.]+') AS n,
+               {strip_sql("string_split_regex(regexp_extract(part, '(?s)<CHILD>(.*)', 1), '<(?:FORK|CHILD|BLOCK)>')[1]")} AS body
+        FROM (SELECT doc_id, page, i - 1 AS ord, parts[i + 1] AS part FROM (SELECT doc_id, page, string_split(raw, '<BLOCK>') AS parts, unnest(range(1, len(string_split(raw, '<BLOCK>')))) AS i FROM {PAGES.sql()})))
+"""
+_TITLED = f"""
+  SELECT doc_id, page, ord, box, text, CASE WHEN title AND ord = min(CASE WHEN title THEN ord END) OVER (PARTITION BY doc_id) THEN 'doc_title' ELSE kind END AS kind
+  FROM (SELECT *, kind IN ({_names(T.PAGE_TITLES)}) AND trim(text) <> '' AND page = 0 AS title FROM ({_PAGE_BLOCKS}))
+"""
+
+
+def _caption(k: int) -> str:
+    said = f"string_split_regex(regexp_replace({prose_sql(f't{k}')}, '^(?i:fig(?:ure)?\\.?\\s*\\d+[a-z]?\\.?\\s*)', ''), '[.!?]\\s+')"
+    whole = f"regexp_replace({prose_sql(f't{k}')}, '^(?i:fig(?:ure)?\\.?\\s*\\d+[a-z]?\\.?\\s*)', '')"
+    first = f"CASE WHEN len({said}) > 1 THEN {whole}[:len({said}[1]) + 1] ELSE {whole} END"
+    return f"CASE WHEN lower(k{k}) IN ({_names(T.PAGE_CAPTIONS)}) AND coalesce(t{k}, '') <> '' THEN replace(replace(({first})[:140], '[', ''), ']', '') END"
 
 
-@query("page_blocks", f"SELECT * FROM {PAGES_WANT.sql()}")
+@query(
+    "page_blocks",
+    f"""
+    WITH v AS (SELECT *, lower(kind) IN ({_names(blocks.VISUAL_KINDS)}) AS shown, lead(kind) OVER w AS k1, lead(text) OVER w AS t1, lead(kind, 2) OVER w AS k2, lead(text, 2) OVER w AS t2 FROM ({_TITLED}) WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
+    n AS (SELECT *, CASE WHEN shown THEN sum(shown::INTEGER) OVER (PARTITION BY doc_id ORDER BY ord) END::BIGINT AS visual FROM v)
+    SELECT doc_id, ord::INTEGER AS ord, kind, array_to_string(box, ',') AS box, text, visual,
+           CASE WHEN shown THEN coalesce({_caption(1)}, CASE WHEN lower(k1) IN ({_names(blocks.VISUAL_KINDS)}) THEN {_caption(2)} END, kind || ' ' || visual) END AS alt
+    FROM n
+    """,
+)
 def page_blocks(spark, sf_dir):
     found = blocks.page_blocks(PAGES.frame(spark), "doc_id", F.col("raw")).join(PAGES.frame(spark).select("doc_id", "page"), "doc_id")
     out = blocks.alt_texts(blocks.promote_title(found, "doc_id"), ["doc_id"])
     return out.select("doc_id", "ord", "kind", F.array_join("box", ",").alias("box"), "text", "visual", "alt")
 
 
-@query("page_markdown", "SELECT unnest([1, 2])::BIGINT AS doc_id, unnest(['# A heading' || chr(10) || chr(10) || 'Some text' || chr(10) || chr(10) || '*Fig. 1 Growth. More*', '## Not first page' || chr(10) || chr(10) || 'odd' || chr(10) || chr(10) || 'x']) AS markdown")
+@query("page_markdown", f"SELECT doc_id, string_agg(markdown, chr(10) || chr(10) ORDER BY ord) AS markdown FROM ({block_sql(f'SELECT doc_id, ord, lower(kind) AS kind, text FROM ({_TITLED})')}) WHERE markdown <> '' GROUP BY doc_id")
 def page_markdown(spark, sf_dir):
     found = blocks.page_blocks(PAGES.frame(spark), "doc_id", F.col("raw")).join(PAGES.frame(spark).select("doc_id", "page"), "doc_id")
     return blocks.page_markdown(blocks.promote_title(found, "doc_id"), "doc_id")
@@ -174,15 +208,28 @@ def formula_repair(spark, sf_dir):
     return frame.select("case_id", tables.repaired_formula("text").alias("text"))
 
 
-@query("nearest_entry", "SELECT 1::BIGINT AS page, unnest([0.25, 0.75])::DOUBLE AS target, unnest([1, 2])::BIGINT AS entry")
+TARGETS = Fixture("page long, target double", ((1, 0.25), (1, 0.75), (1, 0.5), (2, 9.0), (3, 0.1)))
+PLACES = Fixture("page long, entry long, place double", ((1, 1, 0.0), (1, 2, 0.5), (1, 3, 1.0), (2, 4, 0.25)))
+
+
+@query(
+    "nearest_entry",
+    f"""
+    SELECT page, target, entry FROM (SELECT t.page, target, entry, row_number() OVER (PARTITION BY t.page, target ORDER BY abs(place - target), place, entry) AS n
+      FROM {TARGETS.sql()} t JOIN {PLACES.sql()} p ON t.page = p.page) WHERE n = 1
+    """,
+)
 def nearest_entry(spark, sf_dir):
-    targets = spark.createDataFrame([(1, 0.25), (1, 0.75)], "page long, target double")
-    entries = spark.createDataFrame([(1, 1, 0.0), (1, 2, 0.5), (1, 3, 1.0), (2, 4, 0.25)], "page long, entry long, place double")
-    return linking.nearest(targets, entries, ["page"], "target", "place", "entry")
+    return linking.nearest(TARGETS.frame(spark), PLACES.frame(spark), ["page"], "target", "place", "entry").filter("entry IS NOT NULL").select("page", "target", "entry")
+
 
+CURSORS = Fixture("doc_id long, cursor long", ((1, 0), (1, 3), (1, 9), (2, 1)))
+LABELLED = Fixture("doc_id long, ord long, label string", ((1, 0, "text"), (1, 1, "Image"), (1, 4, "chart"), (1, 6, "text"), (2, 0, "image")))
 
-@query("next_labelled", "SELECT unnest([1, 1, 1])::BIGINT AS doc_id, unnest([0, 3, 9])::BIGINT AS cursor, unnest([1, 4, NULL])::BIGINT AS ord")
+
+@query(
+    "next_labelled",
+    f"SELECT c.doc_id, cursor, (SELECT min(ord) FROM {LABELLED.sql()} b WHERE b.doc_id = c.doc_id AND ord >= greatest(0, cursor - 1) AND lower(label) IN ('image', 'chart')) AS ord FROM {CURSORS.sql()} c",
+)
 def next_labelled(spark, sf_dir):
-    cursors = spark.createDataFrame([(1, 0), (1, 3), (1, 9)], "doc_id long, cursor long")
-    found = spark.createDataFrame([(1, 0, "text"), (1, 1, "Image"), (1, 4, "chart"), (1, 6, "text")], "doc_id long, ord long, label string")
-    return linking.next_with_label(cursors, found, "doc_id", ("image", "chart"))
+    return linking.next_with_label(CURSORS.frame(spark), LABELLED.frame(spark), "doc_id", ("image", "chart"))
