@@ -70,3 +70,24 @@ def is_safe_path(c: Column) -> Column:
 def from_base64(c: Column) -> Column:
     """Bytes of base64 with a data URL's head and white space tolerated; null where it isn't base64."""
     return F.try_to_binary(F.regexp_replace(F.regexp_replace(c, r"^data:[^,]*,", ""), r"\s", ""), F.lit("base64"))
+
+
+def elapsed(began: Column, ended: Column) -> Column:
+    """Seconds between two times, to the thousandth, halves to even; null while one is missing."""
+    return F.bround((F.unix_micros(ended) - F.unix_micros(began)) / F.lit(1e6), 3)
+
+
+def progress_seconds(began: Column, now: Column) -> Column:
+    """Whole seconds since a time, never below 0; 0 where none is given."""
+    return F.coalesce(F.greatest(F.lit(0), F.floor((F.unix_micros(now) - F.unix_micros(began)) / F.lit(1e6))), F.lit(0)).cast("long")
+
+
+def utc_stamp(moment: Column) -> Column:
+    """A time as ISO 8601 in UTC, to the second."""
+    return F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), moment.cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def display_date(moment: Column, now: Column) -> Column:
+    """Month, day, hour and minute; the year only where it isn't the present one."""
+    same = F.year(moment) == F.year(now)
+    return F.when(same, F.date_format(moment, "MM/dd, HH:mm")).otherwise(F.date_format(moment, "MM/dd/yyyy, HH:mm"))

@@ -84,3 +84,15 @@ def parse_box(text: Column) -> Column:
 def limit_scale(width: Column, height: Column, pixels: Column, edge: Column) -> Column:
     """The scale, 1 at most, that keeps an image within pixels and its longer side within edge."""
     return F.least(F.lit(1.0), F.sqrt(pixels / (width * height)), edge / F.greatest(width, height))
+
+
+def rendered_pixels(width: Column, height: Column, dpi: Column | int) -> Column:
+    """Pixels of a page of points rendered at a resolution, each side cut to whole pixels."""
+    scale = (dpi if isinstance(dpi, Column) else F.lit(dpi)) / F.lit(72.0)
+    return F.floor(width * scale).cast("long") * F.floor(height * scale).cast("long")
+
+
+def coordinate_bounds_of(width: Column, height: Column, boxes: Column) -> Column:
+    """The larger of a page's sides and the far ends of its boxes, across and down."""
+    far = lambda k: F.array_max(F.transform(boxes, lambda b: F.get(b, F.lit(k))))
+    return F.array(F.greatest(width, F.coalesce(far(2), width)), F.greatest(height, F.coalesce(far(3), height)))

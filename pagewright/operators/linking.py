@@ -7,21 +7,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .bloom import among
 
 
 def anchor_pages(pages: DataFrame, blocks: DataFrame, page_key: str, block_key: str, words: int = 8, shingle: int = 5) -> DataFrame:
     """``page_key, block_key``: pages whose words hold the first words of a block. Both: key and ``text``.
 
-    The first shingle of an anchor is joined with every shingle of the pages by hash, so no block meets a page that lacks
-    it; the whole anchor is looked for in those alone.
+    The first shingle of an anchor is joined with the shingles of the pages by hash, so no block meets a page that lacks
+    it; the whole anchor is looked for in those alone. Only shingles that may begin an anchor, and the texts of pages that hold
+    one, are shuffled.
     """
     anchors = blocks.select(block_key, F.slice(F.split(T.anchor_words(F.col("text")), " "), 1, words).alias("a")).filter(F.size("a") >= words)
     anchors = anchors.select(block_key, F.xxhash64(F.array_join(F.slice("a", 1, shingle), " ")).alias("h"), F.concat(F.lit(" "), F.array_join("a", " "), F.lit(" ")).alias("anchor"))
     own = pages.select(page_key, T.anchor_words(F.col("text")).alias("words")).withColumn("w", F.split("words", " ")).filter(F.size("w") >= shingle)
     hashes = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (shingle - 1)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, shingle), " "))))
     shingles = own.select(page_key, F.explode(hashes).alias("h"))
-    near = shingles.join(anchors, "h").select(page_key, block_key, "anchor").distinct()
-    texts = own.select(page_key, F.concat(F.lit(" "), "words", F.lit(" ")).alias("words"))
+    near = among(shingles, anchors, "h").join(anchors, "h").select(page_key, block_key, "anchor").distinct()
+    texts = among(pages.select(page_key, "text"), near, page_key).select(page_key, F.concat(F.lit(" "), T.anchor_words(F.col("text")), F.lit(" ")).alias("words"))
     return near.join(texts, page_key).filter(F.contains("words", "anchor")).select(page_key, block_key)
 
 

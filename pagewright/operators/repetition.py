@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -23,29 +21,34 @@ def repeated_lines(docs: DataFrame, key: str, text: Column, least_chars: int = 2
 
 
 def ngram_runs(docs: DataFrame, key: str, text: Column, sizes: tuple[int, ...] = (3, 4, 5, 6), tail: int = 4000, exact: int = 4, dense: int = 12, extra_gap: int = 3) -> DataFrame:
-    """``key, n, gram, runs``: grams that recur in a run of positions, exact or dense, in a document's tail.
+    """``key, n, gram, longest_exact, longest_dense``: grams that recur in a run of positions, exact or dense, in a document's tail.
 
-    Grams of short or only numeric words and of table markup don't count. Runs are islands of positions: where the gap to
-    the position before is wide, an island begins. All sizes go through one explosion and one window.
+    Grams of short or only numeric words and of table markup don't count. Positions of a gram come together in one
+    aggregation, as an array no longer than the tail; grams with fewer than ``exact`` go, and runs are folded over the arrays of the
+    rest: where the gap to the position before is wide, a run begins.
     """
     words = F.regexp_extract_all(F.lower(F.right(T.normalize_newlines(text), F.lit(tail))), F.lit("[A-Za-z][A-Za-z-]+|[0-9]+"), F.lit(0))
     base = docs.select(key, words.alias("w")).filter(F.size("w") >= 48)
-    sized = base.withColumn("n", F.explode(F.array(*map(F.lit, sizes))))
-    at = sized.select(key, "n", "w", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("n"))).alias("at"))
-    grams = at.select(key, "n", "at", F.slice("w", F.col("at") + 1, F.col("n")).alias("g"))
-    markup = F.size(F.filter("g", lambda w: w.isin(*LAYOUT_WORDS)))
-    letters = F.aggregate("g", F.lit(0), lambda total, w: total + F.length(w))
-    grams = grams.filter((letters >= 12) & F.exists("g", lambda w: ~w.rlike("^[0-9]+$")) & (markup < 2))
-    grams = grams.select(key, "n", "at", F.array_join("g", " ").alias("gram"))
-    order = Window.partitionBy(key, "n", "gram").orderBy("at")
-    gap = F.col("at") - F.lag("at").over(order)
-    marked = grams.withColumns({"near": F.sum((gap > F.col("n")).cast("int")).over(order), "wide": F.sum((gap > F.col("n") + extra_gap).cast("int")).over(order)})
-    islands = marked.withColumns({"near": F.coalesce("near", F.lit(0)), "wide": F.coalesce("wide", F.lit(0))})
-    near = islands.groupBy(key, "n", "gram", "near").agg(F.count("*").alias("c")).groupBy(key, "n", "gram").agg(F.max("c").alias("longest_exact"))
-    wide = islands.groupBy(key, "n", "gram", "wide").agg(F.count("*").alias("c")).groupBy(key, "n", "gram").agg(F.max("c").alias("longest_dense"))
-    both = near.join(wide, [key, "n", "gram"])
-    found = (F.col("longest_exact") >= exact) | ((F.col("longest_dense") >= dense) & (F.col("gram") != BIBLIOGRAPHY))
-    return both.filter(found)
+
+    def of_size(n: int) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.struct(F.lit(n).alias("n"), i.alias("at"), F.slice("w", i, n).alias("g")))
+        letters = lambda g: F.length(F.array_join(g, ""))
+        markup = lambda g: F.size(F.filter(g, lambda w: w.isin(*LAYOUT_WORDS)))
+        return F.filter(grams, lambda x: (letters(x["g"]) >= 12) & F.exists(x["g"], lambda w: ~w.rlike("^[0-9]+$")) & (markup(x["g"]) < 2))
+
+    each = base.select(key, F.explode(F.concat(*map(of_size, sizes))).alias("x")).select(key, "x.n", F.array_join("x.g", " ").alias("gram"), "x.at")
+    held = each.groupBy(key, "n", "gram").agg(F.sort_array(F.collect_list("at")).alias("ats")).filter(F.size("ats") >= min(exact, dense))
+
+    def longest(widest: Column) -> Column:
+        def step(state: Column, at: Column) -> Column:
+            run = F.when(at - state["last"] > widest, F.lit(1)).otherwise(state["run"] + 1)
+            return F.struct(at.alias("last"), run.alias("run"), F.greatest(state["best"], run).alias("best"))
+
+        start = F.struct(F.get("ats", F.lit(0)).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+        return F.aggregate("ats", start, step, lambda state: state["best"].cast("long"))
+
+    found = held.select(key, "n", "gram", longest(F.col("n")).alias("longest_exact"), longest(F.col("n") + extra_gap).alias("longest_dense"))
+    return found.filter((F.col("longest_exact") >= exact) | ((F.col("longest_dense") >= dense) & (F.col("gram") != BIBLIOGRAPHY)))
 
 
 def first_lines_only(docs: DataFrame, key: str, text: Column, least_chars: int = 8) -> DataFrame:
@@ -85,13 +88,11 @@ def tail_unit(text: str, least_text: int = 800, longest_unit: int = 200, least_c
 
 
 def without_repeated_tail(docs: DataFrame, key: str, text: Column) -> DataFrame:
-    """``key, text``; only texts long enough go through Python."""
+    """``key, text``; only texts long enough go to Python, in one scan."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(text=batch["text"].map(tail_unit))
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else tail_unit(x) for x in texts.to_pylist()], pa.string())
 
-    long = F.length("text") >= 800
-    base = docs.select(key, text.alias("text"))
-    changed = base.filter(long).mapInPandas(run, base.schema)
-    return changed.unionByName(base.filter(~F.coalesce(long, F.lit(False))))
+    long = F.length(text) >= 800
+    return docs.select(key, F.when(long, cut(F.when(long, text))).otherwise(text).alias("text"))

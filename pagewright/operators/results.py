@@ -163,3 +163,9 @@ def unstashed(text: Column, math: Column) -> Column:
     """Tokens replaced by the formulas that they stand for."""
     entries = F.transform(math, lambda m, i: F.struct(F.concat(F.lit("@@math"), i.cast("string"), F.lit("@@")).alias("k"), m.alias("v")))
     return F.aggregate(entries, text, lambda t, e: F.replace(t, e["k"], e["v"]))
+
+
+def edits_applied(text: Column, edits: Column) -> Column:
+    """A text with its edits, structs ``start, end, by`` (code points from 0, ends exclusive), the last start first, so that places hold."""
+    descending = F.reverse(F.array_sort(edits))
+    return F.aggregate(descending, text, lambda t, e: F.concat(F.substring(t, F.lit(1), e["start"]), e["by"], F.substring(t, e["end"] + 1, F.length(t))))

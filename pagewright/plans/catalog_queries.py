@@ -77,10 +77,10 @@ def preserve_result(spark, sf_dir):
 
 @query(
     "catalog_upsert",
-    "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, coalesce('q' || quality, d.source) AS source FROM (SELECT * FROM documents WHERE doc_id % 2 = 0) d FULL JOIN labels l ON d.doc_id = l.doc_id",
+    "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, coalesce('q' || quality, d.source) AS source FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id",
 )
 def catalog_upsert(spark, sf_dir):
-    have = table(spark, sf_dir, "documents").filter("doc_id % 2 = 0").select("doc_id", "source")
+    have = table(spark, sf_dir, "documents").select("doc_id", "source")
     changes = table(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("q"), F.col("quality").cast("string")).alias("source"))
     return catalog.upsert(have, changes, "doc_id")
 

@@ -24,7 +24,7 @@ def event_fold(spark, sf_dir):
 @query(
     "stable_streak",
     """
-    WITH RECURSIVE s AS (SELECT user_id, event_id, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events WHERE user_id <= 50),
+    WITH RECURSIVE s AS (SELECT user_id, event_id, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
     f AS (
       SELECT user_id, k, event_id, CASE WHEN v < 5 THEN 0 ELSE 1 END AS n, v AS low, v AS high FROM s WHERE k = 1
       UNION ALL
@@ -37,8 +37,7 @@ def event_fold(spark, sf_dir):
     """,
 )
 def stable_streak(spark, sf_dir):
-    samples = table(spark, sf_dir, "events").filter("user_id <= 50")
-    return folds.stable_release(samples, "user_id", "event_id", F.col("value"), 5, 60, 3)
+    return folds.stable_release(table(spark, sf_dir, "events"), "user_id", "event_id", F.col("value"), 5, 60, 3)
 
 
 @query(

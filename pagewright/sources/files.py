@@ -26,6 +26,36 @@ def discover(spark: SparkSession, folder: str, recursive: bool = False) -> DataF
     return files.select("path", "modificationTime", "length").filter(extension(F.col("path")).isin(*EXTENSIONS))
 
 
+def within(files: DataFrame, most: int) -> DataFrame:
+    """Files of ``discover`` that hold something and no more than ``most`` bytes."""
+    return files.filter((F.col("length") > 0) & (F.col("length") <= most))
+
+
+def read_settings(spark: SparkSession, path: str) -> dict:
+    """The object of a JSON file; empty where the file is missing, broken or no object. A mark of byte order is passed over."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(conf).exists(target):
+        return {}
+    raw = spark.read.format("binaryFile").load(path).select("content").first()
+    try:
+        found = json.loads(bytes(raw.content).decode("utf-8-sig"))
+    except ValueError:
+        return {}
+    return found if isinstance(found, dict) else {}
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """One JSON object a line; the committer replaces what was there only when all parts are written."""
+    df.write.mode("overwrite").json(path)
+
+
+def write_markdown(docs: DataFrame, folder: str, key: str, markdown: str) -> None:
+    """A folder of Markdown for each key."""
+    named = docs.select(F.col(key).cast("string").alias("id"), F.col(markdown).alias("value"))
+    named.write.mode("overwrite").partitionBy("id").option("lineSep", "\n").text(folder)
+
+
 def file_kind(content: Column, given: Column) -> Column:
     """0 for a PDF by its first bytes or their base64, else 1; a given kind wins."""
     text = content.cast("string")
