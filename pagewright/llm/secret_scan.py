@@ -31,7 +31,7 @@ MOST_FIT, MOST_WINDOWS = 3000, 2500
 WINDOW, LONGEST = 24, 128
 STEPS, RIDGE = 80, 0.001
 #: Strings whose weights a worker remembers, and tokens that are tagged together.
-MOST_STRINGS, GROUP = 200_000, 1 << 18
+MOST_STRINGS, GROUP = 500_000, 1 << 18
 
 Span = tuple[str, int, int]
 
@@ -357,55 +357,80 @@ def train(docs: DataFrame, most: int = MOST_FIT, id_col: str = "doc_id", text_co
 
 
 class Tagger:
-    """Tags all tokens of many texts at once: strings with the same known features share a row of weights, rows are added up by place."""
+    """Tags all tokens of many texts at once: tokens with the same known features share a row of weights, rows are added up by place."""
+
+    SIDES = ("own", "before", "before that", "after")
 
     def __init__(self, model: Model):
         self.model = model
-        self.known: dict[str, dict[str, int]] = {place: {} for place in PLACES}
-        self.rows: dict[str, dict[tuple, int]] = {place: {} for place in PLACES}
-        self.weights: dict[str, list[np.ndarray]] = {place: [] for place in PLACES}
         self.names = {place: {name.removeprefix(place + ": "): i for name, i in model.names.items() if name.startswith(place + ": ")} for place in PLACES}
+        #: Words that are features themselves; all other plain words of a length have one row.
+        self.vocabulary = {name[3:] for place in self.SIDES for name in self.names[place] if name.startswith("is ")}
         self.joint = np.array([[[model.weight([joint_feature(a, b, c)]) for c in range(8)] for b in range(2)] for a in range(2)])
         self.files: dict[str, np.ndarray] = {}
+        self.gaps: dict[str, int] = {}
+        #: Of a gap: weights before and after, whether it assigns, whether it ends a line.
+        self.gap_rows: list[tuple] = []
+        self.tokens: dict[str, int] = {}
+        self.rows: dict[tuple, int] = {}
+        #: Of a token: weights by place, whether it hints at a secret, its size class.
+        self.token_rows: list[tuple] = []
         step, first = model.step, model.first
         #: What a span can gain by its steps against outside throughout: by a token after its first, and by its ends.
         self.inner = max(0.0, (step[:2, :2] - step[2, 2]).max())
         leave, enter = max(0.0, (step[:2, 2] - step[2, 2]).max()), max(step[2, 0] - step[2, 2], first[0] - first[2])
         self.outer = enter + leave
 
-    def _ids(self, place: str, strings: list[str]) -> np.ndarray:
-        known, rows, names, of = self.known[place], self.rows[place], self.names[place], PLACES[place]
-        for x in strings:
-            if x not in known:
-                key = tuple([names[name] for name in of(x) if name in names])
-                if key not in rows:
-                    rows[key] = len(rows)
-                    self.weights[place].append(self.model.emit[list(key)].sum(0))
-                known[x] = rows[key]
-        return np.array([known[x] for x in strings], np.int64)
+    def _weights(self, place: str, string: str) -> np.ndarray:
+        names = self.names[place]
+        return self.model.emit[[names[name] for name in PLACES[place](string) if name in names]].sum(0)
+
+    def _row(self, token: str) -> int:
+        low = token.lower()
+        if len(token) < 20 and token[1:].islower() and token.isalpha() and low not in self.vocabulary and not _hint.search(low):
+            key: tuple = (len(token),)
+        else:
+            key = (tuple(own_features(token)), tuple(beside_features(token)[:2]), low if low in self.vocabulary else len(low) < 20, is_hint(token), size_class(token))
+        if key not in self.rows:
+            self.rows[key] = len(self.rows)
+            self.token_rows.append((np.array([self._weights(place, token) for place in self.SIDES]), is_hint(token), size_class(token)))
+        return self.rows[key]
 
     def emissions(self, tokens: list[str], gaps: list[str], files: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Scores of the states of each token, and whether it begins a line. A text ends with an empty token behind its last gap."""
-        if sum(map(len, self.known.values())) > MOST_STRINGS:
+        if len(self.tokens) > MOST_STRINGS or len(self.gaps) > MOST_STRINGS or len(self.rows) > MOST_STRINGS:
             self.__init__(self.model)
         coded, between = pa.array(tokens).dictionary_encode(), pa.array(gaps).dictionary_encode()
-        names, marks = coded.dictionary.to_pylist(), between.dictionary.to_pylist()
-        token, gap = coded.indices.to_numpy(), between.indices.to_numpy()
-        empty = names.index("")
-        starts = np.array(["\n" in x for x in marks])[gap] | np.concatenate([[True], token[:-1] == empty])
-        one = np.concatenate([[empty], token[:-1]])
+        known = self.tokens
+        names = coded.dictionary.to_pylist()
+        for x in names:
+            if x not in known:
+                known[x] = self._row(x)
+        marks = between.dictionary.to_pylist()
+        for x in marks:
+            if x not in self.gaps:
+                self.gaps[x] = len(self.gap_rows)
+                self.gap_rows.append((self._weights("gap before", x), self._weights("gap after", x), is_assigned(x), "\n" in x))
+        row = np.array([known[x] for x in names], np.int64)[coded.indices.to_numpy()]
+        gap = np.array([self.gaps[x] for x in marks], np.int64)[between.indices.to_numpy()]
+        before, behind, assigned, ends = (np.array(x) for x in zip(*self.gap_rows, strict=True))
+        weights, hint, size = (np.array(x) for x in zip(*self.token_rows, strict=True))
+        weights = np.ascontiguousarray(weights.transpose(1, 0, 2))
+        empty = known[""]
+        starts = ends[gap] | np.concatenate([[True], row[:-1] == empty])
+        one = np.concatenate([[empty], row[:-1]])
         one[starts] = empty
         two = np.concatenate([[empty], one[:-1]])
         two[starts] = empty
-        after = np.concatenate([token[1:], [empty]])
+        after = np.concatenate([row[1:], [empty]])
         after[:-1][starts[1:]] = empty
-        out = files.copy()
-        for place, where, strings in (("own", token, names), ("before", one, names), ("before that", two, names), ("after", after, names), ("gap before", gap, marks), ("gap after", np.concatenate([gap[1:], gap[:1]]), marks)):
-            ids = self._ids(place, strings)
-            out += np.array(self.weights[place])[ids][where]
-        hint, size, assigned = (np.array(list(map(of, of_what))) for of, of_what in ((is_hint, names), (size_class, names), (is_assigned, marks)))
-        out += self.joint[hint[one], assigned[gap], size[token]]
-        out[token == empty] = (-1e4, -1e4, 0)
+        out = files
+        for place, where in enumerate((row, one, two, after)):
+            out += weights[place].take(where, axis=0)
+        around = (before[:, None] + behind).reshape(-1, 3)  # of each pair of gaps
+        out += around.take(gap * len(before) + np.concatenate([gap[1:], gap[:1]]), axis=0) if len(around) < 1 << 16 else before[gap] + behind[np.concatenate([gap[1:], gap[:1]])]
+        out += self.joint.reshape(-1, 3).take(16 * hint[one] + 8 * assigned[gap] + size[row], axis=0)
+        out[row == empty] = (-1e4, -1e4, 0)
         return out, starts
 
     def tags(self, emit: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, list[int]]]:
