@@ -10,16 +10,19 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ..operators.bloom import among, marked  # noqa: F401  the operators take both from here
 
 #: Rows that leave Python go in batches of about so many bytes.
 BATCH_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset, as in tests, a local folder."""
+    """``spark.checkpoint.dir`` of the session; where it is unset and all runs in one process, as in tests, a local folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir is unset; executors need a folder that they share")
         folder = getattr(spark.sparkContext, "_pagewright_folder", None)
         if folder is None:
             folder = spark.sparkContext._pagewright_folder = tempfile.mkdtemp(prefix="pagewright-")
@@ -48,25 +51,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def marked(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
-    """``_may``: whether a row's column may be in keys; never false where it is.
-
-    By a Bloom filter of 2^20 words of 64 bits, whatever the number of keys, which is broadcast.
-    """
-    word, bit = F.pmod(F.xxhash64(column), F.lit(1 << 20)), F.expr(f"shiftleft(1L, pmod(hash({column}), 64))")
-    bloom = keys.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    found = rows.withColumn("_word", word).join(F.broadcast(bloom), "_word", "left")
-    return found.withColumn("_may", F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("_word", "_bits")
-
-
-def among(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
-    """Rows whose column may be in keys: all of those, and few others while keys are fewer than some ten millions.
-
-    Joins that follow shuffle only what is left.
-    """
-    return marked(rows, keys, column).filter("_may").drop("_may")
-
-
 def without(rows: DataFrame, gone: DataFrame, column: str, on: list[str]) -> DataFrame:
     """Rows that ``gone`` doesn't hold, by ``on`` (``column`` among them); only rows that it may hold are shuffled."""
     told = marked(rows, gone, column)

@@ -234,4 +234,4 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that hold an item. Rows with null ids stay, since nothing tells them apart."""
     held = find_leaks(docs, items, id_col, text_col).select(F.col(id_col).alias("_leaky")).distinct()
-    return docs.join(held, docs[id_col] == held["_leaky"], "left_anti")
+    return docs.join(held, docs[id_col].cast("long") == held["_leaky"], "left_anti")
