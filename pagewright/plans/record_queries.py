@@ -13,30 +13,47 @@ def _want(columns: str, *rows: tuple) -> str:
     return f"SELECT * FROM {Fixture(columns, rows).sql()}"
 
 
-@query("response_texts", _want("case_id long, text string", (1, "m"), (2, ""), (3, "t"), (4, "r"), (5, "")))
+RESPONSES = Fixture("case_id long, m string, t string, r string", ((1, "m", "t", "r"), (2, "", "t", "r"), (3, None, "t", "r"), (4, None, "", "r"), (5, None, None, None), (6, None, None, "")))
+
+
+@query("response_texts", f"SELECT case_id, CASE WHEN m IS NOT NULL THEN m WHEN t <> '' THEN t WHEN r <> '' THEN r ELSE '' END AS text FROM {RESPONSES.sql()}")
 def response_texts(spark, sf_dir):
-    rows = [(1, "m", "t", "r"), (2, "", "t", "r"), (3, None, "t", "r"), (4, None, "", "r"), (5, None, None, None)]
-    frame = spark.createDataFrame(rows, "case_id long, m string, t string, r string")
-    return frame.select("case_id", R.response_text(F.col("m"), F.col("t"), F.col("r")).alias("text"))
+    return RESPONSES.frame(spark).select("case_id", R.response_text(F.col("m"), F.col("t"), F.col("r")).alias("text"))
+
+
+PAYLOADS = Fixture("case_id long, f string, k int, t double", ((1, "x", 0, None), (2, "y", None, 0.5), (3, None, None, None), (4, "q", 1, 2.25)))
 
 
-@query("request_payload", _want("case_id long, payload string", (1, '{"file":"x","fileType":0}'), (2, '{"file":"y","temperature":0.5}')))
+@query(
+    "request_payload",
+    f"""
+    SELECT case_id, '{{' || array_to_string(list_filter(['"file":"' || f || '"', '"fileType":' || k, '"temperature":' || t], lambda x: x IS NOT NULL), ',') || '}}' AS payload FROM {PAYLOADS.sql()}
+    """,
+)
 def request_payload(spark, sf_dir):
-    frame = spark.createDataFrame([(1, "x", 0, None), (2, "y", None, 0.5)], "case_id long, f string, k int, t double")
-    return frame.select("case_id", R.payload(file=F.col("f"), fileType=F.col("k"), temperature=F.col("t")).alias("payload"))
+    return PAYLOADS.frame(spark).select("case_id", R.payload(file=F.col("f"), fileType=F.col("k"), temperature=F.col("t")).alias("payload"))
 
 
-@query("result_aliases", _want("case_id long, found string", (1, "a,b"), (2, "c"), (3, "text")))
+ALIASES = Fixture("case_id long, l array<string>, p array<string>, r array<string>, m string", ((1, ("a", "b"), ("x",), None, "m"), (2, None, ("c",), ("d",), "m"), (3, None, None, None, "text"), (4, None, None, ("e", "f"), None), (5, None, None, None, None)))
+
+
+@query("result_aliases", f"SELECT case_id, array_to_string(CASE WHEN l IS NOT NULL THEN l WHEN p IS NOT NULL THEN p WHEN r IS NOT NULL THEN r ELSE [coalesce(m, '')] END, ',') AS found FROM {ALIASES.sql()}")
 def result_aliases(spark, sf_dir):
-    rows = [(1, ["a", "b"], ["x"], None, "m"), (2, None, ["c"], ["d"], "m"), (3, None, None, None, "text")]
-    frame = spark.createDataFrame(rows, "case_id long, l array<string>, p array<string>, r array<string>, m string")
-    return frame.select("case_id", F.array_join(R.results_of(F.col("l"), F.col("p"), F.col("r"), F.col("m")), ",").alias("found"))
+    return ALIASES.frame(spark).select("case_id", F.array_join(R.results_of(F.col("l"), F.col("p"), F.col("r"), F.col("m")), ",").alias("found"))
+
+
+MODELS = Fixture("i string, n string, l string", (("a", "", None), (None, "n", "L"), ("", None, ""), ("x", "y", "z"), ("only", None, "")))
 
 
-@query("model_records", _want("id string, name string, label string", ("a", "a", "a"), ("n", "n", "L"), ("d", "d", "d")))
+@query(
+    "model_records",
+    f"""
+    SELECT CASE WHEN i <> '' THEN i WHEN n <> '' THEN n ELSE 'd' END AS id, CASE WHEN n <> '' THEN n WHEN i <> '' THEN i ELSE 'd' END AS name,
+           CASE WHEN l <> '' THEN l WHEN n <> '' THEN n WHEN i <> '' THEN i ELSE 'd' END AS label FROM {MODELS.sql()}
+    """,
+)
 def model_records(spark, sf_dir):
-    frame = spark.createDataFrame([("a", "", None), (None, "n", "L"), ("", None, "")], "i string, n string, l string")
-    return frame.select(R.model_record(F.col("i"), F.col("n"), F.col("l"), "d").alias("m")).select("m.*")
+    return MODELS.frame(spark).select(R.model_record(F.col("i"), F.col("n"), F.col("l"), "d").alias("m")).select("m.*")
 
 
 @query("page_lineage", "SELECT conv_id, turn, CASE WHEN role = 'user' THEN conv_id + turn END AS source_page FROM conversations")
@@ -82,18 +99,20 @@ def plan_checks(spark, sf_dir):
     return frame.select("case_id", R.replans(F.col("k"), F.col("src"), F.col("pages"), F.col("b"), F.col("planned"), F.lit(4)).alias("replans"))
 
 
-@query("runtime_states", _want("case_id long, state string", (1, "missing"), (2, "ready"), (3, "starting"), (4, "partial"), (5, "stopped")))
+STATES = Fixture("case_id long, m boolean, h boolean, a boolean, v boolean", ((1, True, True, True, True), (2, False, True, True, True), (3, False, False, True, True), (4, False, False, True, False), (5, False, False, False, False)))
+
+
+@query("runtime_states", f"SELECT case_id, CASE WHEN m THEN 'missing' WHEN h THEN 'ready' WHEN v THEN 'starting' WHEN a THEN 'partial' ELSE 'stopped' END AS state FROM {STATES.sql()}")
 def runtime_states(spark, sf_dir):
-    rows = [(1, True, True, True, True), (2, False, True, True, True), (3, False, False, True, True), (4, False, False, True, False), (5, False, False, False, False)]
-    frame = spark.createDataFrame(rows, "case_id long, m boolean, h boolean, any boolean, every boolean")
-    return frame.select("case_id", R.runtime_state(F.col("m"), F.col("h"), F.lit("ready"), F.col("any"), F.col("every")).alias("state"))
+    return STATES.frame(spark).select("case_id", R.runtime_state(F.col("m"), F.col("h"), F.lit("ready"), F.col("a"), F.col("v")).alias("state"))
+
+
+LEASES = Fixture("case_id long, l string, m string, c double, e double", ((1, "a", "m", 1.0, 2.0), (2, "a", "m", 1.0, None), (3, "", "m", 1.0, 2.0), (4, "a", "m", 3.0, 2.0), (5, "a", "m", float("inf"), None), (6, "a", "", 1.0, 2.0)))
 
 
-@query("lease_checks", _want("case_id long, valid boolean", (1, True), (2, True), (3, False), (4, False), (5, False)))
+@query("lease_checks", f"SELECT case_id, l <> '' AND m IS NOT NULL AND isfinite(c) AND (e IS NULL OR isfinite(e) AND e >= c) AS valid FROM {LEASES.sql()}")
 def lease_checks(spark, sf_dir):
-    rows = [(1, "a", "m", 1.0, 2.0), (2, "a", "m", 1.0, None), (3, "", "m", 1.0, 2.0), (4, "a", "m", 3.0, 2.0), (5, "a", "m", float("inf"), None)]
-    frame = spark.createDataFrame(rows, "case_id long, l string, m string, c double, e double")
-    return frame.select("case_id", R.valid_lease(F.col("l"), F.col("m"), F.col("c"), F.col("e")).alias("valid"))
+    return LEASES.frame(spark).select("case_id", R.valid_lease(F.col("l"), F.col("m"), F.col("c"), F.col("e")).alias("valid"))
 
 
 @query("image_sources", _want("case_id long, source string, cjk boolean", (1, "https://x/a.png", False), (2, "ocr_images/q", False), (3, "data:image/jpeg;base64,漢", True), (4, "data:image/jpeg;base64,", None)))
@@ -128,44 +147,41 @@ def benchmark_ngrams(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.size(grams).cast("long").alias("grams"), F.size(F.array_distinct(grams)).cast("long").alias("distinct_grams")).filter("grams > 0")
 
 
-@query("strict_json", _want("case_id long, kept boolean", (1, True), (2, False), (3, False), (4, False)))
-def strict_json(spark, sf_dir):
-    frame = spark.createDataFrame([(1, '{"a":1}'), (2, '{"a":1,"a":2}'), (3, "[1]"), (4, "{bad")], "case_id long, t string")
-    return frame.select("case_id", R.strict_object(F.col("t")).isNotNull().alias("kept"))
-
+JSONS = Fixture("case_id long, t string", ((1, '{"a":1}'), (2, '{"a":1,"a":2}'), (3, "[1]"), (4, "{bad"), (5, "null"), (6, "{}"), (7, '{"a":{"b":[1,2]},"c":"x"}'), (8, "7")))
 
-@query("content_formats", _want("case_id long, markdown string", (1, "# T"), (2, "# given"), (3, "$$\nx\n$$"), (4, "$x$"), (5, "```\nc\n```"), (6, ""), (7, "plain")))
-def content_formats(spark, sf_dir):
-    rows = [(1, "title", " T "), (2, "title", "# given"), (3, "equation", "x"), (4, "formula", "$x$"), (5, "code", "c"), (6, "title", " "), (7, "text", "plain")]
-    return spark.createDataFrame(rows, "case_id long, k string, c string").select("case_id", R.content_format(F.col("k"), F.col("c")).alias("markdown"))
 
-
-def _js31(text: str) -> str:
-    h = 0
-    for c in text:
-        h = (h * 31 + ord(c)) & 0xFFFFFFFF
-    return _b36(h)
-
-
-def _js33(text: str) -> str:
-    h = 5381
-    for c in text:
-        h = ((h * 33) & 0xFFFFFFFF) ^ ord(c)
-    return _b36(h)
+@query("strict_json", f"SELECT case_id, CASE WHEN json_valid(t) THEN json_type(t) = 'OBJECT' AND len(json_keys(t)) = len(list_distinct(json_keys(t))) ELSE false END AS kept FROM {JSONS.sql()}")
+def strict_json(spark, sf_dir):
+    return JSONS.frame(spark).select("case_id", R.strict_object(F.col("t")).isNotNull().alias("kept"))
 
 
-def _b36(n: int) -> str:
-    digits = "0123456789abcdefghijklmnopqrstuvwxyz"
-    return (_b36(n // 36) if n >= 36 else "") + digits[n % 36]
+CONTENTS = Fixture(
+    "case_id long, k string, c string",
+    ((1, "title", " T "), (2, "title", "# given"), (3, "equation", "x"), (4, "formula", "$x$"), (5, "code", "c"), (6, "title", " "), (7, "text", "plain"), (8, "code", "```\nd\n```"), (9, "equation_block", "\\[y\\]"), (10, "formula", " z ")),
+)
 
 
-_HASHED = ("", "a", "page-1", "Ünïcode é", "a longer piece of text, with marks: 0123456789")
+@query(
+    "content_formats",
+    f"""
+    SELECT case_id, CASE WHEN t = '' THEN '' WHEN k = 'title' AND t NOT LIKE '#%' THEN '# ' || t
+      WHEN k IN ('equation', 'equation_block', 'formula') AND NOT (t LIKE '$%' OR starts_with(t, chr(92) || '(') OR starts_with(t, chr(92) || '[')) THEN '$$' || chr(10) || t || chr(10) || '$$'
+      WHEN k = 'code' AND NOT starts_with(t, '```') THEN '```' || chr(10) || t || chr(10) || '```' ELSE t END AS markdown FROM (SELECT *, trim(c) AS t FROM {CONTENTS.sql()})
+    """,
+)
+def content_formats(spark, sf_dir):
+    return CONTENTS.frame(spark).select("case_id", R.content_format(F.col("k"), F.col("c")).alias("markdown"))
 
 
-@query("text_hashes", _want("case_id long, h31 string, h33 string", *[(i, _js31(t), _js33(t)) for i, t in enumerate(_HASHED)]))
+@query(
+    "text_hashes",
+    """
+    SELECT item_id, lower(to_base(list_reduce([0::BIGINT] || u, lambda h, c: (h * 31 + c) & 4294967295), 36)) AS h31, lower(to_base(list_reduce([5381::BIGINT] || u, lambda h, c: xor((h * 33) & 4294967295, c)), 36)) AS h33
+    FROM (SELECT item_id, list_transform(string_split(text, ''), lambda c: ord(c)::BIGINT) AS u FROM benchmark)
+    """,
+)
 def text_hashes(spark, sf_dir):
-    frame = spark.createDataFrame(list(enumerate(_HASHED)), "case_id long, t string")
-    return frame.select("case_id", R.hash31(F.col("t")).alias("h31"), R.hash33(F.col("t")).alias("h33"))
+    return table(spark, sf_dir, "benchmark").select("item_id", R.hash31(F.col("text")).alias("h31"), R.hash33(F.col("text")).alias("h33"))
 
 
 @query("point_boxes", _want("case_id long, box string", (1, "10,20,30,40"), (2, "0,5,100,50"), (3, "25,50,75,100"), (4, "2,4,100,200")))
@@ -175,11 +191,22 @@ def point_boxes(spark, sf_dir):
     return frame.select("case_id", F.array_join(R.point_box(F.col("p"), F.lit(100), F.lit(200)), ",").alias("box"))
 
 
-@query("coordinate_bounds", _want("case_id long, bounds string", (1, "1000.0,1000.0"), (2, "800.0,600.0"), (3, "1000.0,1000.0"), (4, "1024.0,768.0"), (5, None)))
+MEASURED = Fixture(
+    "case_id long, p string, b array<double>, w int, h int",
+    ((1, "HPD-parsing", (1.0, 2.0, 900.0, 1000.0), 800, 600), (2, "other", (1.0, 2.0, 3.0, 4.0), 800, 600), (3, "unlimited-ocr", (1.0, 2.0, 3.0, 4.0), 1024, 1024), (4, "unlimited-ocr", (1.0, 2.0, 3.0, 4.0), 1024, 768),
+     (5, "x", (1.0, 2.0, 3.0, 4.0), 0, 9), (6, "hpd-parsing", (1.0, -1001.0, 3.0, 4.0), 80, 90), (7, "hpd-parsing", (1.0, 2.0), 80, 90)),
+)
+
+
+@query(
+    "coordinate_bounds",
+    f"""
+    SELECT case_id, CASE WHEN w = 0 OR h = 0 THEN NULL WHEN len(b) >= 4 AND list_max(list_transform(b[1:4], lambda x: abs(x))) <= 1000.5 AND (lower(p) = 'hpd-parsing' OR lower(p) = 'unlimited-ocr' AND w = 1024 AND h = 1024)
+      THEN '1000.0,1000.0' ELSE w::DOUBLE || ',' || h::DOUBLE END AS bounds FROM {MEASURED.sql()}
+    """,
+)
 def coordinate_bounds(spark, sf_dir):
-    rows = [(1, "HPD-parsing", [1.0, 2.0, 900.0, 1000.0], 800, 600), (2, "other", [1.0, 2.0, 3.0, 4.0], 800, 600), (3, "unlimited-ocr", [1.0, 2.0, 3.0, 4.0], 1024, 1024), (4, "unlimited-ocr", [1.0, 2.0, 3.0, 4.0], 1024, 768), (5, "x", [1.0, 2.0, 3.0, 4.0], 0, 9)]
-    frame = spark.createDataFrame(rows, "case_id long, p string, b array<double>, w int, h int")
-    return frame.select("case_id", F.array_join(R.coordinate_bounds(F.col("p"), F.col("b"), F.col("w"), F.col("h")), ",").alias("bounds"))
+    return MEASURED.frame(spark).select("case_id", F.array_join(R.coordinate_bounds(F.col("p"), F.col("b"), F.col("w"), F.col("h")), ",").alias("bounds"))
 
 
 @query("stream_pages", "SELECT conv_id, turn, least(greatest(turn, 2), 4)::BIGINT AS page FROM conversations")
@@ -191,10 +218,18 @@ def stream_pages(spark, sf_dir):
 PLACED = Fixture("doc_id long, page int, ord long, label string", ((1, 0, 0, "title"), (1, 0, 1, "text"), (1, 2, 2, "image"), (2, 0, 0, "text")))
 
 
-@query("page_spine", _want("doc_id long, page int, n_blocks long, labels string", (1, 0, 2, "title,text"), (1, 1, 0, ""), (1, 2, 1, "image"), (2, 0, 1, "text"), (3, 0, 0, "")))
+SPINES = Fixture("doc_id long, pages int", ((1, 3), (2, 1), (3, 0)))
+
+
+@query(
+    "page_spine",
+    f"""
+    SELECT d.doc_id, d.page, count(b.ord) AS n_blocks, coalesce(string_agg(b.label, ',' ORDER BY b.ord), '') AS labels
+    FROM (SELECT doc_id, unnest(range(0, greatest(pages, 1)))::INTEGER AS page FROM {SPINES.sql()}) d LEFT JOIN {PLACED.sql()} b ON d.doc_id = b.doc_id AND d.page = b.page GROUP BY d.doc_id, d.page
+    """,
+)
 def page_spine(spark, sf_dir):
-    docs = spark.createDataFrame([(1, 3), (2, 1), (3, 0)], "doc_id long, pages int")
-    return results.page_spine(docs, PLACED.frame(spark), "doc_id", F.col("pages"))
+    return results.page_spine(SPINES.frame(spark), PLACED.frame(spark), "doc_id", F.col("pages"))
 
 
 @query("document_texts", "SELECT conv_id, string_agg(coalesce(text, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
@@ -218,10 +253,18 @@ def edited_lines(spark, sf_dir):
     return results.edited(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("text")), edits, ["doc_id"])
 
 
-@query("box_images", _want("page_id long, idx int, box string", (1, 0, "1.0,2.0,3.0,4.0"), (1, 1, "5.0,6.0,7.0,8.0")))
+IMAGES = Fixture("page_id long, m string", ((1, 'a <img src="images/bbox_1_2_3_4.jpg"> b <img src="images/bbox_5_6_7_8.jpg" />'), (2, "none"), (3, '<img src="images/bbox_10_0_30_40.jpg">')))
+
+
+@query(
+    "box_images",
+    f"""
+    SELECT page_id, (i - 1)::INTEGER AS idx, array_to_string(list_transform(string_split(found[i], '_'), lambda x: x::DOUBLE), ',') AS box
+    FROM (SELECT page_id, found, unnest(range(1, len(found) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(m, 'bbox_(\\d+_\\d+_\\d+_\\d+)', 1) AS found FROM {IMAGES.sql()}))
+    """,
+)
 def box_images(spark, sf_dir):
-    frame = spark.createDataFrame([(1, 'a <img src="images/bbox_1_2_3_4.jpg"> b <img src="images/bbox_5_6_7_8.jpg" />'), (2, "none")], "page_id long, m string")
-    return results.box_images(frame, ["page_id"], "m").select("page_id", "idx", F.array_join("box", ",").alias("box"))
+    return results.box_images(IMAGES.frame(spark), ["page_id"], "m").select("page_id", "idx", F.array_join("box", ",").alias("box"))
 
 
 @query("current_position", _want("doc_id long, page int, progress double", (1, 1, 0.2), (2, 3, 0.0), (3, 2, 0.5)))
@@ -237,10 +280,18 @@ def new_suffix(spark, sf_dir):
     return results.new_suffix(old, new, ["conv_id"], "turn", "mark").select("conv_id", "turn")
 
 
-@query("first_success", _want("key long, attempt int", (1, 3), (3, 1)))
+ATTEMPTS = Fixture("key long, attempt int, error string", ((1, 1, "oom"), (1, 2, "oom"), (1, 3, None), (1, 4, None), (2, 1, "other"), (2, 2, None), (3, 1, None), (4, 1, "oom")))
+
+
+@query(
+    "first_success",
+    f"""
+    SELECT key, min(attempt) AS attempt FROM {ATTEMPTS.sql()} a WHERE error IS NULL
+      AND NOT EXISTS (SELECT 1 FROM {ATTEMPTS.sql()} b WHERE b.key = a.key AND b.attempt < a.attempt AND b.error <> 'oom') GROUP BY key
+    """,
+)
 def first_success(spark, sf_dir):
-    rows = [(1, 1, "oom"), (1, 2, "oom"), (1, 3, None), (1, 4, None), (2, 1, "other"), (2, 2, None), (3, 1, None)]
-    return results.first_success(spark.createDataFrame(rows, "key long, attempt int, error string"), "key", "attempt")
+    return results.first_success(ATTEMPTS.frame(spark), "key", "attempt")
 
 
 @query("result_markdown", _want("case_id long, markdown string, light string", (1, "top", '{"markdown":"top","a":[{"markdown":"x"}]}'), (2, "p1\n\np2", '{"pages":[{"markdown":{"text":"p1"}},{"markdown":"p2"},{"markdown":"p1"}]}'), (3, None, None)))
