@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -53,8 +54,6 @@ def stable_release(samples: DataFrame, key: str, order: str, value: Column, mini
 
 def changed_values(rows: DataFrame, key: list[str], order: str, value: str) -> DataFrame:
     """Rows whose value differs from the one before with the same key; the first always counts."""
-    from pyspark.sql import Window
-
     before = F.lag(F.struct(F.col(value))).over(Window.partitionBy(*key).orderBy(order))
     return rows.withColumn("_before", before).filter(F.col("_before").isNull() | ~F.col("_before")[value].eqNullSafe(F.col(value))).drop("_before")
 
@@ -105,15 +104,15 @@ def unsent(images: DataFrame) -> DataFrame:
     return images.groupBy("stream", "path").applyInPandasWithState(step, kind, "data string", "append", GroupStateTimeout.NoTimeout)
 
 
-def leases(requests: DataFrame, most: int = 1) -> DataFrame:
+def leases(requests: DataFrame, most: int = 1, stream: bool = False) -> DataFrame:
     """``seq, lease, accepted``: requests folded in order. ``requests``: ``pool, seq, at double, kind, lease, model, ttl double``.
 
     A lease is accepted when fewer than ``most`` live ones are held and all are of its model; expired ones go first. A pool
-    is one small ordered table, so its rows meet in one task.
+    is one small ordered table, so its rows meet in one task. In a stream the state of a pool is its live leases, ``most`` at most.
     """
+    out = "seq long, lease string, accepted boolean"
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        live: dict[str, tuple[str, float | None]] = {}
+    def fold(rows: pd.DataFrame, live: dict[str, list]) -> tuple[pd.DataFrame, dict[str, list]]:
         found = []
         for row in rows.sort_values("seq").itertuples():
             live = {k: v for k, v in live.items() if v[1] is None or v[1] > row.at}
@@ -122,20 +121,39 @@ def leases(requests: DataFrame, most: int = 1) -> DataFrame:
                 continue
             fits = row.lease not in live and len(live) < most and all(model == row.model for model, _ in live.values())
             if fits:
-                live[row.lease] = row.model, row.at + row.ttl if row.ttl and row.ttl > 0 else None
+                live[row.lease] = [row.model, row.at + row.ttl if row.ttl and row.ttl > 0 else None]
             found.append((row.seq, row.lease, fits))
-        return pd.DataFrame(found, columns=["seq", "lease", "accepted"])
+        return pd.DataFrame(found, columns=["seq", "lease", "accepted"]), live
 
-    return requests.groupBy("pool").applyInPandas(fold, "seq long, lease string, accepted boolean")
+    def step(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        found, live = fold(pd.concat(list(batches)), json.loads(held.get[0]) if held.exists else {})
+        held.update((json.dumps(live),))
+        yield found
 
+    if stream:
+        return requests.groupBy("pool").applyInPandasWithState(step, out, "live string", "append", GroupStateTimeout.NoTimeout)
+    return requests.groupBy("pool").applyInPandas(lambda rows: fold(rows, {})[0], out)
 
-def heartbeats(events: DataFrame, idle: float = 20.0) -> DataFrame:
+
+def heartbeats(events: DataFrame, idle: float = 20.0, stream: bool = False) -> DataFrame:
     """``stream, at``: where a stream was silent for ``idle`` seconds before its first output, once for each such time.
 
-    ``events``: ``stream, at double, has_text``. The batch form of an idle timer: gaps from the start to the first text.
+    ``events``: ``stream, at double, has_text``. Gaps go from the start to the first text; in a stream the state of a key is when
+    its last event was and whether it had text, and a gap is told when the event after it comes.
     """
-    from pyspark.sql import Window
+    if stream:
 
+        def step(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+            last, seen = held.get if held.exists else (0.0, False)
+            found = []
+            for row in pd.concat(list(batches)).sort_values("at").itertuples():
+                if not seen:
+                    found += [(row.stream, last + k * idle) for k in range(1, int((row.at - last) // idle) + 1)]
+                last, seen = row.at, seen or bool(row.has_text)
+            held.update((last, seen))
+            yield pd.DataFrame(found, columns=["stream", "at"])
+
+        return events.groupBy("stream").applyInPandasWithState(step, "stream string, at double", "last double, seen boolean", "append", GroupStateTimeout.NoTimeout)
     order = Window.partitionBy("stream").orderBy("at")
     seen = F.max(F.col("has_text").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     gaps = events.select("stream", F.coalesce(F.lag("at").over(order), F.lit(0.0)).alias("a"), F.col("at").alias("b"), F.coalesce(seen, F.lit(0)).alias("seen")).filter("seen = 0")
