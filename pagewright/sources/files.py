@@ -39,7 +39,7 @@ def read_settings(spark: SparkSession, path: str) -> dict:
         return {}
     raw = spark.read.format("binaryFile").load(path).select("content").first()
     try:
-        found = json.loads(bytes(raw.content).decode("utf-8-sig"))
+        found = json.loads(bytes(raw.content).decode("utf-8-sig")) if raw else {}
     except ValueError:
         return {}
     return found if isinstance(found, dict) else {}
