@@ -31,9 +31,7 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    encoded = byte_bpe.encode_documents(docs, BYTE_RANKS, public_tokenizers.PATTERN)
-    return byte_bpe.digests(byte_bpe.decode_ids(encoded, BYTE_RANKS, public_tokenizers.PATTERN))
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN, with_ids=False)
 
 
 def op4_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,3 +52,5 @@ def test_rows(spark):
     whole = byte_bpe.round_trip(docs, BYTE_RANKS, PATTERN).collect()
     assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in whole) == sorted((str(r.doc_id), *tuple(r)[1:]) for r in out)
     assert all(len(r.ids) == r.n_tokens for r in whole)
+    bare = byte_bpe.round_trip(docs, BYTE_RANKS, PATTERN, with_ids=False)
+    assert bare.columns == out[0].__fields__ and sorted(map(str, bare.collect())) == sorted(map(str, out))
