@@ -152,14 +152,14 @@ def join_continuations(rows: DataFrame, key: str, order: str, text: str) -> Data
 
 def model_catalog(ids: DataFrame, definitions: DataFrame, runtime: DataFrame) -> DataFrame:
     """Models in the catalog's order that are defined and configured. ``ids``: ``ord, id``; short lists."""
-    return ids.join(F.broadcast(definitions), "id").join(F.broadcast(runtime), "id").orderBy("ord")
+    return ids.join(definitions, "id").join(runtime, "id").orderBy("ord")
 
 
 def with_labels(rows: DataFrame, label: str, names: list[DataFrame]) -> DataFrame:
     """``shown``: a label's name from the first dictionary (``label, name``; short lists) that has it, else the label."""
     out = rows
     for i, dictionary in enumerate(names):
-        out = out.join(F.broadcast(dictionary.select(F.col("label").alias(label), F.col("name").alias(f"_n{i}"))), label, "left")
+        out = out.join(dictionary.select(F.col("label").alias(label), F.col("name").alias(f"_n{i}")), label, "left")
     return out.withColumn("shown", F.coalesce(*[f"_n{i}" for i in range(len(names))], label)).drop(*[f"_n{i}" for i in range(len(names))])
 
 

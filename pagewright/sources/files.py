@@ -33,9 +33,7 @@ def within(files: DataFrame, most: int) -> DataFrame:
 
 def read_settings(spark: SparkSession, path: str) -> dict:
     """The object of a JSON file; empty where the file is missing, broken or no object. A mark of byte order is passed over."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    if not target.getFileSystem(conf).exists(target):
+    if not matching(spark, path):
         return {}
     raw = spark.read.format("binaryFile").load(path).select("content").first()
     try:
@@ -62,6 +60,13 @@ def file_kind(content: Column, given: Column) -> Column:
     return F.coalesce(given, F.when(text.startswith("%PDF-") | text.startswith("JVBERi0"), 0).otherwise(1))
 
 
+def matching(spark: SparkSession, pattern: str) -> bool:
+    """Whether a path of a store that Spark reads matches."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(pattern)
+    return bool(target.getFileSystem(conf).globStatus(target))
+
+
 def read_tasks(spark: SparkSession, folder: str) -> DataFrame:
     """``id`` and the fields of each task's summary, or of the task itself where it has none; broken files are left out."""
     kind = "id string, name string, status string, updatedAt string, createdAt string, pageCount int, _corrupt_record string"
@@ -71,12 +76,9 @@ def read_tasks(spark: SparkSession, folder: str) -> DataFrame:
         return files.filter("_corrupt_record IS NULL AND id IS NOT NULL").drop("_corrupt_record")
 
     tasks = read("task")
-    try:
-        summaries = read("summary")
-    except Exception as error:  # no task has a summary yet
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
+    if not matching(spark, f"{folder}/*/summary.json"):
         return tasks
+    summaries = read("summary")
     return summaries.unionByName(tasks.join(summaries.select("id"), "id", "left_anti"))
 
 
@@ -159,30 +161,41 @@ class ChangedFiles(DataSource):
 
 
 class PageBackends:
-    """Named functions from page rows to raw text; a model is one of them. ``echo`` gives back the text it is given."""
+    """Named functions from page rows to raw text; a model is one of them. ``echo`` gives back the text it is given.
 
-    def __init__(self) -> None:
-        self.runners = {"echo": lambda pages: pages.assign(raw=pages["text"].fillna(""))}
+    A backend is made by its factory once a task, so that a model is loaded once, and what it gives goes through the
+    steps that all backends share and then through its own.
+    """
+
+    def __init__(self, *shared) -> None:
+        self.shared = shared
+        self.factories = {"echo": (lambda: lambda pages: pages.assign(raw=pages["text"].fillna("")), ())}
 
     def register(self, name: str, runner) -> None:
-        self.runners[name] = runner
+        self.register_factory(name, lambda: runner)
+
+    def register_factory(self, name: str, make, *steps) -> None:
+        """``make`` gives a function of a batch of pages that adds ``raw``; ``steps`` are functions of one raw text."""
+        self.factories[name] = (make, steps)
 
     def run(self, pages: DataFrame, name: str) -> DataFrame:
         """``doc_id, page, raw``, or the error of a page's batch; the number of partitions bounds concurrency."""
-        runner = self.runners[name]
+        (make, steps), shared = self.factories[name], self.shared
 
         def call(batches):
+            runner = make()
             for batch in batches:
                 try:
-                    yield runner(batch).assign(error=None)[["doc_id", "page", "raw", "error"]]
+                    done = runner(batch).assign(error=None)
+                    for step in (*shared, *steps):
+                        done["raw"] = done["raw"].map(step)
+                    yield done[["doc_id", "page", "raw", "error"]]
                 except Exception as error:
                     yield batch.assign(raw=None, error=str(error))[["doc_id", "page", "raw", "error"]]
 
         return pages.select("doc_id", "page", "text").mapInPandas(call, "doc_id long, page int, raw string, error string")
 
 
-
-
 def export(results: DataFrame, folder: str, stem: str = "stem") -> None:
     """Markdown, JSON and image files as three tables of named contents, image names checked and kept under their document.
 

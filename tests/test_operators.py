@@ -213,6 +213,27 @@ def test_backends_keep_failures_apart(spark):
     assert "division" in backends.run(pages, "broken").first().error
 
 
+def test_backends_made_by_a_factory_share_steps(spark):
+    backends = files.PageBackends(str.strip)
+
+    def make():
+        held = []  # once a task, not once a batch
+
+        def runner(pages):
+            held.append(1)
+            return pages.assign(raw=[f"  {text}{len(held)} " for text in pages["text"]])
+
+        return runner
+
+    backends.register_factory("counting", make, str.upper)
+    pages = spark.createDataFrame([(1, 0, "x"), (1, 1, "y")], "doc_id long, page int, text string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        assert sorted(r.raw for r in backends.run(pages, "counting").collect()) == ["X1", "Y2"]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_report(spark):
     runs = spark.createDataFrame([("b", "m", "ok", 1.5, 3), ("a", "m", "error", 0.1, 0)], "file string, model string, status string, seconds double, characters long")
     assert files.comparison_report(runs).first().markdown.split("\n")[2:] == ["| a | m | error | 0.1 | 0 |", "| b | m | ok | 1.5 | 3 |"]
