@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, cover_tree, decontaminate, html_extract, jaccard_join, line_dedup, secret_scan, substring_dedup, token_ids, toxicity
+from . import byte_bpe, cover_tree, decontaminate, divergence, html_extract, jaccard_join, line_dedup, mix_sources, secret_scan, substring_dedup, token_ids, toxicity, whiten
 from .common import shared_folder, small_batches
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -66,6 +66,20 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op11_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = mix_sources.plan(table(spark, sf_dir, "documents"), mix_sources.labelled_quality(table(spark, sf_dir, "labels")))
+    return planned.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return whiten.whiten(vectors, whiten.fit(vectors))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_token_files": op2_token_files,
@@ -77,9 +91,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_html_extract": op10_html_extract,
+    "op11_mix_sources": op11_mix_sources,
+    "op12_whiten": op12_whiten,
+    "op13_divergence": op13_divergence,
 }
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.SQL,
     "op4_cover_tree": cover_tree.SQL,
+    "op11_mix_sources": mix_sources.SQL,
+    "op13_divergence": divergence.SQL,
 }
