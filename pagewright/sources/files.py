@@ -1,16 +1,21 @@
-"""Files by extension, framed logs, sidecars, exports, and a stream of changed files."""
+"""Files by extension, framed logs, sidecars, exports, and model backends."""
 
 from __future__ import annotations
 
 import json
-import os
 import struct
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+
+from ..functions.coerce import from_base64, is_safe_path
+from .named_files import NamedFiles
+from .publish import publish
 
 # The extensions that are taken in.
 EXTENSIONS = ("pdf", "png", "jpg", "jpeg", "webp", "bmp", "tif", "tiff", "doc", "docx", "ppt", "pptx", "xls", "xlsx")
@@ -44,14 +49,14 @@ def read_settings(spark: SparkSession, path: str) -> dict:
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    """One JSON object a line; the committer replaces what was there only when all parts are written."""
-    df.write.mode("overwrite").json(path)
+    """One JSON object a line, as a published version: readers (``publish.read``) see all of it or all of the one before."""
+    publish(df.sparkSession, path, df.write.json)
 
 
 def write_markdown(docs: DataFrame, folder: str, key: str, markdown: str) -> None:
-    """A folder of Markdown for each key."""
+    """A folder of Markdown for each key, as a published version."""
     named = docs.select(F.col(key).cast("string").alias("id"), F.col(markdown).alias("value"))
-    named.write.mode("overwrite").partitionBy("id").option("lineSep", "\n").text(folder)
+    publish(docs.sparkSession, folder, named.write.partitionBy("id").option("lineSep", "\n").text)
 
 
 def file_kind(content: Column, given: Column) -> Column:
@@ -102,9 +107,13 @@ def unframed(raw: bytes) -> str:
 
 
 def write_split(tasks: DataFrame, folder: str, heavy: list[str], key: str = "id") -> None:
-    """Metadata and heavy columns as two tables by key; the second is only read for details."""
-    tasks.drop(*heavy).write.mode("overwrite").parquet(f"{folder}/tasks")
-    tasks.select(key, *heavy).write.mode("overwrite").parquet(f"{folder}/results")
+    """Metadata and heavy columns as two tables by key, ``tasks`` and ``results``, published together; the second is only read for details."""
+
+    def both(at: str) -> None:
+        tasks.drop(*heavy).write.parquet(f"{at}/tasks")
+        tasks.select(key, *heavy).write.parquet(f"{at}/results")
+
+    publish(tasks.sparkSession, folder, both)
 
 
 def comparison_report(runs: DataFrame) -> DataFrame:
@@ -115,99 +124,112 @@ def comparison_report(runs: DataFrame) -> DataFrame:
     return runs.agg(F.concat(F.lit(head), F.array_join(rows, "\n")).alias("markdown"))
 
 
-class _Changes(SimpleDataSourceStreamReader):
-    """Listings of a folder; the offset holds what has been seen of each path, so a changed file comes again."""
-
-    def __init__(self, folder: str):
-        self.folder = folder
-
-    def initialOffset(self) -> dict:
-        return {"seen": "{}"}
-
-    def _listing(self) -> dict[str, list]:
-        found = {}
-        with os.scandir(self.folder) as entries:
-            for entry in entries:
-                if entry.is_file() and entry.name.rpartition(".")[2].lower() in EXTENSIONS:
-                    status = entry.stat()
-                    found[entry.path] = [status.st_mtime_ns, status.st_size]
-        return found
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        seen, now = json.loads(start["seen"]), self._listing()
-        fresh = sorted((path, *mark) for path, mark in now.items() if seen.get(path) != mark)
-        return iter(fresh), {"seen": json.dumps(seen | now, sort_keys=True)}
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        seen, after = json.loads(start["seen"]), json.loads(end["seen"])
-        return iter(sorted((path, *mark) for path, mark in after.items() if seen.get(path) != mark))
-
-
-class ChangedFiles(DataSource):
-    """``changed_files``: a stream of ``path, mtime, size`` of new and changed files of a folder that the driver sees.
-
-    The list of a watched folder is the driver's, as any file source's is; its offset grows with the folder.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "changed_files"
-
-    def schema(self) -> str:
-        return "path string, mtime long, size long"
-
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
-        return _Changes(self.options["path"])
-
-
 class PageBackends:
     """Named functions from page rows to raw text; a model is one of them. ``echo`` gives back the text it is given.
 
     A backend is made by its factory once a task, so that a model is loaded once, and what it gives goes through the
-    steps that all backends share and then through its own.
+    steps that all backends share and then through its own. A page that fails has its error and takes no other with it.
     """
 
     def __init__(self, *shared) -> None:
         self.shared = shared
-        self.factories = {"echo": (lambda: lambda pages: pages.assign(raw=pages["text"].fillna("")), ())}
+        self.factories = {"echo": (lambda: lambda pages: pages.assign(raw=pages["text"].fillna("")), (), 0)}
 
     def register(self, name: str, runner) -> None:
         self.register_factory(name, lambda: runner)
 
     def register_factory(self, name: str, make, *steps) -> None:
         """``make`` gives a function of a batch of pages that adds ``raw``; ``steps`` are functions of one raw text."""
-        self.factories[name] = (make, steps)
+        self.factories[name] = (make, steps, 0)
+
+    def register_calls(self, name: str, make, *steps, at_once: int = 1) -> None:
+        """``make`` gives a function of one page (its text) to raw text, such as a request to a server; a task makes ``at_once`` calls at a time."""
+        self.factories[name] = (make, steps, max(1, at_once))
 
     def run(self, pages: DataFrame, name: str) -> DataFrame:
-        """``doc_id, page, raw``, or the error of a page's batch; the number of partitions bounds concurrency."""
-        (make, steps), shared = self.factories[name], self.shared
+        """``doc_id, page, raw, error``: one of the last two is null. Pages stay in order within a partition.
+
+        Calls at a time are ``at_once`` in each task, times the tasks that run; no more pages than that are held beyond a batch.
+        """
+        (make, steps, at_once), shared = self.factories[name], self.shared
+
+        def finished(done: pd.DataFrame) -> pd.DataFrame:
+            for step in (*shared, *steps):
+                done["raw"] = done["raw"].map(step)
+            return done.assign(error=None)[["doc_id", "page", "raw", "error"]]
+
+        def together(runner: Callable, batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            """A batch at once; where that fails its halves, so that only pages that fail alone have an error."""
+            try:
+                yield finished(runner(batch))
+            except Exception as error:
+                if len(batch) == 1:
+                    yield batch.assign(raw=None, error=str(error))[["doc_id", "page", "raw", "error"]]
+                    return
+                half = len(batch) // 2
+                yield from together(runner, batch.iloc[:half])
+                yield from together(runner, batch.iloc[half:])
 
-        def call(batches):
-            runner = make()
-            for batch in batches:
+        def apart(runner: Callable, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            def told(doc_id: int, page: int, job) -> tuple:
                 try:
-                    done = runner(batch).assign(error=None)
+                    raw = job.result()
                     for step in (*shared, *steps):
-                        done["raw"] = done["raw"].map(step)
-                    yield done[["doc_id", "page", "raw", "error"]]
+                        raw = step(raw)
+                    return doc_id, page, raw, None
                 except Exception as error:
-                    yield batch.assign(raw=None, error=str(error))[["doc_id", "page", "raw", "error"]]
+                    return doc_id, page, None, str(error)
+
+            with ThreadPoolExecutor(at_once) as pool:
+                waiting: deque = deque()
+                for batch in batches:
+                    rows = []
+                    for row in batch.itertuples():
+                        waiting.append((row.doc_id, row.page, pool.submit(runner, row.text)))
+                        if len(waiting) > at_once:
+                            rows.append(told(*waiting.popleft()))
+                    yield pd.DataFrame(rows, columns=["doc_id", "page", "raw", "error"])
+                yield pd.DataFrame([told(*job) for job in waiting], columns=["doc_id", "page", "raw", "error"])
+
+        def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            runner = make()
+            if at_once:
+                yield from apart(runner, batches)
+            else:
+                for batch in batches:
+                    yield from together(runner, batch)
 
         return pages.select("doc_id", "page", "text").mapInPandas(call, "doc_id long, page int, raw string, error string")
 
 
-def export(results: DataFrame, folder: str, stem: str = "stem") -> None:
-    """Markdown, JSON and image files as three tables of named contents, image names checked and kept under their document.
+def export(results: DataFrame, folder: str, stem: str = "stem", append: bool = False) -> None:
+    """``stem.md``, ``stem.json`` and ``stem.assets/...`` of each row, as files of these names; all of a job's or none.
 
-    ``results``: ``stem, markdown, json, images map``. Files of their own names are a matter of the store that takes them.
+    ``results``: ``stem, markdown, json, images map of paths to base64``. Images with an unsafe path or broken data are left out. The
+    Markdown names the others by their new places, in links and in ``src`` attributes. A stem that occurs twice raises.
     """
-    from ..functions.coerce import from_base64, is_safe_path
-
-    results.select(F.concat(stem, F.lit(".md")).alias("name"), "markdown").write.mode("overwrite").parquet(f"{folder}/markdown")
-    results.select(F.concat(stem, F.lit(".json")).alias("name"), "json").write.mode("overwrite").parquet(f"{folder}/json")
-    images = results.select(stem, F.explode("images").alias("path", "data")).filter(is_safe_path(F.col("path")))
-    images = images.select(F.concat_ws("/", stem, "path").alias("name"), from_base64(F.col("data")).alias("content"))
-    images.filter("content IS NOT NULL").write.mode("overwrite").parquet(f"{folder}/assets")
+    spark = results.sparkSession
+    spark.dataSource.register(NamedFiles)
+    twice = results.groupBy(stem).agg(F.count("*").alias("n")).filter("n > 1").select(stem).first()
+    if twice:
+        raise ValueError(f"stem {twice[0]!r} occurs more than once")
+    fine = F.map_filter("images", lambda path, data: is_safe_path(path) & from_base64(data).isNotNull())
+    rows = results.select(F.col(stem).alias("stem"), "markdown", "json", F.coalesce(fine, F.create_map().cast("map<string,string>")).alias("images"))
+
+    def asset(path: Column) -> Column:
+        return F.concat("stem", F.lit(".assets/"), F.replace(path, F.lit("\\"), F.lit("/")))
+
+    def placed(text: Column, path: Column) -> Column:
+        at = asset(path)
+        for before, after in (("](", ")"), ('src="', '"'), ("src='", "'")):
+            text = F.replace(text, F.concat(F.lit(before), path, F.lit(after)), F.concat(F.lit(before), at, F.lit(after)))
+        return text
+
+    markdown = F.aggregate(F.map_keys("images"), F.col("markdown"), placed)
+    own = F.array(*[F.struct(F.concat("stem", F.lit(f".{kind}")).alias("name"), F.coalesce(text, F.lit("")).cast("binary").alias("content")) for kind, text in (("md", markdown), ("json", F.col("json")))])
+    assets = F.transform(F.map_entries("images"), lambda e: F.struct(asset(e["key"]).alias("name"), from_base64(e["value"]).alias("content")))
+    files = rows.select(F.explode(F.concat(own, assets)).alias("file")).select("file.*")
+    files.write.format("named_files").mode("append" if append else "overwrite").save(folder)
 
 
 def newest(spark: SparkSession, folder: str, pattern: str) -> DataFrame:

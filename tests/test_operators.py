@@ -4,6 +4,7 @@ import json
 import os
 import random
 import struct
+from pathlib import Path
 
 import pytest
 from hypothesis import given, settings
@@ -11,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pagewright.operators import blocks, catalog, linking, repetition, tables
-from pagewright.sources import files
+from pagewright.sources import files, publish
 from pagewright.streaming import folds
 
 
@@ -160,27 +161,6 @@ def test_leases_and_heartbeats_as_streams(spark, tmp_path):
     assert want and streamed(spark, tmp_path, beats, kind, lambda x: folds.heartbeats(x, stream=True), "beats") == want
 
 
-def test_changed_files_come_again(spark, tmp_path):
-    folder = tmp_path / "watched"
-    folder.mkdir()
-    (folder / "a.pdf").write_bytes(b"1")
-    (folder / "skip.txt").write_bytes(b"1")
-    spark.dataSource.register(files.ChangedFiles)
-
-    def once() -> int:
-        stream = spark.readStream.format("changed_files").load(str(folder))
-        run = stream.writeStream.format("json").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-        run.awaitTermination(60)
-        return spark.read.json(str(tmp_path / "out")).count()
-
-    assert once() == 1
-    assert once() == 1
-    (folder / "a.pdf").write_bytes(b"22")
-    os.utime(folder / "a.pdf", ns=(1, 10**18))
-    (folder / "b.png").write_bytes(b"3")
-    assert once() == 3
-
-
 def test_files(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     for name in ("a.PDF", "b.txt", "sub/c.png"):
@@ -242,14 +222,12 @@ def test_report(spark):
 def test_split_write(spark, tmp_path):
     tasks = spark.createDataFrame([("a", "n", "heavy")], "id string, name string, markdown string")
     files.write_split(tasks, str(tmp_path), ["markdown"])
-    assert spark.read.parquet(str(tmp_path / "tasks")).columns == ["id", "name"]
-    assert catalog.hydrate(spark.read.parquet(str(tmp_path / "tasks")), spark.read.parquet(str(tmp_path / "results")), "id", {"markdown": ""}).first().markdown == "heavy"
+    metadata, heavy = (publish.read(spark, str(tmp_path), "parquet", part) for part in ("tasks", "results"))
+    assert metadata.columns == ["id", "name"]
+    assert catalog.hydrate(metadata, heavy, "id", {"markdown": ""}).first().markdown == "heavy"
 
 
-def test_export_and_newest(spark, tmp_path):
-    rows = [("a.m", "# md", "{}", {"img/x.png": "aGk=", "../evil": "aGk=", "bad.png": "%%%"})]
-    files.export(spark.createDataFrame(rows, "stem string, markdown string, json string, images map<string,string>"), str(tmp_path / "e"))
-    assert [(r.name, bytes(r.content)) for r in spark.read.parquet(str(tmp_path / "e" / "assets")).collect()] == [("a.m/img/x.png", b"hi")]
+def test_newest(spark, tmp_path):
     for n, (name, text) in enumerate((("1.mmd", "old"), ("2.mmd", "new"), ("3.mmd", "  "))):
         (tmp_path / name).write_text(text)
         os.utime(tmp_path / name, (1000 + n, 1000 + n))
@@ -269,5 +247,5 @@ def test_settings_sizes_and_exports(spark, tmp_path):
     for _ in range(2):  # the second replaces the first
         files.write_json(docs, str(tmp_path / "j"))
         files.write_markdown(docs, str(tmp_path / "m"), "id", "markdown")
-    assert sorted(map(tuple, spark.read.json(str(tmp_path / "j")).select("id", "markdown").collect())) == [(1, "# A\nb"), (2, "c")]
-    assert (next((tmp_path / "m" / "id=1").glob("*.txt"))).read_text() == "# A\nb\n"
+    assert sorted(map(tuple, publish.read(spark, str(tmp_path / "j"), "json").select("id", "markdown").collect())) == [(1, "# A\nb"), (2, "c")]
+    assert (next((Path(publish.current(spark, str(tmp_path / "m"))) / "id=1").glob("*.txt"))).read_text() == "# A\nb\n"
