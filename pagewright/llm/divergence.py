@@ -21,7 +21,7 @@ from .common import batches_of, dropped, partitions, written
 #: Documents of a language that a kept term is in, and ranks of terms that are given.
 LEAST_DOCS, MOST_TERMS = 3, 200
 #: Numbers of a chunk's matrix; counted terms that a task holds; bytes of a text that are split at once.
-CELLS, HELD, PIECE = 1 << 20, 400_000, 1 << 22
+CELLS, HELD, PIECE = 1 << 20, 1_000_000, 1 << 22
 BILLION = 1_000_000_000
 
 #: A-Z becomes a-z; all other ASCII but letters becomes a blank, so that what is between blanks are terms.
@@ -44,32 +44,34 @@ def term_counts(docs: DataFrame, text_col: str, lang_col: str, source_col: str)
     schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.binary()), ("n", pa.int64()), ("docs", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            held: dict[tuple, tuple[Counter, Counter]] = {}
-            size = 0
-            for batch in batches:
-                for at in range(0, batch.num_rows, 64):
-                    for lang, source, raw in zip(*(column.to_pylist() for column in batch.slice(at, 64).columns), strict=True):
-                        if (lang, source) not in held:
-                            held[lang, source] = Counter({b"": 0}), Counter()
-                        counts, holders = held[lang, source]
-                        before, seen = len(counts), set()
-                        for part in terms_of(raw):
-                            counts.update(part)
-                            seen.update(part)
-                        holders.update(seen)
-                        size += len(counts) - before
-                    if size >= HELD:
-                        yield from told(held)
-                        held, size = {}, 0
-            yield from told(held)
-
-        return batches_of(rows(), schema, weigh=lambda row: 64 + len(row[2]), most=1 << 15)
-
-    def told(held: dict) -> Iterator[tuple]:
-        for (lang, source), (counts, holders) in held.items():
-            for term, n in counts.items():
-                yield lang, source, term, n, holders[term]
+        held: dict[tuple, tuple[Counter, Counter]] = {}
+        size = 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                for lang, source, raw in zip(*(column.to_pylist() for column in batch.slice(at, 64).columns), strict=True):
+                    if (lang, source) not in held:
+                        held[lang, source] = Counter({b"": 0}), Counter()
+                    counts, holders = held[lang, source]
+                    before, seen = len(counts), set()
+                    for part in terms_of(raw):
+                        counts.update(part)
+                        seen.update(part)
+                    holders.update(seen)
+                    size += len(counts) - before
+                if size >= HELD:
+                    yield from told(held)
+                    held, size = {}, 0
+        yield from told(held)
+
+    def told(held: dict) -> Iterator[pa.RecordBatch]:
+        while held:
+            (lang, source), (counts, holders) = held.popitem()
+            terms = list(counts)
+            for at in range(0, len(terms), 1 << 14):
+                part = terms[at : at + (1 << 14)]
+                names = [pa.repeat(pa.scalar(x, pa.string()), len(part)) for x in (lang, source)]
+                numbers = [pa.array([x[term] for term in part], pa.int64()) for x in (counts, holders)]
+                yield pa.RecordBatch.from_arrays([*names, pa.array(part, pa.binary()), *numbers], schema=schema)
 
     read = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
     given = docs.select(read(lang_col).alias("lang"), read(source_col).alias("source"), F.col(f"`{text_col}`").cast("binary").alias("raw"))
@@ -87,30 +89,35 @@ def chunked(counts: DataFrame, ways: int, least: int) -> DataFrame:
     many = pa.list_
     schema = pa.schema([("lang", pa.string()), ("chunk", pa.int32()), ("terms", many(pa.binary())), ("sources", many(pa.string())), ("place", many(pa.int32())), ("id", many(pa.int32())), ("n", many(pa.int64()))])
 
-    def encoded(lang: str, chunk: int, rows: list[tuple]) -> tuple:
-        rows = [row for row in rows if row[1]]
-        if not rows:
+    def encoded(lang: str, chunk: int, parts: list[list[np.ndarray]]) -> tuple:
+        names, terms, n, docs = (np.concatenate(column) for column in zip(*parts, strict=True))
+        names, terms, n, docs = (column[terms != b""] for column in (names, terms, n, docs))
+        if not len(terms):
             return lang, chunk, [], [], [], [], []
-        names, words, n, docs = ([row[k] for row in rows] for k in range(4))
-        terms = np.empty(len(words), object)
-        terms[:] = words
         starts = np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1]]))
-        kept = terms[starts][np.add.reduceat(np.array(docs, np.int64), starts) >= least]
-        ids = np.searchsorted(kept, terms) if len(kept) else np.zeros(len(terms), np.int64)
-        held = np.flatnonzero(kept[np.minimum(ids, len(kept) - 1)] == terms) if len(kept) else np.zeros(0, np.int64)
-        sources, place = np.unique(np.array(names, object)[held], return_inverse=True) if len(held) else (np.zeros(0, object), held)
-        return lang, chunk, kept.tolist(), sources.tolist(), place.tolist(), ids[held].tolist(), np.array(n, np.int64)[held].tolist()
+        kept = terms[starts][np.add.reduceat(docs, starts) >= least]
+        if not len(kept):
+            return lang, chunk, [], [], [], [], []
+        ids = np.minimum(np.searchsorted(kept, terms), len(kept) - 1)
+        held = np.flatnonzero(kept[ids] == terms)
+        sources, place = np.unique(names[held], return_inverse=True)
+        return lang, chunk, kept.tolist(), sources.tolist(), place, ids[held], n[held]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             last, held = None, []
             for batch in batches:
-                for lang, chunk, *row in zip(*(column.to_pylist() for column in batch.columns), strict=True):
-                    if (lang, chunk) != last:
+                if not batch.num_rows:
+                    continue
+                langs, chunks, *columns = (column.to_numpy(zero_copy_only=False) for column in batch.columns)
+                cuts = np.flatnonzero((langs[1:] != langs[:-1]) | (chunks[1:] != chunks[:-1])) + 1
+                for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                    key = langs[low], int(chunks[low])
+                    if key != last:
                         if last is not None:
                             yield encoded(*last, held)
-                        last, held = (lang, chunk), []
-                    held.append(row)
+                        last, held = key, []
+                    held.append([column[low:high] for column in columns])
             if last is not None:
                 yield encoded(*last, held)
 
