@@ -222,13 +222,17 @@ def is_token(c: Column) -> Column:
     return c.rlike(r"^[A-Za-z]{2,8}[0-9]{2,8}[A-Za-z0-9-]*\z")
 
 
+#: A box of four numbers after a label, and words that end a decoder's steps.
+BOX_TRACE = r"(?i)\btext\s*\[(?=[^\]\n]*(?:-?\d+(?:\.\d+)?\s*,\s*){3}-?\d+(?:\.\d+)?\s*\])[^\]\n]*\]"
+DECODER_TRACE = r"(?i)\b(?:end\s+while|end\s+if|output:)(?!\w)"
+
+
 def structural_artifact(c: Column) -> Column:
     """Names the trace that a text shows of a decoder's own layout, if any."""
     text = normalize_newlines(c)
-    box = r"(?i)\btext\s*\[(?=[^\]\n]*(?:-?\d+(?:\.\d+)?\s*,\s*){3}-?\d+(?:\.\d+)?\s*\])[^\]\n]*\]"
-    boxes = F.regexp_count(text, F.lit(box))
+    boxes = F.regexp_count(text, F.lit(BOX_TRACE))
     numbered = F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"^\s*[0-9]{1,3}\s*:")))
-    traces = F.regexp_count(text, F.lit(r"(?i)\b(?:end\s+while|end\s+if|output:)(?!\w)"))
+    traces = F.regexp_count(text, F.lit(DECODER_TRACE))
     return (
         F.when(F.contains(text, F.lit("<|det|>")), None)
         .when((boxes >= 2) & ((numbered >= 3) | (traces >= 2)), "layout coordinate trace")

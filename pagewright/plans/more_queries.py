@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import records as R
 from ..operators import blocks, catalog, tables
-from ..streaming import folds
 from .record_queries import _want
 from .registry import query, table
 
@@ -96,17 +95,3 @@ def record_structs(spark, sf_dir):
     run = R.benchmark_record(F.col("m"), F.col("n"), F.lit("pdf"), F.col("s"), F.lit(0), F.col("n"))
     block = R.block_record(F.lit(None).cast("string"), F.col("n"), F.col("b"), F.lit(0))
     return frame.select(run["modelId"].alias("id"), run["sizeBytes"].alias("size"), block["block_label"].alias("label"), F.array_join(R.percent_box(F.col("b"), F.lit(100), F.lit(100)), ",").alias("percent"))
-
-
-@query("heartbeats", _want("stream string, at double", ("a", 20.0), ("a", 40.0), ("b", 25.0)))
-def heartbeats(spark, sf_dir):
-    rows = [("a", 50.0, True), ("a", 99.0, False), ("b", 5.0, False), ("b", 30.0, True)]
-    return folds.heartbeats(spark.createDataFrame(rows, "stream string, at double, has_text boolean"))
-
-
-@query("guarded_streams", _want("stream string, seq long", ("loop", 2), ("trace", 1)))
-def guarded_streams(spark, sf_dir):
-    fine = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
-    loop = fine + " the same phrase again" * 8
-    rows = [("loop", 1, fine), ("loop", 2, loop), ("loop", 3, loop + " more"), ("trace", 1, "text [1, 2, 3, 4] text [1, 2, 3, 4]\nend if end while"), ("ok", 1, fine)]
-    return folds.guarded(spark.createDataFrame(rows, "stream string, seq long, text string"), "stream", "seq", F.col("text"))

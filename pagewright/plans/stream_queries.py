@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..streaming import folds
@@ -65,15 +66,49 @@ def text_snapshots(spark, sf_dir):
     return folds.snapshots(DELTAS.frame(spark))
 
 
-LEASES = Fixture(
-    "pool string, seq long, at double, kind string, lease string, model string, ttl double",
-    (
-        ("p", 1, 0.0, "acquire", "a", "m", 10.0), ("p", 2, 1.0, "acquire", "b", "m", 0.0), ("p", 3, 2.0, "acquire", "c", "n", 0.0), ("p", 4, 3.0, "acquire", "d", "m", 0.0),
-        ("p", 5, 11.0, "acquire", "e", "m", 0.0), ("p", 6, 12.0, "release", "b", "m", None), ("p", 7, 13.0, "release", "zz", "m", None),
-    ),
-)
+@query(
+    "lease_fold",
+    """
+    WITH RECURSIVE s AS (
+      SELECT user_id::VARCHAR AS pool, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, epoch_us(ts) / 1e6 AS moment, CASE WHEN event_type = 'error' THEN 'release' ELSE 'acquire' END AS kind,
+             'l' || (event_id % 4) AS lease, CASE WHEN event_id % 3 = 0 THEN 'b' ELSE 'a' END AS model, CASE WHEN event_type = 'view' THEN NULL ELSE value * 20000 END AS ttl FROM events
+    ), f AS (
+      SELECT DISTINCT pool, 0::BIGINT AS seq, [] :: STRUCT(l VARCHAR, m VARCHAR, e DOUBLE)[] AS live, NULL::VARCHAR AS lease, NULL::VARCHAR AS kind, NULL::BOOLEAN AS accepted FROM s
+      UNION ALL
+      SELECT pool, seq, CASE WHEN kind = 'release' THEN list_filter(kept, lambda x: x.l <> lease) WHEN accepted THEN list_append(kept, {'l': lease, 'm': model, 'e': CASE WHEN ttl > 0 THEN moment + ttl END}) ELSE kept END,
+             lease, kind, accepted
+      FROM (
+        SELECT *, CASE WHEN kind = 'release' THEN len(list_filter(kept, lambda x: x.l = lease)) > 0 ELSE len(kept) < 2 AND len(list_filter(kept, lambda x: x.l = lease OR x.m <> model)) = 0 END AS accepted
+        FROM (SELECT s.*, list_filter(f.live, lambda x: x.e IS NULL OR x.e > s.moment) AS kept FROM f JOIN s ON s.pool = f.pool AND s.seq = f.seq + 1)
+      )
+    )
+    SELECT pool, seq, lease, kind, accepted FROM f WHERE seq > 0
+    """,
+)
+def lease_fold(spark, sf_dir):
+    """Users as pools: events take leases, errors give them back, views take them without end."""
+    events = table(spark, sf_dir, "events")
+    return folds.leases(
+        events.select(
+            F.col("user_id").cast("string").alias("pool"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long").alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"),
+            F.when(F.col("event_type") == "error", "release").otherwise("acquire").alias("kind"), F.concat(F.lit("l"), F.col("event_id") % 4).alias("lease"),
+            F.when(F.col("event_id") % 3 == 0, "b").otherwise("a").alias("model"), F.when(F.col("event_type") != "view", F.col("value") * 20000).alias("ttl"),
+        ),
+        most=2,
+    )
 
 
-@query("lease_fold", "SELECT unnest([1, 2, 3, 4, 5, 6, 7])::BIGINT AS seq, unnest(['a', 'b', 'c', 'd', 'e', 'b', 'zz']) AS lease, unnest([true, true, false, false, true, true, false]) AS accepted")
-def lease_fold(spark, sf_dir):
-    return folds.leases(LEASES.frame(spark), most=2)
+@query(
+    "heartbeats",
+    """
+    WITH e AS (SELECT user_id::VARCHAR AS stream, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 1e6 AS moment, event_type = 'purchase' AS text FROM events),
+    n AS (SELECT stream, floor(coalesce(min(moment) FILTER (WHERE text), max(moment)) / 40000)::INTEGER AS n FROM e GROUP BY stream)
+    SELECT stream, unnest(range(1, n + 1)) * 40000::DOUBLE AS at FROM n
+    """,
+)
+def heartbeats(spark, sf_dir):
+    """Users as streams that begin with their first event and say something when they buy."""
+    began = F.min(F.unix_micros(F.col("ts").cast("timestamp"))).over(Window.partitionBy("user_id"))
+    at = ((F.unix_micros(F.col("ts").cast("timestamp")) - began) / 1e6).alias("at")
+    events = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("stream"), at, (F.col("event_type") == "purchase").alias("has_text"))
+    return folds.heartbeats(events, idle=40000.0)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -104,61 +104,47 @@ def unsent(images: DataFrame) -> DataFrame:
     return images.groupBy("stream", "path").applyInPandasWithState(step, kind, "data string", "append", GroupStateTimeout.NoTimeout)
 
 
-def leases(requests: DataFrame, most: int = 1, stream: bool = False) -> DataFrame:
-    """``seq, lease, accepted``: requests folded in order. ``requests``: ``pool, seq, at double, kind, lease, model, ttl double``.
+def leases(requests: DataFrame, most: int = 1) -> DataFrame:
+    """``pool, seq, lease, kind, accepted``: requests folded in order. ``requests``: ``pool, seq, at double, kind, lease, model, ttl double``.
 
-    A lease is accepted when fewer than ``most`` live ones are held and all are of its model; expired ones go first. A pool
-    is one small ordered table, so its rows meet in one task. In a stream the state of a pool is its live leases, ``most`` at most.
+    A lease is accepted when fewer than ``most`` live ones are held and all are of its model; expired ones go first. A pool's
+    requests come in a sorted stream; what is held of it are its live leases, ``most`` at most.
     """
-    out = "seq long, lease string, accepted boolean"
-
-    def fold(rows: pd.DataFrame, live: dict[str, list]) -> tuple[pd.DataFrame, dict[str, list]]:
-        found = []
-        for row in rows.sort_values("seq").itertuples():
-            live = {k: v for k, v in live.items() if v[1] is None or v[1] > row.at}
-            if row.kind == "release":
-                found.append((row.seq, row.lease, live.pop(row.lease, None) is not None))
-                continue
-            fits = row.lease not in live and len(live) < most and all(model == row.model for model, _ in live.values())
-            if fits:
-                live[row.lease] = [row.model, row.at + row.ttl if row.ttl and row.ttl > 0 else None]
-            found.append((row.seq, row.lease, fits))
-        return pd.DataFrame(found, columns=["seq", "lease", "accepted"]), live
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        found, live = fold(pd.concat(list(batches)), json.loads(held.get[0]) if held.exists else {})
-        held.update((json.dumps(live),))
-        yield found
-
-    if stream:
-        return requests.groupBy("pool").applyInPandasWithState(step, out, "live string", "append", GroupStateTimeout.NoTimeout)
-    return requests.groupBy("pool").applyInPandas(lambda rows: fold(rows, {})[0], out)
-
-
-def heartbeats(events: DataFrame, idle: float = 20.0, stream: bool = False) -> DataFrame:
-    """``stream, at``: where a stream was silent for ``idle`` seconds before its first output, once for each such time.
-
-    ``events``: ``stream, at double, has_text``. Gaps go from the start to the first text; in a stream the state of a key is when
-    its last event was and whether it had text, and a gap is told when the event after it comes.
+    columns = ["pool", "seq", "at", "kind", "lease", "model", "ttl"]
+
+    def decided(seq: int, at: float, kind: str, lease: str, model: str, ttl: float | None, live: dict[str, tuple]) -> bool:
+        for name in [k for k, v in live.items() if v[1] is not None and v[1] <= at]:
+            del live[name]
+        if kind == "release":
+            return live.pop(lease, None) is not None
+        fits = lease not in live and len(live) < most and all(held == model for held, _ in live.values())
+        if fits:
+            live[lease] = model, at + ttl if ttl and ttl > 0 else None
+        return fits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, live = None, {}
+        for batch in batches:
+            values = [column.to_pylist() for column in batch.columns]
+            accepted = []
+            for pool, *request in zip(*values, strict=True):
+                if pool != last:
+                    last, live = pool, {}
+                accepted.append(decided(*request, live))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, 1, 4, 3)), pa.array(accepted, pa.bool_())], ["pool", "seq", "lease", "kind", "accepted"])
+
+    given = requests.select(F.col("pool").cast("string"), *(F.col(c) for c in columns[1:]))
+    return given.repartition("pool").sortWithinPartitions("pool", "seq").mapInArrow(run, "pool string, seq long, lease string, kind string, accepted boolean")
+
+
+def heartbeats(events: DataFrame, idle: float = 20.0) -> DataFrame:
+    """``stream, at``: when a stream that began at 0 is told to be silent, every ``idle`` seconds until its first text, or else its last event.
+
+    ``events``: ``stream, at double, has_text``. Events without text don't put a beat off.
     """
-    if stream:
-
-        def step(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-            last, seen = held.get if held.exists else (0.0, False)
-            found = []
-            for row in pd.concat(list(batches)).sort_values("at").itertuples():
-                if not seen:
-                    found += [(row.stream, last + k * idle) for k in range(1, int((row.at - last) // idle) + 1)]
-                last, seen = row.at, seen or bool(row.has_text)
-            held.update((last, seen))
-            yield pd.DataFrame(found, columns=["stream", "at"])
-
-        return events.groupBy("stream").applyInPandasWithState(step, "stream string, at double", "last double, seen boolean", "append", GroupStateTimeout.NoTimeout)
-    order = Window.partitionBy("stream").orderBy("at")
-    seen = F.max(F.col("has_text").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    gaps = events.select("stream", F.coalesce(F.lag("at").over(order), F.lit(0.0)).alias("a"), F.col("at").alias("b"), F.coalesce(seen, F.lit(0)).alias("seen")).filter("seen = 0")
-    beats = gaps.withColumn("n", F.floor((F.col("b") - F.col("a")) / idle).cast("int")).filter("n > 0")
-    return beats.select("stream", F.explode(F.transform(F.sequence(F.lit(1), F.col("n")), lambda k: F.col("a") + k * idle)).alias("at"))
+    end = F.coalesce(F.min(F.when(F.col("has_text"), F.col("at"))), F.max("at"))
+    beats = events.groupBy("stream").agg(F.floor(end / idle).cast("int").alias("n")).filter("n > 0")
+    return beats.select("stream", F.explode(F.transform(F.sequence(F.lit(1), F.col("n")), lambda k: k * idle)).alias("at"))
 
 
 def guarded(snapshots_: DataFrame, key: str, order: str, text: Column) -> DataFrame:

@@ -139,28 +139,6 @@ def test_unsent_images(spark, tmp_path):
     assert sorted(r.seq for r in spark.table("unsent").collect()) == [1, 3, 4]
 
 
-def streamed(spark, tmp_path, rows, kind, operator, name):
-    for part in range(3):
-        spark.createDataFrame(rows[part * len(rows) // 3 : (part + 1) * len(rows) // 3], kind).coalesce(1).write.mode("append").json(str(tmp_path / name))
-    source = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).json(str(tmp_path / name))
-    run = operator(source).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / ("c" + name))).start()
-    run.processAllAvailable()
-    run.stop()
-    return sorted(map(tuple, spark.table(name).collect()))
-
-
-def test_leases_and_heartbeats_as_streams(spark, tmp_path):
-    rows = [("p", 1, 0.0, "acquire", "a", "m", 5.0), ("p", 2, 1.0, "acquire", "b", "n", 5.0), ("p", 3, 6.0, "acquire", "b", "n", 0.0), ("p", 4, 99.0, "acquire", "c", "n", 1.0), ("p", 5, 99.5, "release", "b", "n", 0.0), ("p", 6, 99.6, "acquire", "c", "m", 1.0)]
-    kind = "pool string, seq long, at double, kind string, lease string, model string, ttl double"
-    want = sorted(map(tuple, folds.leases(spark.createDataFrame(rows, kind)).collect()))
-    assert [r[2] for r in want] == [True, False, True, False, True, True]
-    assert streamed(spark, tmp_path, rows, kind, lambda x: folds.leases(x, stream=True), "leased") == want
-    beats = [("a", 50.0, False), ("b", 5.0, False), ("b", 30.0, True), ("a", 99.0, True), ("b", 99.0, False), ("a", 200.0, False)]
-    kind = "stream string, at double, has_text boolean"
-    want = sorted(map(tuple, folds.heartbeats(spark.createDataFrame(beats, kind)).collect()))
-    assert want and streamed(spark, tmp_path, beats, kind, lambda x: folds.heartbeats(x, stream=True), "beats") == want
-
-
 def test_files(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     for name in ("a.PDF", "b.txt", "sub/c.png"):
