@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,32 +51,56 @@ def score(element: str, block: str) -> float:
     return sum(w in block for w in words) / len(words) if words else 0.0
 
 
-def link_in_order(elements: DataFrame, blocks: DataFrame, key: str, back: int = 1, ahead: int = 18) -> DataFrame:
-    """``key, element, block, score``: elements in order, each linked near the block of the one before.
+#: A block is looked for from so many before the last link to so many after it; scores that link, and that end the search.
+BACK, AHEAD, LEAST, ENOUGH = 1, 18, 0.55, 0.92
 
-    The place of a search depends on the last link, so a document's rows go through Python together; documents are
-    independent. Both: ``key, ord, text`` (matched as ``match_text`` leaves it).
-    """
 
-    def run(own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
-        texts, cursor, out = other.sort_values("ord"), 0, []
-        ids, said = texts["ord"].tolist(), texts["text"].tolist()
-        for row in own.sort_values("ord").itertuples():
-            best = None
-            for at in range(max(0, cursor - back), min(len(ids), cursor + ahead)):
-                value = score(row.text, said[at])
-                if value >= 0.55 and (best is None or value > best[1]):
-                    best = at, value
-                if value >= 0.92:
-                    break
-            if best:
-                cursor = best[0]
-                out.append((getattr(row, key), row.ord, ids[best[0]], best[1]))
-        return pd.DataFrame(out, columns=[key, "element", "block", "score"])
-
-    left, right = (x.select(key, "ord", T.match_text(F.col("text")).alias("text")) for x in (elements, blocks))
-    kind = f"{key} long, element long, block long, score double"
-    return left.filter(F.length("text") >= 2).groupBy(key).cogroup(right.groupBy(key)).applyInPandas(run, kind)
+class Linker:
+    """Elements of one document linked near the block of the one before. A link may step back by one, so none of its blocks is let go."""
+
+    def __init__(self) -> None:
+        self.cursor, self.blocks = 0, []
+
+    def link(self, text: str) -> tuple[int, float] | None:
+        best = None
+        for at in range(max(0, self.cursor - BACK), min(len(self.blocks), self.cursor + AHEAD)):
+            value = score(text, self.blocks[at][1])
+            if value >= LEAST and (best is None or value > best[1]):
+                best = at, value
+            if value >= ENOUGH:
+                break
+        if best is None:
+            return None
+        self.cursor = best[0]
+        return self.blocks[best[0]][0], best[1]
+
+
+def link_in_order(elements: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
+    """``key, element, block, score``: elements in order, each linked near the block of the one before. Both: ``key, ord, text``.
+
+    Both sides are one sorted stream, shuffled once: a document's blocks, then its elements, each linked as it comes. A task
+    holds one document's blocks and a batch of rows. Elements of less than two characters are passed over.
+    """
+    sides = [x.select(F.col(key).cast("long").alias("key"), F.lit(side).alias("side"), F.col("ord").cast("long").alias("ord"), T.match_text(F.col("text")).alias("text")) for side, x in enumerate((blocks, elements))]
+    both = sides[0].unionByName(sides[1].filter(F.length("text") >= 2)).filter("key IS NOT NULL")
+    stream = both.repartition("key").sortWithinPartitions("key", "side", "ord")
+    schema = pa.schema([(key, pa.int64()), ("element", pa.int64()), ("block", pa.int64()), ("score", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, linker = None, Linker()
+        for batch in batches:
+            found = []
+            for own, side, ord_, text in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                if own != last:
+                    last, linker = own, Linker()
+                if side == 0:
+                    linker.blocks.append((ord_, text or ""))
+                elif match := linker.link(text):
+                    found.append((own, ord_, *match))
+            columns = zip(*found, strict=True) if found else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return stream.mapInArrow(run, f"`{key}` long, element long, block long, score double")
 
 
 def nearest(targets: DataFrame, entries: DataFrame, keys: list[str], target: str, place: str, entry: str) -> DataFrame:

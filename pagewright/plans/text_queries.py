@@ -201,11 +201,37 @@ def best_matches(spark, sf_dir):
     return linking.best_matches(pairs, "element_id", "ord")
 
 
-@query("greedy_links")
+@query(
+    "greedy_links",
+    rf"""
+    WITH RECURSIVE p AS (
+      SELECT doc_id, side, unnest(s) AS t, generate_subscripts(s, 1) - 1 AS ord FROM (
+        SELECT doc_id, 1 AS side, string_split(text, '. ') AS s FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id, 0, string_split(text, chr(10)) FROM documents WHERE text IS NOT NULL)
+    ), m AS (SELECT doc_id, side, ord, {MATCH.format(x="t")} AS text FROM p),
+    e AS (SELECT doc_id, ord, text, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS k FROM m WHERE side = 1 AND length(text) >= 2),
+    b AS (SELECT doc_id, ord, text FROM m WHERE side = 0
+    ), f AS (
+      SELECT DISTINCT doc_id, 0::BIGINT AS k, 0::BIGINT AS cursor, NULL::BIGINT AS element, NULL::BIGINT AS block, NULL::DOUBLE AS score FROM e
+      UNION ALL
+      SELECT doc_id, k, coalesce(CASE WHEN near.ord IS NOT NULL THEN near.ord ELSE best.ord END, cursor), element, CASE WHEN near.ord IS NOT NULL THEN near.ord ELSE best.ord END, CASE WHEN near.ord IS NOT NULL THEN near.score ELSE best.score END
+      FROM (
+        SELECT doc_id, k, any_value(cursor) AS cursor, any_value(element) AS element,
+               min(struct_pack(ord := ord, score := score)) FILTER (WHERE score >= 0.92) AS near,
+               max(struct_pack(score := score, back := -ord, ord := ord)) FILTER (WHERE score >= 0.55) AS best
+        FROM (
+          SELECT doc_id, k, cursor, e_ord AS element, ord, ({SCORE})::DOUBLE AS score
+          FROM (SELECT f.doc_id, e.k, f.cursor, e.ord AS e_ord, e.text AS element, b.ord, b.text AS block
+                FROM f JOIN e ON e.doc_id = f.doc_id AND e.k = f.k + 1 LEFT JOIN b ON b.doc_id = f.doc_id AND b.ord >= f.cursor - 1 AND b.ord < f.cursor + 18)
+        ) GROUP BY doc_id, k
+      )
+    )
+    SELECT doc_id, element, block, score FROM f WHERE block IS NOT NULL
+    """,
+)
 def greedy_links(spark, sf_dir):
     """Sentences of documents linked in order to their own lines."""
     docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
-    elements = docs.select("doc_id", F.posexplode(F.split("text", r"(?<=\.)\s+")).alias("ord", "text"))
+    elements = docs.select("doc_id", F.posexplode(F.split("text", r"\. ")).alias("ord", "text"))
     blocks = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "text"))
     return linking.link_in_order(elements, blocks, "doc_id")
 

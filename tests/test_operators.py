@@ -114,6 +114,38 @@ def test_greedy_links(spark):
     assert [tuple(r)[:3] for r in linking.link_in_order(elements, found, "doc_id").orderBy("element").collect()] == [(1, 0, 0), (1, 1, 1)]
 
 
+def plain_links(elements, blocks):
+    """Each element against the blocks near the last link, all in memory."""
+    cursor, out = 0, []
+    for ord_, text in enumerate(elements):
+        best = None
+        for at in range(max(0, cursor - 1), min(len(blocks), cursor + 18)) if len(text) >= 2 else ():
+            value = linking.score(text, blocks[at])
+            if value >= 0.55 and (best is None or value > best[1]):
+                best = at, value
+            if value >= 0.92:
+                break
+        if best:
+            cursor = best[0]
+            out.append((ord_, best[0], best[1]))
+    return out
+
+
+def test_links_in_a_stream_are_the_plain_rule(spark):
+    rng = random.Random(8)
+    vocabulary = [f"word{a}{b}" for a in "abcdefgh" for b in "xyz"]
+    documents = {}
+    for doc in range(12):
+        blocks = [" ".join(rng.choices(vocabulary, k=rng.randrange(2, 9))) for _ in range(rng.choice([0, 3, 40, 150]))]
+        elements = [" ".join(w for w in rng.choice(blocks).split() if rng.random() < 0.8) if blocks and rng.random() < 0.4 else rng.choice([*blocks, "other text altogether"]) if rng.random() < 0.5 else "" for _ in range(rng.choice([0, 5, 60]))]
+        elements += sorted(blocks[::2], key=blocks.index)
+        documents[doc] = elements, blocks
+    side = lambda k: spark.createDataFrame([(doc, 3 * i, text, 1) for doc, both in documents.items() for i, text in enumerate(both[k])], "doc_id long, ord long, text string, score int")
+    got = sorted(map(tuple, linking.link_in_order(side(0).repartition(3), side(1).repartition(2), "doc_id").collect()))
+    want = sorted((doc, 3 * e, 3 * b, value) for doc, (elements, blocks) in documents.items() for e, b, value in plain_links(elements, blocks))
+    assert got == want and len(want) > 100
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rng = random.Random(3)
     rows = [(f"s{i % 3}", i // 3, i / 10, rng.choice(["word ", "end.", "a rather long piece of text ", "x"])) for i in range(60)]
