@@ -29,8 +29,8 @@ _edges = sorted({int(BAND**k) for k in range(200)})
 SHARED = 0.15
 #: The binary logarithm of the bits of a piece.
 PIECE_BITS = 20
-#: Bits of the sketch that pairs in one bucket are compared by, least and most, and members of a block there.
-MINI_BITS, BLOCK = (256, 8192), 256
+#: Bits of the sketch that pairs in one bucket are compared by, least and most, how many a shingle, and members of a block there.
+MINI_BITS, SPREAD, BLOCK = (1024, 32768), 8, 256
 #: Spokes that meet one copy of their hub's text, and rows of buckets in one group.
 SPOKES, GROUP = 1024, 8192
 
@@ -92,8 +92,11 @@ def given_keys(hashes: np.ndarray, band: int, share: int) -> np.ndarray:
 
 
 def mini_sketch(hashes: np.ndarray) -> bytes:
-    """Parities of about a bit for each shingle; halves added by exclusive or are the sketch of half the bits."""
-    size = min(max(MINI_BITS[0], 1 << (len(hashes) - 1).bit_length()), MINI_BITS[1])
+    """Parities of about SPREAD bits for each shingle; halves added by exclusive or are the sketch of half the bits.
+
+    Few elements then share a bit, so sketches of sets that just fail the share seldom look as if they had it.
+    """
+    size = min(max(MINI_BITS[0], 1 << (SPREAD * len(hashes) - 1).bit_length()), MINI_BITS[1])
     bits = np.bincount(((hashes >> np.uint64(8)) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
@@ -181,8 +184,8 @@ def groups_of(members: DataFrame, comps: DataFrame) -> DataFrame:
     return held.join(held.groupBy("group").agg(F.count("*").alias("size")).hint("merge"), "group")
 
 
-def close_pairs(members: DataFrame, share: int) -> DataFrame:
-    """Pairs ``a, b`` of one group in different components whose sizes and sketches allow a link.
+def close_pairs(members: DataFrame, share: int, nearest: bool = False) -> DataFrame:
+    """Pairs ``a, b`` of one group in different components whose sizes and sketches allow a link; or only the nearest such of each.
 
     ``members``: ``group, size, id, comp, n, mini``. A group is dealt into blocks of about BLOCK members and each pair of
     blocks is one stretch of a sorted stream, so a task holds two blocks. Pairs that fail are never rows.
@@ -210,7 +213,9 @@ def close_pairs(members: DataFrame, share: int) -> DataFrame:
             found = np.flatnonzero(may) + low
             if len(found):
                 apart = np.bitwise_count(bits[found] ^ bits[at]).sum(1, dtype=np.int64)
-                for other in found[(100 + share) * apart <= (100 - share) * (sizes[found] + sizes[at])].tolist():
+                close = (100 + share) * apart <= (100 - share) * (sizes[found] + sizes[at])
+                found, apart = found[close], apart[close]
+                for other in found[[np.argmin(apart)]].tolist() if nearest and len(found) else found.tolist():
                     a, b = int(ids[at]), int(ids[other])
                     yield (a, b) if a < b else (b, a)
 
@@ -241,9 +246,9 @@ def link(docs: DataFrame, n: int = 3, share: int = 90, id_col: str = "doc_id", t
     component and link with nothing. Other columns are left out; an empty table gives an empty one.
 
     Equal sets are one class, held by its smallest id. In each bucket of equal pieces, classes that share SHARED of their
-    pieces with the smallest or the largest of it are compared with that, which is linear; all that these links leave in
-    different components is compared by sketches in blocks, so no link between components is lost and the pairs of a
-    component are not gone through.
+    pieces with the smallest or the largest of it are compared with that, which is linear; what these links leave in
+    different components is compared by sketches in blocks, first each with its nearest, then all with all that is still apart,
+    so no link between components is lost and the pairs of a component are not gone through.
     """
     table = written(sketched(docs, n, share, id_col, text_col), "sketches")
     full = table.filter("n > 0 AND id IS NOT NULL")
@@ -267,12 +272,19 @@ def link(docs: DataFrame, n: int = 3, share: int = 90, id_col: str = "doc_id", t
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("raw"))
     edges = written(verified(stars, given, n, share), "links")
     comps = written(components(edges), "components")
-    near = groups_of(members, comps).join(small.select("id", "n", "mini").dropDuplicates(["id"]).hint("merge"), "id")
+    minis = small.select("id", "n", "mini").dropDuplicates(["id"])
     tried = stars.select(F.least("hub", "spoke").alias("hub"), F.greatest("hub", "spoke").alias("spoke"))
-    more = written(close_pairs(near, share).toDF("hub", "spoke").join(tried, ["hub", "spoke"], "left_anti"), "pairs")
-    found = written(verified(more, given, n, share), "links")
-    if not found.isEmpty():
-        comps = written(components(found.unionByName(comps.select(F.col("comp").alias("a"), F.col("id").alias("b")))), "components")
+    # The nearest of each first: what those links bring together is compared no more, so that a large group of copies that are
+    # linked among themselves doesn't give all its pairs. Then all that is still apart.
+    for nearest in (True, False):
+        near = groups_of(members, comps).join(minis.hint("merge"), "id")
+        more = written(close_pairs(near, share, nearest).toDF("hub", "spoke").join(tried, ["hub", "spoke"], "left_anti"), "pairs")
+        if more.isEmpty():
+            continue
+        found = written(verified(more, given, n, share), "links")
+        tried = tried.unionByName(more)
+        if not found.isEmpty():
+            comps = written(components(found.unionByName(comps.select(F.col("comp").alias("a"), F.col("id").alias("b")))), "components")
     named = classes.join(comps, "id", "left").select("n", "h1", "h2", F.coalesce("comp", "id").alias("component_id"))
     out = small.select("id", "n", "h1", "h2").join(named, ["n", "h1", "h2"], "left")
     comp = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
