@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import blocks, linking, tables
-from .registry import Fixture, query, table
+from .registry import Fixture, case, query, table
 from .text_queries import block_sql, prose_sql, strip_sql
 
 DET = Fixture(
@@ -16,6 +16,7 @@ DET = Fixture(
         (2, "lead <|det|> image <|/det|>a picture<|det|>figure_caption [5.5, 6, 7]<|/det|>Caption here<|det|>formula [1, 2, 3, 4]<|/det|>x = 1"),
         (3, "no tags at all"), (4, None), (5, "<|det|>title [0,0,1,1]<|/det|>   <|det|>section_title [0,0,1,1]<|/det|>Real"),
     ),
+    "SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN text ELSE '<|det|>header [0, 0, 9, 9]<|/det|>skip<|det|>title [' || doc_id % 100 || ', 20, 30.5, 40]<|/det|> ' || substr(text, 1, 40) || '<|det|>text [1, 2, 3, 4]<|/det|>' || substr(text, 41, 200) || '<|det|> image <|/det|>' || lang || '<|det|>title [1,1,2,2]<|/det|>' || source END AS raw FROM {documents}",
 )
 _TAG = r"<\|det\|>\s*([A-Za-z_][\w-]*)\s*(\[[^\]]*\])?\s*<\|/det\|>"
 _CUT = "regexp_split_to_array(raw, '<\\|det\\|>\\s*[A-Za-z_][\\w-]*\\s*(?:\\[[^\\]]*\\])?\\s*<\\|/det\\|>')"
@@ -33,7 +34,7 @@ _DETS = f"""
     """,
 )
 def det_blocks(spark, sf_dir):
-    out = blocks.det_blocks(DET.frame(spark), "doc_id", F.col("raw"))
+    out = blocks.det_blocks(DET.frame(spark, sf_dir), "doc_id", F.col("raw"))
     return out.select("doc_id", "ord", "label", "text", F.array_join("box", ",").alias("box"))
 
 
@@ -56,7 +57,7 @@ _COMPACT = strip_sql("regexp_replace(regexp_replace(replace(replace(text, chr(13
     """,
 )
 def det_markdown(spark, sf_dir):
-    return blocks.det_markdown(blocks.det_blocks(DET.frame(spark), "doc_id", F.col("raw")), "doc_id")
+    return blocks.det_markdown(blocks.det_blocks(DET.frame(spark, sf_dir), "doc_id", F.col("raw")), "doc_id")
 
 
 PAGES = Fixture(
@@ -67,6 +68,7 @@ PAGES = Fixture(
         (3, 0, "<BLOCK>header [0,0,9,9]<CHILD>Running head<BLOCK>text [1,1,2,2]<CHILD>[Non-Text]<BLOCK>equation [1,1,2,2]<CHILD>\\alpha = b \\tag{1}<BLOCK>subtitle [2,2,3,3]<CHILD>Small<BLOCK>title [2,2,3,3]<CHILD>Later"),
         (4, 0, "<BLOCK>figure [0,0,1,1]<BLOCK>chart [0,0,1,1]<BLOCK>image_caption [1,1,2,2]<CHILD>Figure 3b. [Left] shown. Right not.<BLOCK>page_number [0,0,1,1]<CHILD>7<BLOCK>table [0,0,1,1]<CHILD><table><tr><td>k</td></tr><tr><td>v</td></tr>"),
     ),
+    "SELECT doc_id, doc_id % 2 AS page, '<BLOCK>title [1, 2, 3, 4]<CHILD>' || source || '<BLOCK>text [1, 2, 3, ' || doc_id % 100 || ']<FORK><CHILD> ' || lang || ' says <FORK>rest<BLOCK>chart [0,0,1,1]<CHILD>ignored<BLOCK>figure_title [1,1,2,2]<CHILD>Fig. ' || doc_id % 10 || ' Growth of ' || source || '. More<BLOCK>header [0,0,9,9]<CHILD>Running head' AS raw FROM {documents}",
 )
 _PAGE_BLOCKS = f"""
   SELECT doc_id, page, ord, CASE WHEN kind = '' THEN 'unknown' ELSE kind END AS kind, CASE WHEN len(n) = 4 THEN list_transform(n, lambda x: x::DOUBLE) END AS box,
@@ -99,20 +101,21 @@ def _caption(k: int) -> str:
     """,
 )
 def page_blocks(spark, sf_dir):
-    found = blocks.page_blocks(PAGES.frame(spark), "doc_id", F.col("raw")).join(PAGES.frame(spark).select("doc_id", "page"), "doc_id")
+    found = blocks.page_blocks(PAGES.frame(spark, sf_dir), "doc_id", F.col("raw")).join(PAGES.frame(spark, sf_dir).select("doc_id", "page"), "doc_id")
     out = blocks.alt_texts(blocks.promote_title(found, "doc_id"), ["doc_id"])
     return out.select("doc_id", "ord", "kind", F.array_join("box", ",").alias("box"), "text", "visual", "alt")
 
 
 @query("page_markdown", f"SELECT doc_id, string_agg(markdown, chr(10) || chr(10) ORDER BY ord) AS markdown FROM ({block_sql(f'SELECT doc_id, ord, lower(kind) AS kind, text FROM ({_TITLED})')}) WHERE markdown <> '' GROUP BY doc_id")
 def page_markdown(spark, sf_dir):
-    found = blocks.page_blocks(PAGES.frame(spark), "doc_id", F.col("raw")).join(PAGES.frame(spark).select("doc_id", "page"), "doc_id")
+    found = blocks.page_blocks(PAGES.frame(spark, sf_dir), "doc_id", F.col("raw")).join(PAGES.frame(spark, sf_dir).select("doc_id", "page"), "doc_id")
     return blocks.page_markdown(blocks.promote_title(found, "doc_id"), "doc_id")
 
 
 TOPS = Fixture(
     "doc_id long, ord long, box array<double>",
     tuple((d, i, None if y is None else (0.0, float(y), 10.0, float(y) + 5)) for d, ys in ((1, (10, 500, None, 100, 90, 400, 20)), (2, (900, 821, 819, 10)), (3, (None, 5))) for i, y in enumerate(ys)),
+    "SELECT user_id AS doc_id, event_id AS ord, CASE WHEN event_id % 5 > 0 THEN @array(0.0, floor(value) * 20, 10.0, floor(value) * 20 + 5) END AS box FROM {events}",
 )
 
 
@@ -124,7 +127,7 @@ TOPS = Fixture(
     """,
 )
 def page_assign(spark, sf_dir):
-    return blocks.assign_pages(TOPS.frame(spark), "doc_id", F.lit(2)).select("doc_id", "ord", "page")
+    return blocks.assign_pages(TOPS.frame(spark, sf_dir), "doc_id", F.lit(2)).select("doc_id", "ord", "page")
 
 
 CAPTIONS = Fixture(
@@ -133,14 +136,15 @@ CAPTIONS = Fixture(
 )
 
 
-@query("caption_backfill", f"SELECT doc_id, ord, CASE WHEN doc_id = 1 AND ord = 0 THEN 3 ELSE page END::INTEGER AS page, CASE WHEN doc_id = 1 AND ord = 0 THEN 'caption' ELSE confidence END AS confidence FROM {CAPTIONS.sql()}")
+@case("caption_backfill", f"SELECT doc_id, ord, CASE WHEN doc_id = 1 AND ord = 0 THEN 3 ELSE page END::INTEGER AS page, CASE WHEN doc_id = 1 AND ord = 0 THEN 'caption' ELSE confidence END AS confidence FROM {CAPTIONS.sql()}")
 def caption_backfill(spark, sf_dir):
-    return blocks.backfill_pages(CAPTIONS.frame(spark), "doc_id").select("doc_id", "ord", "page", "confidence")
+    return blocks.backfill_pages(CAPTIONS.frame(spark, sf_dir), "doc_id").select("doc_id", "ord", "page", "confidence")
 
 
 LINES = Fixture(
     "page_id long, texts array<string>, scores array<double>",
     ((1, ("one", " ", "two"), (0.9, 0.1)), (2, (), ()), (3, ("x",), (0.5, 0.6, 0.7))),
+    "SELECT doc_id AS page_id, @array(lang, ' ', source, substr(text, 1, 10)) AS texts, @array(doc_id % 10 / 10.0, 0.5, 0.25) AS scores FROM {documents}",
 )
 
 
@@ -149,16 +153,16 @@ LINES = Fixture(
     f"SELECT page_id, (i - 1)::INTEGER AS idx, texts[i] AS text, scores[i] AS score FROM (SELECT *, unnest(range(1, len(texts) + 1)) AS i FROM {LINES.sql()}) WHERE trim(texts[i]) <> ''",
 )
 def ocr_lines(spark, sf_dir):
-    pages = LINES.frame(spark).withColumn("boxes", F.lit(None).cast("array<array<double>>"))
+    pages = LINES.frame(spark, sf_dir).withColumn("boxes", F.lit(None).cast("array<array<double>>"))
     return blocks.text_lines(pages, ["page_id"]).select("page_id", "idx", "text", "score")
 
 
 STDOUT = Fixture("doc_id long, ord long, line string", ((1, 0, "INFO: start"), (1, 1, "noise before"), (1, 2, " <|det|>text [1,2,3,4]<|/det|> Body "), (1, 3, ""), (1, 4, "=== x"), (1, 5, "more"), (2, 0, "nothing")))
 
 
-@query("layout_output", "SELECT 1::BIGINT AS doc_id, '<|det|>text [1,2,3,4]<|/det|> Body' || chr(10) || 'more' AS text")
+@case("layout_output", "SELECT 1::BIGINT AS doc_id, '<|det|>text [1,2,3,4]<|/det|> Body' || chr(10) || 'more' AS text")
 def layout_output(spark, sf_dir):
-    return blocks.layout_output(STDOUT.frame(spark), "doc_id")
+    return blocks.layout_output(STDOUT.frame(spark, sf_dir), "doc_id")
 
 
 SPANS = (
@@ -173,15 +177,15 @@ TABLES_WANT = Fixture(
 )
 
 
-@query("html_table", f"SELECT * FROM {TABLES_WANT.sql()}")
+@case("html_table", f"SELECT * FROM {TABLES_WANT.sql()}")
 def html_table(spark, sf_dir):
-    return TABLES.frame(spark).select("table_id", tables.to_markdown("html").alias("markdown"))
+    return TABLES.frame(spark, sf_dir).select("table_id", tables.to_markdown("html").alias("markdown"))
 
 
-@query("html_cells")
+@case("html_cells")
 def html_cells(spark, sf_dir):
     """Cells of tables with spans laid out, one row a place."""
-    return tables.cells(TABLES.frame(spark), "table_id", "html")
+    return tables.cells(TABLES.frame(spark, sf_dir), "table_id", "html")
 
 
 @query("html_blocks")
@@ -202,29 +206,29 @@ FORMULAS = (
 )
 
 
-@query("formula_repair")
+@case("formula_repair")
 def formula_repair(spark, sf_dir):
     frame = spark.createDataFrame(list(FORMULAS), "case_id long, text string")
     return frame.select("case_id", tables.repaired_formula("text").alias("text"))
 
 
-TARGETS = Fixture("page long, target double", ((1, 0.25), (1, 0.75), (1, 0.5), (2, 9.0), (3, 0.1)))
-PLACES = Fixture("page long, entry long, place double", ((1, 1, 0.0), (1, 2, 0.5), (1, 3, 1.0), (2, 4, 0.25)))
+TARGETS = Fixture("page long, target double", ((1, 0.25), (1, 0.75), (1, 0.5), (2, 9.0), (3, 0.1)), "SELECT o_custkey AS page, o_orderkey % 100 / 4.0 AS target FROM {orders}")
+PLACES = Fixture("page long, entry long, place double", ((1, 1, 0.0), (1, 2, 0.5), (1, 3, 1.0), (2, 4, 0.25)), "SELECT user_id AS page, event_id AS entry, event_id % 32 * 1.0 AS place FROM {events}")
 
 
 @query(
     "nearest_entry",
     f"""
-    SELECT page, target, entry FROM (SELECT t.page, target, entry, row_number() OVER (PARTITION BY t.page, target ORDER BY abs(place - target), place, entry) AS n
+    SELECT page, target, entry FROM (SELECT t.page, target, entry, row_number() OVER (PARTITION BY t.page, target ORDER BY abs(place - target), entry) AS n
       FROM {TARGETS.sql()} t JOIN {PLACES.sql()} p ON t.page = p.page) WHERE n = 1
     """,
 )
 def nearest_entry(spark, sf_dir):
-    return linking.nearest(TARGETS.frame(spark), PLACES.frame(spark), ["page"], "target", "place", "entry").filter("entry IS NOT NULL").select("page", "target", "entry")
+    return linking.nearest(TARGETS.frame(spark, sf_dir), PLACES.frame(spark, sf_dir), ["page"], "target", "place", "entry").filter("entry IS NOT NULL").select("page", "target", "entry")
 
 
-CURSORS = Fixture("doc_id long, cursor long", ((1, 0), (1, 3), (1, 9), (2, 1)))
-LABELLED = Fixture("doc_id long, ord long, label string", ((1, 0, "text"), (1, 1, "Image"), (1, 4, "chart"), (1, 6, "text"), (2, 0, "image")))
+CURSORS = Fixture("doc_id long, cursor long", ((1, 0), (1, 3), (1, 9), (2, 1)), "SELECT DISTINCT conv_id AS doc_id, conv_id % 5 AS cursor FROM {conversations}")
+LABELLED = Fixture("doc_id long, ord long, label string", ((1, 0, "text"), (1, 1, "Image"), (1, 4, "chart"), (1, 6, "text"), (2, 0, "image")), "SELECT conv_id AS doc_id, turn AS ord, CASE turn % 4 WHEN 0 THEN 'text' WHEN 1 THEN 'Image' WHEN 2 THEN role ELSE 'chart' END AS label FROM {conversations}")
 
 
 @query(
@@ -232,4 +236,4 @@ LABELLED = Fixture("doc_id long, ord long, label string", ((1, 0, "text"), (1, 1
     f"SELECT c.doc_id, cursor, (SELECT min(ord) FROM {LABELLED.sql()} b WHERE b.doc_id = c.doc_id AND ord >= greatest(0, cursor - 1) AND lower(label) IN ('image', 'chart')) AS ord FROM {CURSORS.sql()} c",
 )
 def next_labelled(spark, sf_dir):
-    return linking.next_with_label(CURSORS.frame(spark), LABELLED.frame(spark), "doc_id", ("image", "chart"))
+    return linking.next_with_label(CURSORS.frame(spark, sf_dir), LABELLED.frame(spark, sf_dir), "doc_id", ("image", "chart"))

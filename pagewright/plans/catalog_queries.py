@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import coerce as C
 from ..functions import text as T
 from ..operators import catalog
-from .registry import Fixture, query, table
+from .registry import Fixture, case, query, table
 
 _STATUS = "CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'pending' ELSE 'processing' END"
 _SUMS = """
@@ -133,7 +133,7 @@ THRESHOLDS = Fixture("name string, minimum int, recommended int", (("small", 0,
     f"SELECT c_custkey, name, CASE WHEN c_acctbal >= recommended THEN 'recommended' WHEN c_acctbal >= minimum THEN 'low' ELSE 'unsupported' END AS level FROM customer CROSS JOIN {THRESHOLDS.sql()}",
 )
 def theta_levels(spark, sf_dir):
-    return catalog.levels(table(spark, sf_dir, "customer"), F.col("c_acctbal"), THRESHOLDS.frame(spark)).select("c_custkey", "name", "level")
+    return catalog.levels(table(spark, sf_dir, "customer"), F.col("c_acctbal"), THRESHOLDS.frame(spark, sf_dir)).select("c_custkey", "name", "level")
 
 
 @query(
@@ -158,7 +158,7 @@ MODELS = Fixture("model string, enabled boolean", (("m1", True), ("m2", False),
     """,
 )
 def model_matrix(spark, sf_dir):
-    runs = table(spark, sf_dir, "documents").crossJoin(F.broadcast(MODELS.frame(spark).filter("enabled")))
+    runs = table(spark, sf_dir, "documents").crossJoin(F.broadcast(MODELS.frame(spark, sf_dir).filter("enabled")))
     failed = F.col("n_chars") < 300
     runs = runs.select("source", "model", F.when(failed, "short").alias("error"), F.when(~failed, F.col("text")).alias("text"), (F.col("n_chars") / 1000).alias("seconds"))
     return catalog.run_metrics(runs, ["source", "model"])
@@ -201,23 +201,23 @@ def thread_join_continuation(spark, sf_dir):
 PARTS = Fixture("doc_id long, ord long, part string", ((1, 1, "ends open"), (1, 2, "goes on"), (1, 3, "Done."), (1, 4, "new"), (2, 1, "![a](b)"), (2, 2, "lower"), (2, 3, "  "), (2, 4, "# Head"), (3, 1, "x:"), (3, 2, "y")))
 
 
-@query("continuation_cases", "SELECT unnest([1, 2, 3])::BIGINT AS doc_id, unnest(['ends open goes on' || chr(10) || chr(10) || 'Done.' || chr(10) || chr(10) || 'new', '![a](b)' || chr(10) || chr(10) || 'lower' || chr(10) || chr(10) || '# Head', 'x:' || chr(10) || chr(10) || 'y']) AS part")
+@case("continuation_cases", "SELECT unnest([1, 2, 3])::BIGINT AS doc_id, unnest(['ends open goes on' || chr(10) || chr(10) || 'Done.' || chr(10) || chr(10) || 'new', '![a](b)' || chr(10) || chr(10) || 'lower' || chr(10) || chr(10) || '# Head', 'x:' || chr(10) || chr(10) || 'y']) AS part")
 def continuation_cases(spark, sf_dir):
-    return catalog.join_continuations(PARTS.frame(spark), "doc_id", "ord", "part")
+    return catalog.join_continuations(PARTS.frame(spark, sf_dir), "doc_id", "ord", "part")
 
 
 SERVICES = Fixture("id string, running boolean, ready boolean", (("a", True, False), ("b", True, True), ("c", False, True), ("d", None, True)))
 
 
-@query(
+@case(
     "exclusive_runtime",
     f"SELECT string_agg(id, ',' ORDER BY id) FILTER (WHERE running) AS running_ids, string_agg(id, ',' ORDER BY id) FILTER (WHERE running AND ready) AS ready_ids, count(*) FILTER (WHERE running) > 1 AS violation FROM {SERVICES.sql()}",
 )
 def exclusive_runtime(spark, sf_dir):
-    return catalog.exclusivity(SERVICES.frame(spark))
+    return catalog.exclusivity(SERVICES.frame(spark, sf_dir))
 
 
-IMAGES = Fixture("doc_id long, ord long, name string, value string", ((1, 1, "a", "x"), (1, 2, "a", "y"), (1, 2, "b", "z"), (2, 1, "a", "q"), (2, 3, "c", "r"), (2, 4, "c", "s")))
+IMAGES = Fixture("doc_id long, ord long, name string, value string", ((1, 1, "a", "x"), (1, 2, "a", "y"), (1, 2, "b", "z"), (2, 1, "a", "q"), (2, 3, "c", "r"), (2, 4, "c", "s")), "SELECT user_id AS doc_id, event_id AS ord, event_type AS name, 'v' || event_id AS value FROM {events}")
 
 
 @query(
@@ -228,7 +228,7 @@ IMAGES = Fixture("doc_id long, ord long, name string, value string", ((1, 1, "a"
     """,
 )
 def image_map_merge(spark, sf_dir):
-    maps = IMAGES.frame(spark).groupBy("doc_id", "ord").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("m"))
+    maps = IMAGES.frame(spark, sf_dir).groupBy("doc_id", "ord").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("m"))
 
     def said(wins: bool, name: str):
         out = catalog.merge_maps(maps, "doc_id", "ord", "m", wins)
@@ -241,7 +241,7 @@ def image_map_merge(spark, sf_dir):
 @query("enabled_only", f"SELECT o_orderkey FROM orders WHERE 'm' || (o_orderkey % 4) IN (SELECT model FROM {MODELS.sql()} WHERE enabled)")
 def enabled_only(spark, sf_dir):
     tasks = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("m"), (F.col("o_orderkey") % 4).cast("string")).alias("model"))
-    return tasks.join(MODELS.frame(spark).filter("enabled"), "model", "left_semi").select("o_orderkey")
+    return tasks.join(MODELS.frame(spark, sf_dir).filter("enabled"), "model", "left_semi").select("o_orderkey")
 
 
 @query("appended_results", "SELECT doc_id, 'document' AS kind, NULL::INTEGER AS quality FROM documents UNION ALL SELECT doc_id, 'label', quality FROM labels")
@@ -250,7 +250,7 @@ def appended_results(spark, sf_dir):
     return docs.unionByName(table(spark, sf_dir, "labels").select("doc_id", F.lit("label").alias("kind"), "quality"), allowMissingColumns=True)
 
 
-LEASES = Fixture("lease string, model string, created double, ttl double", (("a", "m1", 100.0, 50.0), ("b", "m1", 100.0, 0.0), ("c", "m2", 10.0, 20.0), ("d", None, 150.0, 0.5)))
+LEASES = Fixture("lease string, model string, created double, ttl double", (("a", "m1", 100.0, 50.0), ("b", "m1", 100.0, 0.0), ("c", "m2", 10.0, 20.0), ("d", None, 150.0, 0.5)), "SELECT 'l' || event_id AS lease, CASE WHEN event_id % 5 > 0 THEN event_type END AS model, event_id % 200 AS created, event_id % 4 * 25 AS ttl FROM {events}")
 
 
 @query(
@@ -258,17 +258,17 @@ LEASES = Fixture("lease string, model string, created double, ttl double", (("a"
     f"SELECT lease, CASE WHEN ttl > 0 THEN created + ttl END AS expires FROM {LEASES.sql()} WHERE NOT coalesce(ttl > 0 AND created + ttl <= 120, false)",
 )
 def live_leases(spark, sf_dir):
-    leases = LEASES.frame(spark).withColumn("expires", C.expiry(F.col("created"), F.col("ttl")))
+    leases = LEASES.frame(spark, sf_dir).withColumn("expires", C.expiry(F.col("created"), F.col("ttl")))
     return leases.filter(F.col("expires").isNull() | (F.col("expires") > 120)).select("lease", "expires")
 
 
 GPUS = Fixture("line string", (("0, GPU-1, Card, with comma, 8192, 4000",), ("bad line",), ("1, GPU-2, Plain, 16384, x",), ("2, GPU-3, Plain, 100, 50",)))
 
 
-@query("gpu_rows", "SELECT unnest(['0, GPU-1, Card, with comma', '2, GPU-3, Plain']) AS device, unnest([8192, 100])::INTEGER AS total_mib, unnest([4000, 50])::INTEGER AS free_mib")
+@case("gpu_rows", "SELECT unnest(['0, GPU-1, Card, with comma', '2, GPU-3, Plain']) AS device, unnest([8192, 100])::INTEGER AS total_mib, unnest([4000, 50])::INTEGER AS free_mib")
 def gpu_rows(spark, sf_dir):
     pattern = r"^(.*),\s*([0-9]+)\s*,\s*([0-9]+)\s*\z"
-    rows = GPUS.frame(spark).filter(F.col("line").rlike(pattern))
+    rows = GPUS.frame(spark, sf_dir).filter(F.col("line").rlike(pattern))
     return rows.select(*[F.regexp_extract("line", pattern, k).cast(kind).alias(name) for k, (name, kind) in enumerate((("device", "string"), ("total_mib", "int"), ("free_mib", "int")), 1)])
 
 

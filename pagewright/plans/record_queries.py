@@ -6,22 +6,22 @@ from pyspark.sql import functions as F
 
 from ..functions import records as R
 from ..operators import results
-from .registry import Fixture, query, table
+from .registry import Fixture, case, query, table
 
 
 def _want(columns: str, *rows: tuple) -> str:
     return f"SELECT * FROM {Fixture(columns, rows).sql()}"
 
 
-RESPONSES = Fixture("case_id long, m string, t string, r string", ((1, "m", "t", "r"), (2, "", "t", "r"), (3, None, "t", "r"), (4, None, "", "r"), (5, None, None, None), (6, None, None, "")))
+RESPONSES = Fixture("case_id long, m string, t string, r string", ((1, "m", "t", "r"), (2, "", "t", "r"), (3, None, "t", "r"), (4, None, "", "r"), (5, None, None, None), (6, None, None, "")), "SELECT doc_id AS case_id, CASE WHEN doc_id % 3 = 1 THEN '' WHEN doc_id % 3 = 2 THEN source END AS m, CASE WHEN doc_id % 4 = 1 THEN '' WHEN doc_id % 4 > 1 THEN lang END AS t, CASE WHEN doc_id % 5 > 0 THEN source || lang END AS r FROM {documents}")
 
 
 @query("response_texts", f"SELECT case_id, CASE WHEN m IS NOT NULL THEN m WHEN t <> '' THEN t WHEN r <> '' THEN r ELSE '' END AS text FROM {RESPONSES.sql()}")
 def response_texts(spark, sf_dir):
-    return RESPONSES.frame(spark).select("case_id", R.response_text(F.col("m"), F.col("t"), F.col("r")).alias("text"))
+    return RESPONSES.frame(spark, sf_dir).select("case_id", R.response_text(F.col("m"), F.col("t"), F.col("r")).alias("text"))
 
 
-PAYLOADS = Fixture("case_id long, f string, k int, t double", ((1, "x", 0, None), (2, "y", None, 0.5), (3, None, None, None), (4, "q", 1, 2.25)))
+PAYLOADS = Fixture("case_id long, f string, k int, t double", ((1, "x", 0, None), (2, "y", None, 0.5), (3, None, None, None), (4, "q", 1, 2.25)), "SELECT doc_id AS case_id, CASE WHEN doc_id % 3 > 0 THEN lang END AS f, CASE WHEN doc_id % 4 > 0 THEN doc_id % 4 - 1 END AS k, CASE WHEN doc_id % 5 > 0 THEN (doc_id % 5) * 0.25 END AS t FROM {documents}")
 
 
 @query(
@@ -31,18 +31,18 @@ PAYLOADS = Fixture("case_id long, f string, k int, t double", ((1, "x", 0, None)
     """,
 )
 def request_payload(spark, sf_dir):
-    return PAYLOADS.frame(spark).select("case_id", R.payload(file=F.col("f"), fileType=F.col("k"), temperature=F.col("t")).alias("payload"))
+    return PAYLOADS.frame(spark, sf_dir).select("case_id", R.payload(file=F.col("f"), fileType=F.col("k"), temperature=F.col("t")).alias("payload"))
 
 
-ALIASES = Fixture("case_id long, l array<string>, p array<string>, r array<string>, m string", ((1, ("a", "b"), ("x",), None, "m"), (2, None, ("c",), ("d",), "m"), (3, None, None, None, "text"), (4, None, None, ("e", "f"), None), (5, None, None, None, None)))
+ALIASES = Fixture("case_id long, l array<string>, p array<string>, r array<string>, m string", ((1, ("a", "b"), ("x",), None, "m"), (2, None, ("c",), ("d",), "m"), (3, None, None, None, "text"), (4, None, None, ("e", "f"), None), (5, None, None, None, None)), "SELECT doc_id AS case_id, CASE WHEN doc_id % 2 = 0 THEN @array(lang, source) END AS l, CASE WHEN doc_id % 3 = 0 THEN @array(source) END AS p, CASE WHEN doc_id % 5 < 3 THEN @array(lang, lang) END AS r, CASE WHEN doc_id % 7 > 0 THEN source END AS m FROM {documents}")
 
 
 @query("result_aliases", f"SELECT case_id, array_to_string(CASE WHEN l IS NOT NULL THEN l WHEN p IS NOT NULL THEN p WHEN r IS NOT NULL THEN r ELSE [coalesce(m, '')] END, ',') AS found FROM {ALIASES.sql()}")
 def result_aliases(spark, sf_dir):
-    return ALIASES.frame(spark).select("case_id", F.array_join(R.results_of(F.col("l"), F.col("p"), F.col("r"), F.col("m")), ",").alias("found"))
+    return ALIASES.frame(spark, sf_dir).select("case_id", F.array_join(R.results_of(F.col("l"), F.col("p"), F.col("r"), F.col("m")), ",").alias("found"))
 
 
-MODELS = Fixture("i string, n string, l string", (("a", "", None), (None, "n", "L"), ("", None, ""), ("x", "y", "z"), ("only", None, "")))
+MODELS = Fixture("i string, n string, l string", (("a", "", None), (None, "n", "L"), ("", None, ""), ("x", "y", "z"), ("only", None, "")), "SELECT CASE WHEN doc_id % 3 = 1 THEN '' WHEN doc_id % 3 = 2 THEN 'i' || doc_id END AS i, CASE WHEN doc_id % 4 = 1 THEN '' WHEN doc_id % 4 > 1 THEN source END AS n, CASE WHEN doc_id % 5 > 0 THEN lang END AS l FROM {documents}")
 
 
 @query(
@@ -53,7 +53,7 @@ MODELS = Fixture("i string, n string, l string", (("a", "", None), (None, "n", "
     """,
 )
 def model_records(spark, sf_dir):
-    return MODELS.frame(spark).select(R.model_record(F.col("i"), F.col("n"), F.col("l"), "d").alias("m")).select("m.*")
+    return MODELS.frame(spark, sf_dir).select(R.model_record(F.col("i"), F.col("n"), F.col("l"), "d").alias("m")).select("m.*")
 
 
 @query("page_lineage", "SELECT conv_id, turn, CASE WHEN role = 'user' THEN conv_id + turn END AS source_page FROM conversations")
@@ -62,26 +62,26 @@ def page_lineage(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", R.source_page(parser, F.col("conv_id"), F.col("turn")).alias("source_page"))
 
 
-@query("ignore_labels", _want("case_id long, sent string, used string", (1, "number,footnote,header,header_image,aside_text", "footer,page_footnote"), (2, "footnote,footer,footer_image,aside_text", "footer,header,page_number")))
+@case("ignore_labels", _want("case_id long, sent string, used string", (1, "number,footnote,header,header_image,aside_text", "footer,page_footnote"), (2, "footnote,footer,footer_image,aside_text", "footer,header,page_number")))
 def ignore_labels(spark, sf_dir):
     frame = spark.createDataFrame([(1, True, True, False, ["footnote", "footer_image", "footer"]), (2, False, False, True, [])], "case_id long, n boolean, h boolean, f boolean, asked array<string>")
     return frame.select("case_id", F.array_join(R.ignored_labels(F.col("n"), F.col("h"), F.col("f")), ",").alias("sent"), F.array_join(R.requested_ignores(F.col("asked")), ",").alias("used"))
 
 
-@query("nested_labels", _want("case_id long, labels string", (1, "a,b,c"), (2, ""), (3, "[x")))
+@case("nested_labels", _want("case_id long, labels string", (1, "a,b,c"), (2, ""), (3, "[x")))
 def nested_labels(spark, sf_dir):
     frame = spark.createDataFrame([(1, ["A ", '["b", "C", "a"]', "a"]), (2, ["", "[]"]), (3, ["[x"])], "case_id long, items array<string>")
     return frame.select("case_id", F.array_join(R.flat_labels(F.col("items")), ",").alias("labels"))
 
 
-@query("exclusively_ready", _want("case_id long, ok boolean", (1, True), (2, False), (3, False), (4, False), (5, True)))
+@case("exclusively_ready", _want("case_id long, ok boolean", (1, True), (2, False), (3, False), (4, False), (5, True)))
 def exclusively_ready(spark, sf_dir):
     rows = [(1, True, None, ["m"], ["m", "m"], "m"), (2, True, None, ["m", "n"], None, None), (3, True, True, None, None, None), (4, True, None, None, None, "n"), (5, True, False, None, None, "")]
     frame = spark.createDataFrame(rows, "case_id long, r boolean, v boolean, run array<string>, ready array<string>, active string")
     return frame.select("case_id", R.is_exclusively_ready(F.lit("m"), F.col("r"), F.col("v"), F.col("run"), F.col("ready"), F.col("active")).alias("ok"))
 
 
-@query("task_states", _want("case_id long, resumes boolean, status string", (1, True, "pending"), (2, False, "completed"), (3, False, "pending"), (4, True, "error"), (5, False, "completed")))
+@case("task_states", _want("case_id long, resumes boolean, status string", (1, True, "pending"), (2, False, "completed"), (3, False, "pending"), (4, True, "error"), (5, False, "completed")))
 def task_states(spark, sf_dir):
     rows = [
         (1, "pending", ["completed", "pending"], 0, 3, 9, True), (2, "processing", ["completed"], 1, 3, 3, True), (3, "processing", ["completed", "processing"], 1, 1, 9, True),
@@ -92,30 +92,30 @@ def task_states(spark, sf_dir):
     return frame.select("case_id", R.resumes(F.col("s"), F.col("b"), F.col("done"), F.col("pages")).alias("resumes"), R.reconciled_status(F.col("s"), batches, F.col("results"), F.col("done"), F.col("pages"), F.col("loaded")).alias("status"))
 
 
-@query("plan_checks", _want("case_id long, replans boolean", (1, True), (2, False), (3, True), (4, False), (5, False)))
+@case("plan_checks", _want("case_id long, replans boolean", (1, True), (2, False), (3, True), (4, False), (5, False)))
 def plan_checks(spark, sf_dir):
     rows = [(1, "pdf", True, 5, [], 1), (2, "pdf", True, 5, [("completed", 1)], 2), (3, "office", True, 5, [("pending", 1)], 2), (4, "image", True, 5, [], 1), (5, "pdf", True, 5, [("pending", 4)], 4)]
     frame = spark.createDataFrame(rows, "case_id long, k string, src boolean, pages int, b array<struct<status:string,pages:int>>, planned int")
     return frame.select("case_id", R.replans(F.col("k"), F.col("src"), F.col("pages"), F.col("b"), F.col("planned"), F.lit(4)).alias("replans"))
 
 
-STATES = Fixture("case_id long, m boolean, h boolean, a boolean, v boolean", ((1, True, True, True, True), (2, False, True, True, True), (3, False, False, True, True), (4, False, False, True, False), (5, False, False, False, False)))
+STATES = Fixture("case_id long, m boolean, h boolean, a boolean, v boolean", ((1, True, True, True, True), (2, False, True, True, True), (3, False, False, True, True), (4, False, False, True, False), (5, False, False, False, False)), "SELECT doc_id AS case_id, doc_id % 7 = 0 AS m, doc_id % 3 = 0 AS h, doc_id % 2 = 0 AS a, doc_id % 2 = 0 AND n_chars % 2 = 0 AS v FROM {documents}")
 
 
 @query("runtime_states", f"SELECT case_id, CASE WHEN m THEN 'missing' WHEN h THEN 'ready' WHEN v THEN 'starting' WHEN a THEN 'partial' ELSE 'stopped' END AS state FROM {STATES.sql()}")
 def runtime_states(spark, sf_dir):
-    return STATES.frame(spark).select("case_id", R.runtime_state(F.col("m"), F.col("h"), F.lit("ready"), F.col("a"), F.col("v")).alias("state"))
+    return STATES.frame(spark, sf_dir).select("case_id", R.runtime_state(F.col("m"), F.col("h"), F.lit("ready"), F.col("a"), F.col("v")).alias("state"))
 
 
-LEASES = Fixture("case_id long, l string, m string, c double, e double", ((1, "a", "m", 1.0, 2.0), (2, "a", "m", 1.0, None), (3, "", "m", 1.0, 2.0), (4, "a", "m", 3.0, 2.0), (5, "a", "m", float("inf"), None), (6, "a", "", 1.0, 2.0)))
+LEASES = Fixture("case_id long, l string, m string, c double, e double", ((1, "a", "m", 1.0, 2.0), (2, "a", "m", 1.0, None), (3, "", "m", 1.0, 2.0), (4, "a", "m", 3.0, 2.0), (5, "a", "m", float("inf"), None), (6, "a", "", 1.0, 2.0)), "SELECT event_id AS case_id, CASE WHEN event_id % 5 > 0 THEN 'l' || event_id ELSE '' END AS l, CASE WHEN event_id % 7 > 0 THEN event_type END AS m, value AS c, CASE WHEN event_id % 3 > 0 THEN value + event_id % 5 - 1 END AS e FROM {events}")
 
 
 @query("lease_checks", f"SELECT case_id, l <> '' AND m IS NOT NULL AND isfinite(c) AND (e IS NULL OR isfinite(e) AND e >= c) AS valid FROM {LEASES.sql()}")
 def lease_checks(spark, sf_dir):
-    return LEASES.frame(spark).select("case_id", R.valid_lease(F.col("l"), F.col("m"), F.col("c"), F.col("e")).alias("valid"))
+    return LEASES.frame(spark, sf_dir).select("case_id", R.valid_lease(F.col("l"), F.col("m"), F.col("c"), F.col("e")).alias("valid"))
 
 
-@query("image_sources", _want("case_id long, source string, cjk boolean", (1, "https://x/a.png", False), (2, "ocr_images/q", False), (3, "data:image/jpeg;base64,漢", True), (4, "data:image/jpeg;base64,", None)))
+@case("image_sources", _want("case_id long, source string, cjk boolean", (1, "https://x/a.png", False), (2, "ocr_images/q", False), (3, "data:image/jpeg;base64,漢", True), (4, "data:image/jpeg;base64,", None)))
 def image_sources(spark, sf_dir):
     frame = spark.createDataFrame([(1, "https://x/a.png"), (2, "ocr_images/q"), (3, "漢"), (4, None)], "case_id long, v string")
     return frame.select("case_id", R.image_source(F.col("v")).alias("source"), R.has_cjk(F.col("v")).alias("cjk"))
@@ -127,7 +127,7 @@ def source_meta(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" · ", R.source_label(kind, F.col("source")), R.page_count_label(F.col("n_chars"))).alias("meta"))
 
 
-@query("image_names", _want("case_id long, names string", (1, "ocr_images/b1_a_b.png=x,ocr_images/b1_c.png=y")))
+@case("image_names", _want("case_id long, names string", (1, "ocr_images/b1_a_b.png=x,ocr_images/b1_c.png=y")))
 def image_names(spark, sf_dir):
     frame = spark.createDataFrame([(1, {"a/b.png": "x", "c.png": "y"})], "case_id long, m map<string,string>")
     entries = F.array_sort(F.map_entries(R.namespaced(F.col("m"), F.lit("b1"))))
@@ -147,17 +147,18 @@ def benchmark_ngrams(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.size(grams).cast("long").alias("grams"), F.size(F.array_distinct(grams)).cast("long").alias("distinct_grams")).filter("grams > 0")
 
 
-JSONS = Fixture("case_id long, t string", ((1, '{"a":1}'), (2, '{"a":1,"a":2}'), (3, "[1]"), (4, "{bad"), (5, "null"), (6, "{}"), (7, '{"a":{"b":[1,2]},"c":"x"}'), (8, "7")))
+JSONS = Fixture("case_id long, t string", ((1, '{"a":1}'), (2, '{"a":1,"a":2}'), (3, "[1]"), (4, "{bad"), (5, "null"), (6, "{}"), (7, '{"a":{"b":[1,2]},"c":"x"}'), (8, "7")), "SELECT event_id AS case_id, CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN '[' || event_id || ']' WHEN 2 THEN '{{bad' ELSE '{{\"a\":1,\"a\":' || event_id || '}}' END AS t FROM {events}")
 
 
 @query("strict_json", f"SELECT case_id, CASE WHEN json_valid(t) THEN json_type(t) = 'OBJECT' AND len(json_keys(t)) = len(list_distinct(json_keys(t))) ELSE false END AS kept FROM {JSONS.sql()}")
 def strict_json(spark, sf_dir):
-    return JSONS.frame(spark).select("case_id", R.strict_object(F.col("t")).isNotNull().alias("kept"))
+    return JSONS.frame(spark, sf_dir).select("case_id", R.strict_object(F.col("t")).isNotNull().alias("kept"))
 
 
 CONTENTS = Fixture(
     "case_id long, k string, c string",
     ((1, "title", " T "), (2, "title", "# given"), (3, "equation", "x"), (4, "formula", "$x$"), (5, "code", "c"), (6, "title", " "), (7, "text", "plain"), (8, "code", "```\nd\n```"), (9, "equation_block", "\\[y\\]"), (10, "formula", " z ")),
+    "SELECT doc_id AS case_id, CASE doc_id % 6 WHEN 0 THEN 'title' WHEN 1 THEN 'equation' WHEN 2 THEN 'code' WHEN 3 THEN 'formula' WHEN 4 THEN 'text' ELSE 'table' END AS k, replace(substr(text, 1, 60), chr(10), ' ') AS c FROM {documents}",
 )
 
 
@@ -170,7 +171,7 @@ CONTENTS = Fixture(
     """,
 )
 def content_formats(spark, sf_dir):
-    return CONTENTS.frame(spark).select("case_id", R.content_format(F.col("k"), F.col("c")).alias("markdown"))
+    return CONTENTS.frame(spark, sf_dir).select("case_id", R.content_format(F.col("k"), F.col("c")).alias("markdown"))
 
 
 @query(
@@ -184,7 +185,7 @@ def text_hashes(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", R.hash31(F.col("text")).alias("h31"), R.hash33(F.col("text")).alias("h33"))
 
 
-@query("point_boxes", _want("case_id long, box string", (1, "10,20,30,40"), (2, "0,5,100,50"), (3, "25,50,75,100"), (4, "2,4,100,200")))
+@case("point_boxes", _want("case_id long, box string", (1, "10,20,30,40"), (2, "0,5,100,50"), (3, "25,50,75,100"), (4, "2,4,100,200")))
 def point_boxes(spark, sf_dir):
     rows = [(1, [30.0, 20.0, 10.0, 40.0]), (2, [-5.0, 5.0, 120.0, 5.0, 120.0, 50.0, -5.0, 50.0]), (3, [0.25, 0.25, 0.75, 0.5]), (4, [2.5, 3.5, 500.0, 900.0])]
     frame = spark.createDataFrame(rows, "case_id long, p array<double>")
@@ -195,6 +196,7 @@ MEASURED = Fixture(
     "case_id long, p string, b array<double>, w int, h int",
     ((1, "HPD-parsing", (1.0, 2.0, 900.0, 1000.0), 800, 600), (2, "other", (1.0, 2.0, 3.0, 4.0), 800, 600), (3, "unlimited-ocr", (1.0, 2.0, 3.0, 4.0), 1024, 1024), (4, "unlimited-ocr", (1.0, 2.0, 3.0, 4.0), 1024, 768),
      (5, "x", (1.0, 2.0, 3.0, 4.0), 0, 9), (6, "hpd-parsing", (1.0, -1001.0, 3.0, 4.0), 80, 90), (7, "hpd-parsing", (1.0, 2.0), 80, 90)),
+    "SELECT vec_id AS case_id, CASE vec_id % 3 WHEN 0 THEN 'HPD-parsing' WHEN 1 THEN 'other' ELSE 'unlimited-ocr' END AS p, @array(floor(abs(@at(embedding, 1)) * 4000), floor(abs(@at(embedding, 2)) * 4000), floor(abs(@at(embedding, 3)) * 4000), floor(abs(@at(embedding, 4)) * 4000)) AS b, CASE WHEN vec_id % 5 > 0 THEN 800 ELSE 1024 END AS w, CASE WHEN vec_id % 5 > 0 THEN 600 ELSE 1024 END AS h FROM {embeddings} WHERE embedding IS NOT NULL",
 )
 
 
@@ -206,7 +208,7 @@ MEASURED = Fixture(
     """,
 )
 def coordinate_bounds(spark, sf_dir):
-    return MEASURED.frame(spark).select("case_id", F.array_join(R.coordinate_bounds(F.col("p"), F.col("b"), F.col("w"), F.col("h")), ",").alias("bounds"))
+    return MEASURED.frame(spark, sf_dir).select("case_id", F.array_join(R.coordinate_bounds(F.col("p"), F.col("b"), F.col("w"), F.col("h")), ",").alias("bounds"))
 
 
 @query("stream_pages", "SELECT conv_id, turn, least(greatest(turn, 2), 4)::BIGINT AS page FROM conversations")
@@ -215,10 +217,10 @@ def stream_pages(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", page.alias("page"))
 
 
-PLACED = Fixture("doc_id long, page int, ord long, label string", ((1, 0, 0, "title"), (1, 0, 1, "text"), (1, 2, 2, "image"), (2, 0, 0, "text")))
+PLACED = Fixture("doc_id long, page int, ord long, label string", ((1, 0, 0, "title"), (1, 0, 1, "text"), (1, 2, 2, "image"), (2, 0, 0, "text")), "SELECT conv_id AS doc_id, turn % 3 AS page, turn AS ord, role AS label FROM {conversations}")
 
 
-SPINES = Fixture("doc_id long, pages int", ((1, 3), (2, 1), (3, 0)))
+SPINES = Fixture("doc_id long, pages int", ((1, 3), (2, 1), (3, 0)), "SELECT DISTINCT conv_id AS doc_id, 1 + conv_id % 4 AS pages FROM {conversations}")
 
 
 @query(
@@ -229,7 +231,7 @@ SPINES = Fixture("doc_id long, pages int", ((1, 3), (2, 1), (3, 0)))
     """,
 )
 def page_spine(spark, sf_dir):
-    return results.page_spine(SPINES.frame(spark), PLACED.frame(spark), "doc_id", F.col("pages"))
+    return results.page_spine(SPINES.frame(spark, sf_dir), PLACED.frame(spark, sf_dir), "doc_id", F.col("pages"))
 
 
 @query("document_texts", "SELECT conv_id, string_agg(coalesce(text, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
@@ -238,7 +240,7 @@ def document_texts(spark, sf_dir):
     return results.document_text(pages, "conv_id", "\n\n---\n\n", keep_empty=True)
 
 
-@query("render_blocks", _want("doc_id long, page int, idx int, label string, content string", (1, 7, 0, "text", "shown"), (1, 7, 1, "image", ""), (1, 2, 0, "title", "T")))
+@case("render_blocks", _want("doc_id long, page int, idx int, label string, content string", (1, 7, 0, "text", "shown"), (1, 7, 1, "image", ""), (1, 2, 0, "title", "T")))
 def render_blocks(spark, sf_dir):
     block = "block_bbox array<double>, bbox array<double>, block_label string, label string, block_content string, text string"
     box = [1.0, 2.0, 3.0, 4.0]
@@ -253,7 +255,7 @@ def edited_lines(spark, sf_dir):
     return results.edited(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("text")), edits, ["doc_id"])
 
 
-IMAGES = Fixture("page_id long, m string", ((1, 'a <img src="images/bbox_1_2_3_4.jpg"> b <img src="images/bbox_5_6_7_8.jpg" />'), (2, "none"), (3, '<img src="images/bbox_10_0_30_40.jpg">')))
+IMAGES = Fixture("page_id long, m string", ((1, 'a <img src="images/bbox_1_2_3_4.jpg"> b <img src="images/bbox_5_6_7_8.jpg" />'), (2, "none"), (3, '<img src="images/bbox_10_0_30_40.jpg">')), "SELECT page_id, 'a <img src=\"images/bbox_' || page_id || '_2_3_4.jpg\"> ' || substr(html, 1, 100) || CASE WHEN page_id % 2 = 0 THEN ' <img src=\"images/bbox_5_6_' || page_id % 100 || '_8.jpg\" />' ELSE '' END AS m FROM {pages}")
 
 
 @query(
@@ -264,10 +266,10 @@ IMAGES = Fixture("page_id long, m string", ((1, 'a <img src="images/bbox_1_2_3_4
     """,
 )
 def box_images(spark, sf_dir):
-    return results.box_images(IMAGES.frame(spark), ["page_id"], "m").select("page_id", "idx", F.array_join("box", ",").alias("box"))
+    return results.box_images(IMAGES.frame(spark, sf_dir), ["page_id"], "m").select("page_id", "idx", F.array_join("box", ",").alias("box"))
 
 
-@query("current_position", _want("doc_id long, page int, progress double", (1, 1, 0.2), (2, 3, 0.0), (3, 2, 0.5)))
+@case("current_position", _want("doc_id long, page int, progress double", (1, 1, 0.2), (2, 3, 0.0), (3, 2, 0.5)))
 def current_position(spark, sf_dir):
     rows = [(1, 0, 1, [0.0, 100.0, 1.0, 300.0], "text"), (1, 1, 2, [0.0, 0.0, 1.0, 1.0], "heuristic"), (2, 0, 3, None, "text"), (3, 0, 1, [0.0, 0.0, 1.0, 10.0], "heuristic"), (3, 1, 2, [0.0, 400.0, 1.0, 600.0], "heuristic")]
     return results.current_position(spark.createDataFrame(rows, "doc_id long, ord long, page int, box array<double>, confidence string"), "doc_id")
@@ -280,7 +282,7 @@ def new_suffix(spark, sf_dir):
     return results.new_suffix(old, new, ["conv_id"], "turn", "mark").select("conv_id", "turn")
 
 
-ATTEMPTS = Fixture("key long, attempt int, error string", ((1, 1, "oom"), (1, 2, "oom"), (1, 3, None), (1, 4, None), (2, 1, "other"), (2, 2, None), (3, 1, None), (4, 1, "oom")))
+ATTEMPTS = Fixture("key long, attempt int, error string", ((1, 1, "oom"), (1, 2, "oom"), (1, 3, None), (1, 4, None), (2, 1, "other"), (2, 2, None), (3, 1, None), (4, 1, "oom")), "SELECT user_id AS key, event_id AS attempt, CASE event_type WHEN 'error' THEN 'oom' WHEN 'view' THEN 'other' END AS error FROM {events}")
 
 
 @query(
@@ -291,17 +293,17 @@ ATTEMPTS = Fixture("key long, attempt int, error string", ((1, 1, "oom"), (1, 2,
     """,
 )
 def first_success(spark, sf_dir):
-    return results.first_success(ATTEMPTS.frame(spark), "key", "attempt")
+    return results.first_success(ATTEMPTS.frame(spark, sf_dir), "key", "attempt")
 
 
-@query("result_markdown", _want("case_id long, markdown string, light string", (1, "top", '{"markdown":"top","a":[{"markdown":"x"}]}'), (2, "p1\n\np2", '{"pages":[{"markdown":{"text":"p1"}},{"markdown":"p2"},{"markdown":"p1"}]}'), (3, None, None)))
+@case("result_markdown", _want("case_id long, markdown string, light string", (1, "top", '{"markdown":"top","a":[{"markdown":"x"}]}'), (2, "p1\n\np2", '{"pages":[{"markdown":{"text":"p1"}},{"markdown":"p2"},{"markdown":"p1"}]}'), (3, None, None)))
 def result_markdown(spark, sf_dir):
     rows = [(1, '{"markdown":"top","a":[{"markdown":"x","inputImage":"big"}]}'), (2, '{"pages":[{"markdown":{"text":"p1"}},{"markdown":"p2","outputImages":{"a":1}},{"markdown":"p1"}]}'), (3, "broken")]
     frame = spark.createDataFrame(rows, "case_id long, t string")
     return frame.select("case_id", results.result_markdown("t").alias("markdown"), results.light_json("t", "inputImage", "outputImages").alias("light"))
 
 
-@query("stashed_math", _want("case_id long, text string, restored boolean", (1, "a @@math0@@ b @@math1@@", True), (2, "plain", True), (3, "@@math0@@ and @@math1@@", True)))
+@case("stashed_math", _want("case_id long, text string, restored boolean", (1, "a @@math0@@ b @@math1@@", True), (2, "plain", True), (3, "@@math0@@ and @@math1@@", True)))
 def stashed_math(spark, sf_dir):
     frame = spark.createDataFrame([(1, "a $x$ b $$y\nz$$"), (2, "plain"), (3, "\\(q\\) and \\[r\\]")], "case_id long, t string").withColumn("s", results.stashed("t"))
     return frame.select("case_id", "s.text", (results.unstashed(F.col("s.text"), F.col("s.math")) == F.col("t")).alias("restored"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Rules on literal rows alone, which tests run; they are no queries of the library.
+CASES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
 _DUCK = {"long": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
 
@@ -25,6 +28,16 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def case(name: str, sql: str | None = None):
+    """A rule on literal rows, for tests."""
+
+    def register(function: Callable[[SparkSession, str], DataFrame]):
+        CASES[name] = function, sql
+        return function
+
+    return register
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -41,20 +54,57 @@ def _literal(value) -> str:
     return "'" + value.replace("'", "''") + "'" if isinstance(value, str) else repr(value)
 
 
+#: All fixtures, and whether they give their literal rows where they could derive them; tests set that.
+FIXTURES: list[Fixture] = []
+LITERAL = False
+_SPARK, _DUCKDB = {"@array": "array", "@at": "element_at"}, {"@array": "list_value", "@at": "list_extract"}
+
+
+def _spelled(text: str, names: dict[str, str]) -> str:
+    for name, own in names.items():
+        text = text.replace(name, own)
+    return text
+
+
 @dataclass(frozen=True)
 class Fixture:
-    """Literal rows: a DataFrame in Spark, a VALUES list in DuckDB."""
+    """Inputs of a rule: rows that ``given`` derives from tables, in SQL that both engines read, and literal ones for tests.
+
+    ``given`` names tables in braces, and ``@array`` and ``@at`` where the engines have different names.
+    """
 
     columns: str
     rows: tuple
+    given: str = ""
 
-    def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([tuple(r) for r in self.rows], self.columns)
+    def __post_init__(self) -> None:
+        FIXTURES.append(self)
 
-    def sql(self) -> str:
+    def frame(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        if not self.given or LITERAL:
+            return spark.createDataFrame([tuple(r) for r in self.rows], self.columns)
+        text = _spelled(self.given, _SPARK)
+        used = {name: table(spark, sf_dir, name) for name in _tables(text)}
+        kinds = [c.strip().rsplit(" ", 1) for c in self.columns.split(",")]
+        return spark.sql(text, **used).selectExpr(*(f"CAST(`{name}` AS {kind}) AS `{name}`" for name, kind in kinds))
+
+    def _typed(self, rows: str) -> str:
         names, kinds = zip(*(c.strip().rsplit(" ", 1) for c in self.columns.split(",")), strict=True)
         duck = [_DUCK[k[6:-1]] + "[]" if k.startswith("array<") else _DUCK[k] for k in kinds]
-        values = ", ".join("(" + ", ".join(map(_literal, row)) + ")" for row in self.rows)
         casts = ", ".join(f'CAST("{n}" AS {k}) AS "{n}"' for n, k in zip(names, duck, strict=True))
-        quoted = ", ".join(f'"{n}"' for n in names)
-        return f"(SELECT {casts} FROM (VALUES {values}) AS v({quoted}))"
+        return f"(SELECT {casts} FROM {rows})"
+
+    def literal(self) -> str:
+        names = [c.strip().rsplit(" ", 1)[0] for c in self.columns.split(",")]
+        values = ", ".join("(" + ", ".join(map(_literal, row)) + ")" for row in self.rows)
+        return self._typed(f"(VALUES {values}) AS v(" + ", ".join(f'"{n}"' for n in names) + ")")
+
+    def sql(self) -> str:
+        if not self.given:
+            return self.literal()
+        text = _spelled(self.given, _DUCKDB)
+        return self._typed(f"({text.format(**{name: name for name in _tables(text)})})")
+
+
+def _tables(text: str) -> set[str]:
+    return {name for _, name, _, _ in string.Formatter().parse(text) if name}

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..streaming import folds
-from .registry import Fixture, query, table
+from .registry import Fixture, case, query, table
 
 EVENTS = Fixture(
     "line string",
@@ -14,12 +14,20 @@ EVENTS = Fixture(
         ('{"stream":"a","seq":1,"type":"progress","markdown":"one"}',), ("garbage",), ('{"stream":"a","seq":3,"type":"final","markdown":"done"}',), ('{"stream":"a","seq":4,"type":"progress","markdown":"late"}',),
         ('{"stream":"b","seq":1,"type":"progress","markdown":"x"}',), ('{"stream":"b","seq":2,"type":"progress","markdown":"xy"}',), ('{"stream":"b","seq":3,"type":"error"}',), ('{"other":1}',),
     ),
+    "SELECT CASE WHEN event_id % 11 = 0 THEN 'garbage' ELSE '{{\"stream\":\"' || user_id || '\",\"seq\":' || event_id || ',\"type\":\"' || CASE event_type WHEN 'purchase' THEN 'final' WHEN 'error' THEN 'error' WHEN 'click' THEN 'progress' ELSE 'status' END || '\",\"markdown\":\"' || event_type || event_id || '\"}}' END AS line FROM {events}",
 )
 
 
-@query("event_fold", "SELECT unnest(['a', 'b']) AS stream, unnest(['done', 'xy']) AS markdown, unnest([false, true]) AS failed")
+@query(
+    "event_fold",
+    f"""
+    WITH e AS (SELECT line ->> '$.stream' AS stream, (line ->> '$.seq')::BIGINT AS seq, line ->> '$.type' AS kind, line ->> '$.markdown' AS markdown FROM {EVENTS.sql()} WHERE json_valid(line))
+    SELECT stream, coalesce(arg_max(markdown, seq) FILTER (WHERE kind = 'final'), arg_max(markdown, seq) FILTER (WHERE kind = 'progress')) AS markdown, bool_or(kind = 'error') AS failed
+    FROM e WHERE kind IS NOT NULL GROUP BY stream
+    """,
+)
 def event_fold(spark, sf_dir):
-    return folds.final_text(folds.parse_events(EVENTS.frame(spark), "line"))
+    return folds.final_text(folds.parse_events(EVENTS.frame(spark, sf_dir), "line"))
 
 
 @query(
@@ -58,12 +66,12 @@ DELTAS = Fixture(
 )
 
 
-@query(
+@case(
     "text_snapshots",
     "SELECT unnest(['a', 'a', 'a', 'b']) AS stream, unnest([2, 4, 5, 2])::BIGINT AS seq, unnest(['short and then a good deal more text', 'short and then a good deal more text xy', 'short and then a good deal more text xy.', 'n' || chr(10)]) AS markdown",
 )
 def text_snapshots(spark, sf_dir):
-    return folds.snapshots(DELTAS.frame(spark))
+    return folds.snapshots(DELTAS.frame(spark, sf_dir))
 
 
 @query(

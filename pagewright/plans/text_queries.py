@@ -8,7 +8,7 @@ from ..functions import coerce as C
 from ..functions import geometry as G
 from ..functions import text as T
 from ..operators import linking, repetition, tables
-from .registry import Fixture, query, table
+from .registry import Fixture, case, query, table
 
 # DuckDB spellings of the shared rules.
 STRIP = r"regexp_replace(regexp_replace({x}, '^\s+', ''), '\s+$', '')"
@@ -25,12 +25,12 @@ def compact_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.compact(F.col("text")).alias("text"))
 
 
-TEXTS = Fixture("case_id long, text string", ((1, "a\r\nb\rc"), (2, "  x \t y\n\n\n\n z  "), (3, ""), (4, None), (5, "\n\n"), (6, "one\n\ntwo")))
+TEXTS = Fixture("case_id long, text string", ((1, "a\r\nb\rc"), (2, "  x \t y\n\n\n\n z  "), (3, ""), (4, None), (5, "\n\n"), (6, "one\n\ntwo")), "SELECT doc_id AS case_id, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN replace(substr(text, 1, 400), ' ', chr(9) || '  ') || chr(13) || chr(10) ELSE '  ' || text || chr(10) || chr(10) || chr(10) || lang END AS text FROM {documents}")
 
 
 @query("compact_cases", f"SELECT case_id, {COMPACT.format(x='text')} AS text FROM {TEXTS.sql()}")
 def compact_cases(spark, sf_dir):
-    return TEXTS.frame(spark).select("case_id", T.compact(F.col("text")).alias("text"))
+    return TEXTS.frame(spark, sf_dir).select("case_id", T.compact(F.col("text")).alias("text"))
 
 
 @query("anchor_normalize", f"SELECT doc_id, {ANCHOR.format(x='text')} AS text FROM documents")
@@ -109,6 +109,7 @@ TRACES = Fixture(
         (3, "1: a\n2: b\n3: c\n4: d\n5: e\n6: f\nend if\noutput: x"), (4, "<|det|>text [1,2,3,4]<|/det|> 1: a"), (5, None),
         (6, "text [1, 2, 3, 4] text [1, 2, 3] text [9, 9, 9, 9]\nEnd  While end if"),
     ),
+    "SELECT doc_id AS case_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN '1: ' || substr(text, 1, 30) || chr(10) || '2: text [1, 2, 3, ' || doc_id || ']' || chr(10) || '3: text [5, 6, 7, 8]' || chr(10) || ' 4 : z' WHEN 2 THEN '1: a' || chr(10) || '2: b' || chr(10) || '3: c' || chr(10) || '4: d' || chr(10) || '5: e' || chr(10) || '6: ' || lang || chr(10) || 'end if' || chr(10) || 'output: ' || n_chars ELSE '<|det|>' || substr(text, 1, 50) END AS text FROM {documents}",
 )
 
 
@@ -124,12 +125,13 @@ TRACES = Fixture(
     """,
 )
 def structural_artifacts(spark, sf_dir):
-    return TRACES.frame(spark).select("case_id", T.structural_artifact(F.col("text")).alias("artifact"))
+    return TRACES.frame(spark, sf_dir).select("case_id", T.structural_artifact(F.col("text")).alias("artifact"))
 
 
 RESTARTS = Fixture(
     "case_id long, text string",
     ((1, "A title line\nbody one\nbody two\nA title line\nbody one"), (2, "short\nx\ny\nshort"), (3, "A title line\nA title line\nb"), (4, "\n\nSome heading\n\nq\nr\n  Some heading  \nq"), (5, ""), (6, "no repeat at all\nhere")),
+    "SELECT doc_id AS case_id, CASE WHEN doc_id % 3 = 0 THEN text || chr(10) || substr(text, 1, 300) ELSE text END AS text FROM {documents}",
 )
 
 
@@ -146,7 +148,7 @@ RESTARTS = Fixture(
     """,
 )
 def restart_truncate(spark, sf_dir):
-    return repetition.first_lines_only(RESTARTS.frame(spark), "case_id", F.col("text"))
+    return repetition.first_lines_only(RESTARTS.frame(spark, sf_dir), "case_id", F.col("text"))
 
 
 @query("repeat_tail")
@@ -176,6 +178,7 @@ PAIRS = Fixture(
         (2, 1, "alpha beta", "x alpha beta y and a lot more of this text here"), (2, 2, "alpha beta", "alpha beta z"), (3, 0, "one two three four", "one two"),
         (4, 0, "", "a"), (5, 0, "to of in", "ab"), (6, 0, "lorem ipsum dolor", "ipsum and dolor but"), (7, 0, "same", "same"), (7, 1, "same", "same"),
     ),
+    "SELECT doc_id AS element_id, k AS ord, lower(substr(text, 1, 30)) AS element, lower(substr(text, 1 + 8 * k, 20 + 10 * k)) AS block FROM {documents} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) AS ks WHERE text IS NOT NULL",
 )
 SCORE = """CASE WHEN element = '' OR block = '' THEN 0.0 WHEN element = block THEN 1.0
   WHEN contains(block, element) THEN least(0.98, length(element) / length(block) + 0.62)
@@ -186,7 +189,7 @@ SCORE = """CASE WHEN element = '' OR block = '' THEN 0.0 WHEN element = block TH
 
 @query("match_scores", f"SELECT element_id, ord, round(({SCORE})::DOUBLE, 6) AS score FROM {PAIRS.sql()}")
 def match_scores(spark, sf_dir):
-    return PAIRS.frame(spark).select("element_id", "ord", F.round(T.match_score(F.col("element"), F.col("block")), 6).alias("score"))
+    return PAIRS.frame(spark, sf_dir).select("element_id", "ord", F.round(T.match_score(F.col("element"), F.col("block")), 6).alias("score"))
 
 
 @query(
@@ -197,7 +200,7 @@ def match_scores(spark, sf_dir):
     """,
 )
 def best_matches(spark, sf_dir):
-    pairs = PAIRS.frame(spark).withColumn("score", T.match_score(F.col("element"), F.col("block")))
+    pairs = PAIRS.frame(spark, sf_dir).withColumn("score", T.match_score(F.col("element"), F.col("block")))
     return linking.best_matches(pairs, "element_id", "ord")
 
 
@@ -239,6 +242,7 @@ def greedy_links(spark, sf_dir):
 VALUES = Fixture(
     "case_id long, raw string",
     ((1, " YES "), (2, "0"), (3, None), (4, "12"), (5, " -3x"), (6, "999"), (7, ""), (8, "on"), (9, "1e3"), (10, "2024-01-02T03:04:05Z"), (11, "abc"), (12, "1700000000"), (13, "99999999999999999999")),
+    "SELECT event_id AS case_id, CASE event_id % 9 WHEN 0 THEN ' ' || event_id || ' ' WHEN 1 THEN event_type WHEN 2 THEN NULL WHEN 3 THEN ' -' || user_id || 'x' WHEN 4 THEN 'On' WHEN 5 THEN '2024-01-' || lpad(CAST(event_id % 28 + 1 AS STRING), 2, '0') || 'T03:04:05Z' WHEN 6 THEN '1700' || lpad(CAST(event_id % 1000000 AS STRING), 6, '0') WHEN 7 THEN '' ELSE event_id || '9999999999999999' END AS raw FROM {events}",
 )
 
 
@@ -254,7 +258,7 @@ VALUES = Fixture(
 )
 def coercions(spark, sf_dir):
     raw = F.col("raw")
-    return VALUES.frame(spark).select("case_id", C.to_bool(raw, True).alias("flag"), C.at_least(raw, "int", 5, 1).alias("floored"), C.batch_size(raw).alias("batch"), C.epoch(raw).alias("moment"))
+    return VALUES.frame(spark, sf_dir).select("case_id", C.to_bool(raw, True).alias("flag"), C.at_least(raw, "int", 5, 1).alias("floored"), C.batch_size(raw).alias("batch"), C.epoch(raw).alias("moment"))
 
 
 @query(
@@ -272,7 +276,7 @@ def url_origin(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", C.origin(F.col("url")).alias("origin"))
 
 
-PATHS = Fixture("case_id long, path string", ((1, "images/a.png"), (2, "/abs"), (3, "a/../b"), (4, "c:\\x"), (5, "a\\b"), (6, ""), (7, "./a"), (8, "a//b")))
+PATHS = Fixture("case_id long, path string", ((1, "images/a.png"), (2, "/abs"), (3, "a/../b"), (4, "c:\\x"), (5, "a\\b"), (6, ""), (7, "./a"), (8, "a//b")), "SELECT page_id AS case_id, CASE page_id % 6 WHEN 0 THEN 'images/' || substr(url, 9) WHEN 1 THEN substr(url, 8) WHEN 2 THEN 'a/../' || page_id WHEN 3 THEN replace(url, '/', chr(92)) WHEN 4 THEN url ELSE 'p' || page_id || '.png' END AS path FROM {pages}")
 
 
 @query(
@@ -281,7 +285,7 @@ PATHS = Fixture("case_id long, path string", ((1, "images/a.png"), (2, "/abs"),
     f"regexp_full_match(path, '[A-Za-z0-9_-]{{6,80}}') AS task_id FROM {PATHS.sql()}",
 )
 def safe_paths(spark, sf_dir):
-    return PATHS.frame(spark).select("case_id", C.is_safe_path(F.col("path")).alias("safe"), C.is_task_id(F.col("path")).alias("task_id"))
+    return PATHS.frame(spark, sf_dir).select("case_id", C.is_safe_path(F.col("path")).alias("safe"), C.is_task_id(F.col("path")).alias("task_id"))
 
 
 @query(
@@ -296,6 +300,7 @@ def event_json(spark, sf_dir):
 SSE = Fixture(
     "seq long, line string",
     ((1, 'data: {"choices":[{"delta":{"content":"Hel"}}]}'), (2, ": ping"), (3, 'data: {"choices":[{"delta":{"content":"lo"}}]}'), (4, "data: broken"), (5, "data: [DONE]"), (6, 'data: {"choices":[{"delta":{"content":"late"}}]}')),
+    "SELECT doc_id AS seq, CASE doc_id % 5 WHEN 0 THEN ': ping' WHEN 1 THEN 'data: broken' ELSE 'data: {{\"choices\":[{{\"delta\":{{\"content\":\"' || source || '\"}}}}]}}' END AS line FROM {documents}",
 )
 
 
@@ -308,7 +313,7 @@ SSE = Fixture(
     """,
 )
 def sse_deltas(spark, sf_dir):
-    data = SSE.frame(spark).filter(F.col("line").startswith("data: ")).select("seq", F.expr("substr(line, 7)").alias("data"))
+    data = SSE.frame(spark, sf_dir).filter(F.col("line").startswith("data: ")).select("seq", F.expr("substr(line, 7)").alias("data"))
     stop = data.filter("data = '[DONE]'").agg(F.min("seq").alias("stop"))
     found = data.crossJoin(F.broadcast(stop)).filter("stop IS NULL OR seq < stop")
     return found.select("seq", F.get_json_object("data", "$.choices[0].delta.content").alias("content")).filter("content IS NOT NULL")
@@ -325,6 +330,7 @@ PROSE = Fixture(
         (29, "table", "<table><tr><th>A</th><th>B</th></tr><tr><td>1</td><td>2</td></tr></table>"), (30, "text", "see <TABLE><tr><td>x</td></tr><tr><td>y</td></tr></TABLE> there"), (31, "table", "no rows"),
         (32, "image_caption", " "), (33, "text", "Keywords: a, b"), (34, "title", " "), (35, "text", "+ plus"), (36, "ref_text", "[3]"), (37, "text", None), (38, "equation", "$$a$$"), (39, "text", "摘要：无"), (40, "paragraph_title", "xi. Roman"),
     ),
+    "SELECT doc_id AS case_id, CASE doc_id % 5 WHEN 0 THEN 'text' WHEN 1 THEN 'list' WHEN 2 THEN 'doc_title' WHEN 3 THEN 'paragraph_title' ELSE 'table' END AS kind, text FROM {documents}",
 )
 _NL = "chr(10)"
 
@@ -372,7 +378,7 @@ def block_sql(rows: str) -> str:
 
 @query("page_block_markdown", f"SELECT case_id, markdown FROM ({block_sql(PROSE.sql())})")
 def page_block_markdown(spark, sf_dir):
-    frame = PROSE.frame(spark).withColumn("tabled", tables.tables_in("text"))
+    frame = PROSE.frame(spark, sf_dir).withColumn("tabled", tables.tables_in("text"))
     return frame.select("case_id", T.page_block(F.col("kind"), F.col("text"), F.col("tabled")).alias("markdown"))
 
 
@@ -382,6 +388,7 @@ BOXES = Fixture(
         (1, (100.0, 200.0, 300.5, 400.2), 1000, 2000), (2, (0.0, 0.0, 1200.0, 900.0), 800, 600), (3, (500.0, 500.0, 400.0, 600.0), 1000, 1000), (4, (2.5, 2.5, 7.5, 7.5), 1000, 1000),
         (5, (100.0, 300.0, 500.0, 900.0), 2000, 2000), (6, (-5.0, -5.0, 10.0, 10.0), 100, 100), (7, (float("inf"), 1.0, 2.0, 3.0), 100, 100), (8, (10.0, 10.0, 3000.0, 2500.0), 1500, 1250), (9, (1.0, 2.0), 10, 10),
     ),
+    "SELECT vec_id AS case_id, @array(floor(@at(embedding, 1) * 1000) / 2, floor(@at(embedding, 2) * 1000) / 2, floor(@at(embedding, 3) * 1000) / 2, floor(@at(embedding, 4) * 1000) / 2) AS box, 800 + vec_id % 7 * 100 AS width, 2000 AS height FROM {embeddings} WHERE embedding IS NOT NULL",
 )
 _SIDES = f"(SELECT case_id, width, height, box[1] AS x1, box[2] AS y1, box[3] AS x2, box[4] AS y2, len(box) >= 4 AND len(list_filter(box, lambda v: NOT isfinite(v))) = 0 AS ok FROM {BOXES.sql()})"
 
@@ -396,7 +403,7 @@ _SIDES = f"(SELECT case_id, width, height, box[1] AS x1, box[2] AS y1, box[3] AS
 )
 def bbox_pixels(spark, sf_dir):
     pixels = G.outward_pixels(F.col("box"), F.col("width"), F.col("height"))
-    out = BOXES.frame(spark).filter(G.is_finite_box(F.col("box")))
+    out = BOXES.frame(spark, sf_dir).filter(G.is_finite_box(F.col("box")))
     return out.select("case_id", pixels.alias("p")).filter("p IS NOT NULL").select("case_id", F.array_join("p", ",").alias("pixels"))
 
 
@@ -409,7 +416,7 @@ def bbox_pixels(spark, sf_dir):
     """,
 )
 def bbox_round(spark, sf_dir):
-    out = BOXES.frame(spark).filter(G.is_finite_box(F.col("box")))
+    out = BOXES.frame(spark, sf_dir).filter(G.is_finite_box(F.col("box")))
     pixels = G.nearest_pixels(F.col("box"), F.col("width"), F.col("height"))
     return out.select("case_id", pixels.alias("p")).filter("p IS NOT NULL").select("case_id", F.array_join("p", ",").alias("pixels"))
 
@@ -427,20 +434,20 @@ def bbox_round(spark, sf_dir):
     """,
 )
 def bbox_scale(spark, sf_dir):
-    out = BOXES.frame(spark).filter(G.is_finite_box(F.col("box")))
+    out = BOXES.frame(spark, sf_dir).filter(G.is_finite_box(F.col("box")))
     pixels = G.crop_pixels(F.col("box"), F.col("width"), F.col("height"))
     return out.select("case_id", pixels.alias("p")).filter("p IS NOT NULL").select("case_id", F.array_join("p", ",").alias("pixels"))
 
 
-PROGRESS = Fixture("case_id long, box array<double>, height int", ((1, (0.0, 0.0, 5.0, 500.0), 1000), (2, (0.0, 900.0, 1.0, 1500.0), 1000), (3, (0.0, -50.0, 1.0, 10.0), 100)))
+PROGRESS = Fixture("case_id long, box array<double>, height int", ((1, (0.0, 0.0, 5.0, 500.0), 1000), (2, (0.0, 900.0, 1.0, 1500.0), 1000), (3, (0.0, -50.0, 1.0, 10.0), 100)), "SELECT vec_id AS case_id, @array(0.0, floor(@at(embedding, 2) * 1000), 1.0, floor(@at(embedding, 4) * 9000)) AS box, 1000 AS height FROM {embeddings} WHERE embedding IS NOT NULL")
 
 
 @query("vertical_progress", f"SELECT case_id, least(greatest((box[2] + box[4]) / 2 / greatest(height, 1), 0), 1)::DOUBLE AS progress FROM {PROGRESS.sql()}")
 def vertical_progress(spark, sf_dir):
-    return PROGRESS.frame(spark).select("case_id", G.vertical_progress(F.col("box"), F.col("height")).alias("progress"))
+    return PROGRESS.frame(spark, sf_dir).select("case_id", G.vertical_progress(F.col("box"), F.col("height")).alias("progress"))
 
 
-LABELS = Fixture("case_id long, size long, start int, finish int, name string", ((1, 0, 1, 1, "a/b.pdf"), (2, 2048, 1, 10, "x.y.png"), (3, 5000000, 3, 7, "n|o?.txt"), (4, None, 2, 2, "plain")))
+LABELS = Fixture("case_id long, size long, start int, finish int, name string", ((1, 0, 1, 1, "a/b.pdf"), (2, 2048, 1, 10, "x.y.png"), (3, 5000000, 3, 7, "n|o?.txt"), (4, None, 2, 2, "plain")), "SELECT doc_id AS case_id, CASE WHEN doc_id % 6 > 0 THEN n_chars * 194 * (doc_id % 6 - 1) + 1 END AS size, 1 + doc_id % 3 AS start, 1 + doc_id % 3 + doc_id % 2 AS finish, source || '/' || lang || '.' || doc_id AS name FROM {documents}")
 
 
 @query(
@@ -452,7 +459,7 @@ LABELS = Fixture("case_id long, size long, start int, finish int, name string",
     """,
 )
 def labels_and_names(spark, sf_dir):
-    return LABELS.frame(spark).select("case_id", T.size_label(F.col("size")).alias("size"), T.page_label(F.col("start"), F.col("finish")).alias("pages"), T.download_name(F.col("name"), F.lit("md")).alias("download"))
+    return LABELS.frame(spark, sf_dir).select("case_id", T.size_label(F.col("size")).alias("size"), T.page_label(F.col("start"), F.col("finish")).alias("pages"), T.download_name(F.col("name"), F.lit("md")).alias("download"))
 
 
 @query("token_documents", r"SELECT source, count(*) AS n FROM documents WHERE regexp_full_match(source, '[A-Za-z]{2,8}[0-9]{2,8}[A-Za-z0-9-]*') GROUP BY source")
@@ -463,21 +470,31 @@ def token_documents(spark, sf_dir):
 LIMITS = Fixture(
     "case_id long, message string, budget long",
     ((1, "This model's maximum context length is 8192 tokens. (2000 tokens from the input messages and 8000 tokens for the completion)", 8000), (2, "maximum context length of 4096 tokens: 1000 tokens from the input messages and 4000 tokens for the completion", 4000), (3, "other", 10), (4, "maximum context length of 4096 tokens, 100 tokens from the input messages and 5 tokens for the completion", 5)),
+    "SELECT doc_id AS case_id, 'This model has a maximum context length of ' || (4096 + doc_id % 5000) || ' tokens, ' || n_chars || ' tokens from the input messages and 8000 tokens for the completion' AS message, 3000 AS budget FROM {documents}",
 )
 
 
-@query("context_limits", f"SELECT case_id, CASE case_id WHEN 2 THEN 2968::BIGINT END AS budget FROM {LIMITS.sql()}")
+_CONTEXT = r"(?is)maximum context length of\s+(\d+)\s+tokens.*?(\d+)\s+tokens from the input messages and\s+(\d+)\s+tokens for the completion"
+
+
+@query(
+    "context_limits",
+    f"""
+    SELECT case_id, CASE WHEN own > 0 AND own < budget THEN own END AS budget
+    FROM (SELECT *, try_cast(regexp_extract(message, '{_CONTEXT}', 1) AS BIGINT) - try_cast(regexp_extract(message, '{_CONTEXT}', 2) AS BIGINT) - 128 AS own FROM {LIMITS.sql()})
+    """,
+)
 def context_limits(spark, sf_dir):
-    return LIMITS.frame(spark).select("case_id", T.context_limit(F.col("message"), F.col("budget")).alias("budget"))
+    return LIMITS.frame(spark, sf_dir).select("case_id", T.context_limit(F.col("message"), F.col("budget")).alias("budget"))
 
 
-@query("status_free", f"SELECT case_id, CASE case_id WHEN 1 THEN 'before' || chr(10) || chr(10) || chr(10) || chr(10) || 'after' WHEN 2 THEN 'kept' ELSE '' END AS text FROM (SELECT unnest([1, 2, 3])::BIGINT AS case_id)")
+@case("status_free", f"SELECT case_id, CASE case_id WHEN 1 THEN 'before' || chr(10) || chr(10) || chr(10) || chr(10) || 'after' WHEN 2 THEN 'kept' ELSE '' END AS text FROM (SELECT unnest([1, 2, 3])::BIGINT AS case_id)")
 def status_free(spark, sf_dir):
     rows = [(1, "before\n\n**Unlimited-OCR status**\n\nworking\n\nafter"), (2, "kept"), (3, "**Unlimited-OCR status**\nline")]
     return spark.createDataFrame(rows, "case_id long, text string").select("case_id", T.without_status(F.col("text")).alias("text"))
 
 
-@query("interpolated", "SELECT unnest([1, 2])::BIGINT AS case_id, unnest(['Hi Ann, {missing} 3', 'img/z.png and q']) AS text")
+@case("interpolated", "SELECT unnest([1, 2])::BIGINT AS case_id, unnest(['Hi Ann, {missing} 3', 'img/z.png and q']) AS text")
 def interpolated(spark, sf_dir):
     rows = [(1, "Hi {name}, {missing} {n}", {"name": "Ann", "n": "3"}), (2, "a.png and b", {"a.png": "img/z.png", "b": "q"})]
     frame = spark.createDataFrame(rows, "case_id long, text string, m map<string,string>")
