@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import coerce as C
 from ..functions import geometry as G
 from ..functions import text as T
-from ..operators import linking, repetition, tables
+from ..operators import linking, messages, repetition, tables
 from .registry import Fixture, case, query, table
 
 # DuckDB spellings of the shared rules.
@@ -499,3 +499,26 @@ def interpolated(spark, sf_dir):
     rows = [(1, "Hi {name}, {missing} {n}", {"name": "Ann", "n": "3"}), (2, "a.png and b", {"a.png": "img/z.png", "b": "q"})]
     frame = spark.createDataFrame(rows, "case_id long, text string, m map<string,string>")
     return frame.select("case_id", F.when(F.col("case_id") == 1, T.interpolate(F.col("text"), F.col("m"))).otherwise(T.rewrite_paths(F.col("text"), F.col("m"))).alias("text"))
+
+
+_ENGLISH = {"就绪": "ready", "启动失败": "failed to start", "正在读取 {count} 个文件...": "Reading {count} files...", "{done}/{total} 解析中": "{done} of {total} parsed", "解析失败：{detail}": "Parsing failed: {detail}", "登录": "Log in"}
+NOTICES = Fixture(
+    "case_id long, text string",
+    ((1, "登录"), (2, "m 就绪"), (3, "m 启动失败"), (4, "m 启动中"), (5, "正在读取 12 个文件..."), (6, "正在读取 x 个文件..."), (7, "3/9 解析中"), (8, "解析失败：a：b"), (9, None), (10, ""), (11, "other"), (12, "x\n就绪")),
+    "SELECT doc_id AS case_id, CASE doc_id % 8 WHEN 0 THEN '登录' WHEN 1 THEN source || ' 就绪' WHEN 2 THEN lang || ' 启动失败' WHEN 3 THEN '正在读取 ' || n_chars || ' 个文件...' WHEN 4 THEN doc_id || '/' || n_chars || ' 解析中' WHEN 5 THEN '解析失败：' || source WHEN 6 THEN substr(text, 1, 50) || ' 启动中' ELSE text END AS text FROM {documents}",
+)
+
+
+@query(
+    "translated_messages",
+    rf"""
+    SELECT case_id, CASE WHEN text = '登录' THEN 'Log in'
+      WHEN regexp_full_match(text, '[^\n\r]+ 就绪') THEN regexp_replace(text, ' 就绪$', ' ready') WHEN regexp_full_match(text, '[^\n\r]+ 启动失败') THEN regexp_replace(text, ' 启动失败$', ' failed to start')
+      WHEN regexp_full_match(text, '正在读取 [0-9]+ 个文件\.\.\.') THEN regexp_replace(text, '正在读取 ([0-9]+) 个文件\.\.\.', 'Reading \1 files...')
+      WHEN regexp_full_match(text, '[0-9]+/[0-9]+ 解析中') THEN regexp_replace(text, '([0-9]+)/([0-9]+) 解析中', '\1 of \2 parsed')
+      WHEN regexp_full_match(text, '解析失败：[^\n\r]+') THEN regexp_replace(text, '解析失败：', 'Parsing failed: ') ELSE text END AS text
+    FROM {NOTICES.sql()}
+    """,
+)
+def translated_messages(spark, sf_dir):
+    return messages.translated(NOTICES.frame(spark, sf_dir), "text", _ENGLISH).select("case_id", F.col("translated").alias("text"))

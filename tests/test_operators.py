@@ -3,6 +3,7 @@
 import json
 import os
 import random
+import re
 import struct
 from pathlib import Path
 
@@ -11,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pagewright.operators import blocks, catalog, linking, repetition, tables
+from pagewright.operators import blocks, catalog, linking, messages, repetition, tables
 from pagewright.sources import files, publish
 from pagewright.streaming import folds
 
@@ -146,6 +147,24 @@ def test_links_in_a_stream_are_the_plain_rule(spark):
     assert got == want and len(want) > 100
 
 
+def test_messages_are_the_first_pattern_that_matches():
+    rng = random.Random(6)
+    english = {t: f"<{i} {t}>" for i, t in enumerate(messages.MESSAGES) if i % 3} | {"就绪": "ready", "未就绪": "not ready"}
+    own = messages.Messages(english)
+    assert own.of("a 未就绪") == "a not ready" and own.of("a b 就绪") == "a b ready" and own.of("a 待启动") == "a 待启动" and own.of(None) is None
+    assert own.of("第 3-9 页") == "<13 第 3-9 页>" and own.of("第 x 页") == "第 x 页" and own.of("12/x 解析中") == "12/x 解析中"
+    plain = [re.compile(re.sub(r"\\\{(\w+)\\\}", lambda m: r"(\d+)" if m[1] in messages.NUMBERS else "(.+)", re.escape(t))) for t in messages.MESSAGES]
+    for _ in range(400):
+        text = re.sub(r"\{\w+\}", lambda m: rng.choice(["7", "x y", "就绪", "：", "3/4"]), rng.choice(messages.MESSAGES))
+        text = rng.choice(["", " 就绪", "z"]) + text if rng.random() < 0.3 else text
+        matching = [k for k, p in enumerate(plain) if p.fullmatch(text)]
+        assert set(matching) <= set(own.candidates(text)) and len(own.candidates(text)) < 8
+        if not matching:
+            assert own.of(text) == (english.get(text) or text)
+        elif matching[0] >= messages.STATES and messages.MESSAGES[matching[0]] in english:
+            assert own.of(text).startswith(f"<{matching[0]} ")
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rng = random.Random(3)
     rows = [(f"s{i % 3}", i // 3, i / 10, rng.choice(["word ", "end.", "a rather long piece of text ", "x"])) for i in range(60)]
