@@ -68,6 +68,17 @@ def number_visuals(blocks: DataFrame, key: list[str]) -> DataFrame:
     return blocks.withColumn("visual", F.when(shown, count))
 
 
+def number_crops(blocks: DataFrame, key: list[str], kinds: tuple[str, ...], pixels: Column) -> DataFrame:
+    """``crop``: the running number, from 1 within a key, of blocks of the kinds whose region can be cut out; null for others.
+
+    ``pixels`` is a box as ``functions.geometry`` gives it, null where nothing can be cut. A key of document and page numbers the
+    crops of each page, a document alone goes on over its pages; ``ord`` orders the blocks of a key.
+    """
+    cut = F.coalesce(F.lower("kind").isin(*kinds) & pixels.isNotNull(), F.lit(False))
+    count = F.sum(cut.cast("long")).over(Window.partitionBy(*key).orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return blocks.withColumn("crop", F.when(cut, count))
+
+
 def alt_texts(blocks: DataFrame, key: list[str]) -> DataFrame:
     """``alt`` of visual blocks: the first sentence of a caption within two blocks, over visual blocks only; else kind and number."""
     order = Window.partitionBy(*key).orderBy("ord")

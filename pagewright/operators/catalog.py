@@ -91,6 +91,20 @@ def page_range(plan: DataFrame, start: int, end: int, total: Column) -> DataFram
     return plan.filter((F.lit(start) >= 1) & (F.lit(end) >= F.lit(start)) & (F.col("start_page") <= last) & (F.col("end_page") >= start))
 
 
+def page_rows(pages: DataFrame, start: int = 0, limit: int | None = None, number: str = "page") -> DataFrame:
+    """Rows of pages ``start`` (from 0) up to ``limit`` of them. The range is of a plain column, so it reaches the scan; what a document lacks it has no rows of."""
+    first = max(0, start)
+    chosen = pages.filter(F.col(number) >= first)
+    return chosen if limit is None else chosen.filter(F.col(number) < start + limit)
+
+
+def page_counts(pages: DataFrame, key: str, most: int) -> DataFrame:
+    """``key, pages``: the number of page rows of each document; one with more than ``most`` fails the query."""
+    counts = pages.groupBy(key).agg(F.count("*").alias("pages"))
+    told = F.concat(F.lit("document "), F.col(key).cast("string"), F.lit(f" has more than {most} pages"))
+    return counts.select(key, F.when(F.col("pages") > most, F.raise_error(told).cast("long")).otherwise(F.col("pages")).alias("pages"))
+
+
 def levels(rows: DataFrame, amount: Column, thresholds: DataFrame) -> DataFrame:
     """Each row with each threshold row (``name, minimum, recommended``; a short list) and how it meets it."""
     every = rows.crossJoin(F.broadcast(thresholds))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import coerce as C
 from ..functions import geometry as G
 from ..functions import records as R
-from ..operators import results
+from ..operators import blocks, catalog, results
 from .registry import Fixture, query, table
 
 DPI = 180
@@ -126,3 +126,37 @@ def base64_texts(spark, sf_dir):
     coded = F.concat(F.lit("data:text/plain;base64,"), F.regexp_replace(F.base64(F.col("text").cast("binary")), "(.{60})", "$1\n"))
     docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", C.from_base64(coded).alias("raw"), C.from_base64(F.concat(F.lit("%"), coded)).cast("string").alias("broken"))
     return docs.select("doc_id", (F.length("raw") > 0).alias("whole"), F.md5("raw").alias("md5"), "broken")
+
+
+@query("page_rows", "SELECT conv_id, turn, role FROM conversations WHERE turn >= 1 AND turn < 4")
+def page_rows(spark, sf_dir):
+    """Turns of conversations as pages of documents."""
+    return catalog.page_rows(table(spark, sf_dir, "conversations"), 1, 3, "turn").select("conv_id", "turn", "role")
+
+
+@query("page_counts", "SELECT conv_id, count(*) AS pages FROM conversations GROUP BY conv_id")
+def page_counts(spark, sf_dir):
+    return catalog.page_counts(table(spark, sf_dir, "conversations"), "conv_id", 100_000)
+
+
+_CROPS = """
+  SELECT user_id, event_id, event_type, event_id % 3 AS page,
+         value >= 2 AND event_type IN ('click', 'view') AND least(800, floor(value * 10)) > least(800, floor(value)) AS cut
+  FROM events
+"""
+
+
+@query(
+    "crop_numbers",
+    f"""
+    SELECT event_id, CASE WHEN cut THEN sum(cut::INTEGER) OVER (PARTITION BY user_id, page ORDER BY event_id) END::BIGINT AS on_page, CASE WHEN cut THEN sum(cut::INTEGER) OVER (PARTITION BY user_id ORDER BY event_id) END::BIGINT AS in_document
+    FROM ({_CROPS})
+    """,
+)
+def crop_numbers(spark, sf_dir):
+    """Events as blocks whose boxes come from their value: crops numbered by page and through the document."""
+    box = F.array(F.floor("value").cast("double"), F.lit(0.0), F.when(F.col("value") >= 2, F.floor(F.col("value") * 10).cast("double")).otherwise(0.0), F.lit(500.0))
+    rows = table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 3).alias("page"), F.col("event_id").alias("ord"), F.col("event_type").alias("kind"), box.alias("box"))
+    pixels = G.outward_pixels(F.transform("box", lambda v: F.least(v, F.lit(800.0))), F.lit(1000), F.lit(1000))
+    found = blocks.number_crops(rows, ["user_id", "page"], ("click", "view"), pixels).withColumnRenamed("crop", "on_page")
+    return blocks.number_crops(found, ["user_id"], ("click", "view"), pixels).select(F.col("ord").alias("event_id"), "on_page", F.col("crop").alias("in_document"))

@@ -12,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from pagewright.functions import geometry
 from pagewright.operators import blocks, catalog, linking, messages, repetition, tables
 from pagewright.sources import files, publish
 from pagewright.streaming import folds
@@ -165,6 +166,26 @@ def test_messages_are_the_first_pattern_that_matches():
             assert own.of(text).startswith(f"<{matching[0]} ")
 
 
+def test_crops_are_numbered_where_they_can_be_cut(spark):
+    rows = [(1, 0, 0, "image", [0.0, 0.0, 9.0, 9.0]), (1, 0, 1, "image", [5.0, 5.0, 5.0, 9.0]), (1, 0, 2, "TABLE", [0.0, 0.0, 9.0, 9.0]), (1, 1, 3, "text", [0.0, 0.0, 9.0, 9.0]), (1, 1, 4, "chart", [0.0, 0.0, 9.0, 9.0]), (1, 1, 5, "chart", None), (2, 0, 0, "chart", [1.0, 1.0, 2.0, 2.0])]
+    frame = spark.createDataFrame(rows, "doc long, page int, ord long, kind string, box array<double>")
+    pixels = geometry.outward_pixels(F.col("box"), F.lit(1000), F.lit(1000))
+    number = lambda *key: [r.crop for r in blocks.number_crops(frame, list(key), ("image", "table", "chart"), pixels).orderBy("doc", "ord").collect()]
+    assert number("doc", "page") == [1, None, 2, None, 1, None, 1] and number("doc") == [1, None, 2, None, 3, None, 1]
+
+
+def test_page_rows_and_their_cap(spark, tmp_path):
+    spark.range(20).selectExpr("id % 2 AS doc", "CAST(id / 2 AS int) AS page").write.parquet(str(tmp_path / "p"))
+    pages = spark.read.parquet(str(tmp_path / "p"))
+    chosen = catalog.page_rows(pages, 3, 4)
+    assert sorted({r.page for r in chosen.collect()}) == [3, 4, 5, 6] and catalog.page_rows(pages, 8, 50).count() == 4 and catalog.page_rows(pages, 8).count() == 4 and catalog.page_rows(pages, -2, 5).count() == 6
+    plan = chosen._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(page,3)" in plan and "LessThan(page,7)" in plan
+    assert {r.pages for r in catalog.page_counts(pages, "doc", 10).collect()} == {10}
+    with pytest.raises(Exception, match="has more than 9 pages"):
+        catalog.page_counts(pages, "doc", 9).collect()
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rng = random.Random(3)
     rows = [(f"s{i % 3}", i // 3, i / 10, rng.choice(["word ", "end.", "a rather long piece of text ", "x"])) for i in range(60)]
