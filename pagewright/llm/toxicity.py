@@ -42,6 +42,8 @@ FEATURE_SHARE = 0.6
 ROUNDS = 15
 #: Rows that the accuracy of the labels is believed to stem from before any is seen, and how many of them are right.
 SEEN, RIGHT = 20.0, 0.9
+#: Words of one text that count for a feature.
+TIMES = 3
 
 
 @dataclass
@@ -58,18 +60,19 @@ class Model:
     voters: dict[str, tuple[float, float, float]] = field(default_factory=dict)
     labels: tuple[float, float] = (RIGHT, RIGHT)
 
-    def word(self, word: str) -> float:
-        return sum(self.weights.get(name, 0.0) for name in names_of(word))
+    def word(self, word: str) -> tuple[str, ...]:
+        """The features of a word that have a weight."""
+        return tuple(name for name in names_of(word) if name in self.weights)
 
 
-class Weights(dict):
-    """Word to the sum of its weights, remembered for some of the words."""
+class Weighted(dict):
+    """Word to its features that have a weight, remembered for some of the words."""
 
     def __init__(self, model: Model, most: int = 250_000):
         super().__init__()
         self.model, self.most = model, most
 
-    def __missing__(self, word: str) -> float:
+    def __missing__(self, word: str) -> tuple[str, ...]:
         if len(self) >= self.most:
             self.clear()
         self[word] = value = self.model.word(word)
@@ -89,6 +92,11 @@ def features(text: str) -> Counter:
     return found
 
 
+def strength(count: int) -> int:
+    """What a feature counts for in fitting and in scoring: more than TIMES words that have it tell no more."""
+    return min(count, TIMES)
+
+
 def label_model(votes: np.ndarray, labels: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[float, float]]:
     """Posteriors of rows; for each voter its rate on toxic rows, on others, and its share of evidence; the accuracies of labels.
 
@@ -202,7 +210,7 @@ def held_by(sample: DataFrame, names: list[str]) -> dict[int, tuple[int, dict[st
             for key, text, label in rows_of(batches):
                 found = features(text)
                 own = sorted(wanted & found.keys())
-                yield key, -1 if label is None else label, own, [min(found[name], 3) for name in own]
+                yield key, -1 if label is None else label, own, [strength(found[name]) for name in own]
 
         return batches_of(rows(), schema)
 
@@ -270,24 +278,25 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     Whole texts are scored; null and empty texts get the score of no evidence. Null and repeated ids stay. An empty table
     gives an empty one. Nothing is shuffled: rows travel through Python with their text and come back with a score.
     """
-    columns = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
+    columns = [F.col(f"`{c}`") for c in docs.columns if c not in ("held_out", "score", "predicted")]
 
     @F.arrow_udf("double")
     def scored(raw: pa.Array) -> pa.Array:
         return pa.array(scores(model, raw), pa.float64())
 
-    out = docs.select(*columns, scored(F.col(text_col).cast("binary")).alias("score"))
-    return out.select(*columns, held_out(F.col(id_col)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    out = docs.select(*columns, scored(F.col(f"`{text_col}`").cast("binary")).alias("score"))
+    return out.select(*columns, held_out(F.col(f"`{id_col}`")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def scores(model: Model, raw: pa.Array) -> list[float]:
-    """Scores of texts; each different word of a text adds its weights once."""
-    known = Weights(model)
+    """Scores of texts: the weights of the features that they were fitted by, in the order of their names."""
+    known = Weighted(model)
     out = []
     for at in range(0, len(raw), 256):
         for value in raw.slice(at, 256).to_pylist():
             low = text_of(value).lower()
-            total = model.bias + sum([known[word] for word in set(WORD.findall(low))])
+            found = Counter(name for word in set(WORD.findall(low)) for name in known[word])
+            total = model.bias + sum(model.weights[name] * strength(found[name]) for name in sorted(found))
             total += sum(weight for name, weight in model.patterns.items() if weight and PATTERNS[name].search(low))
             out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, total)))))
     return out

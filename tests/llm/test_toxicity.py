@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pagewright.llm import toxicity
@@ -73,6 +74,17 @@ def test_odd_rows(spark):
     assert {r.predicted for r in out if r.doc_id} == {0}
     odd = spark.createDataFrame([(1, None), (None, 1), (3, 7), (2, 0), (2, 1)], "doc_id long, toxic int")
     assert toxicity.score(docs.limit(0), toxicity.train(docs, odd)).count() == 0
+    dotted = toxicity.score(docs.withColumnRenamed("predicted", "a.predicted"), model)
+    assert dotted.columns == ["doc_id", "text", "a.predicted", "held_out", "score", "predicted"] and dotted.count() == 5
+
+
+def test_scores_are_of_the_features_that_were_fitted():
+    model = toxicity.Model(-1.0, {"ab$": 0.5, "abc": 0.25, "xyz$": 2.0}, dict.fromkeys(toxicity.PATTERNS, 0.0))
+    texts = ["", "ab", "abcd abce abcf abcg abch ab ab", "xyz " * 9, "fine words " * 2000 + "ab"]
+    for text, got in zip(texts, toxicity.scores(model, pa.array([t.encode() for t in texts])), strict=True):
+        found = toxicity.features(text)
+        want = model.bias + sum(w * toxicity.strength(found[name]) for name, w in model.weights.items())
+        assert abs(got - 1 / (1 + np.exp(-want))) < 1e-12
 
 
 @pytest.mark.parametrize("folder", ["/root/testdata/sf0.01"])
