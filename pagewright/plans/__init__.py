@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import catalog, repetition
-from . import block_queries, catalog_queries, more_queries, page_queries, record_queries, registry, stream_queries, text_queries  # noqa: F401  registers their queries
+from . import block_queries, catalog_queries, derived_queries, more_queries, page_queries, record_queries, registry, stream_queries, text_queries  # noqa: F401  registers their queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
