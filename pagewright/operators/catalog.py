@@ -105,9 +105,21 @@ def page_counts(pages: DataFrame, key: str, most: int) -> DataFrame:
     return counts.select(key, F.when(F.col("pages") > most, F.raise_error(told).cast("long")).otherwise(F.col("pages")).alias("pages"))
 
 
+#: Threshold rows at most: a list that a person keeps.
+MOST_LEVELS = 1000
+
+
 def levels(rows: DataFrame, amount: Column, thresholds: DataFrame) -> DataFrame:
-    """Each row with each threshold row (``name, minimum, recommended``; a short list) and how it meets it."""
-    every = rows.crossJoin(F.broadcast(thresholds))
+    """Each row with each threshold row (``name, minimum, recommended``) and how it meets it; more than MOST_LEVELS thresholds raise.
+
+    The thresholds are an array in the plan, so nothing is joined or sent apart.
+    """
+    known = thresholds.select("name", "minimum", "recommended").limit(MOST_LEVELS + 1).collect()
+    if len(known) > MOST_LEVELS:
+        raise ValueError(f"more than {MOST_LEVELS} thresholds")
+    kinds = [(f.name, f.dataType) for f in thresholds.select("name", "minimum", "recommended").schema]
+    row = lambda r: F.struct(*[F.lit(r[name]).cast(kind).alias(name) for name, kind in kinds])
+    every = rows.select("*", F.inline(F.array(*map(row, known)))) if known else rows.crossJoin(thresholds.limit(0))
     level = F.when(amount >= F.col("recommended"), "recommended").when(amount >= F.col("minimum"), "low").otherwise("unsupported")
     return every.withColumn("level", level)
 
