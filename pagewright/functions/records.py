@@ -255,9 +255,9 @@ def zipped_pages(texts: Column, images: Column) -> Column:
 
 
 def percent_box(box: Column, width: Column, height: Column) -> Column:
-    """A box as left, top, width and height in hundredths of its page."""
+    """A box as left, top, width and height in hundredths of its page; rounded once, in the division."""
     at = lambda i: F.get(box, F.lit(i))
-    return F.array(at(0) / width * 100, at(1) / height * 100, (at(2) - at(0)) / width * 100, (at(3) - at(1)) / height * 100)
+    return F.array(at(0) * 100 / width, at(1) * 100 / height, (at(2) - at(0)) * 100 / width, (at(3) - at(1)) * 100 / height)
 
 
 def polygon_bounds(xs: Column, width: Column) -> Column:

@@ -299,3 +299,16 @@ def test_settings_sizes_and_exports(spark, tmp_path):
         files.write_markdown(docs, str(tmp_path / "m"), "id", "markdown")
     assert sorted(map(tuple, publish.read(spark, str(tmp_path / "j"), "json").select("id", "markdown").collect())) == [(1, "# A\nb"), (2, "c")]
     assert (next((Path(publish.current(spark, str(tmp_path / "m"))) / "id=1").glob("*.txt"))).read_text() == "# A\nb\n"
+
+
+def test_percent_boxes_are_those_of_the_sql(spark, tmp_path):
+    import duckdb
+
+    from pagewright import plans
+
+    spark.range(100).selectExpr("id AS vec_id", "array(float(0)) AS embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = duck.execute(f"SELECT vec_id, percent FROM ({plans.oracle_sql()['record_structs']})").fetchall()
+    got = plans.queries()["record_structs"](spark, str(tmp_path)).select("vec_id", "percent").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
