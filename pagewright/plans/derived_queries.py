@@ -120,8 +120,8 @@ _SIDES = ", ".join(f"floor(embedding[{i}] * 2000) AS s{i}" for i in (1, 2, 3, 4)
     """,
 )
 def point_boxes(spark, sf_dir):
-    """Components as the corners of boxes on pages of 100 by 200."""
-    points = F.transform(F.slice("embedding", 1, 4), lambda v: F.floor(v.cast("double") * 2000).cast("double"))
+    """Components as the corners of boxes on pages of 100 by 200; multiplied in single precision, as they are stored."""
+    points = F.transform(F.slice("embedding", 1, 4), lambda v: F.floor(v * F.lit(2000).cast("float")).cast("double"))
     rows = table(spark, sf_dir, "embeddings").filter("embedding IS NOT NULL").select("vec_id", points.alias("p")).filter(F.array_max(F.transform("p", F.abs)) > 1.5)
     return rows.select("vec_id", R.point_box(F.col("p"), F.lit(100), F.lit(200)).alias("box"))
 
