@@ -100,7 +100,7 @@ def light_batches(spark, sf_dir):
 POLYGONS = Fixture(
     "case_id long, xs array<double>, ys array<double>, width double, height double",
     ((1, (3.0, 9.5, 8.0, 2.0), (4.0, 4.5, 11.0, 10.0), 5.0, 50.0), (2, (-1.0, 0.0), (7.0, 2.0), 10.0, 3.0), (3, (5.0, 5.0, 5.0), (6.0, 6.0, 6.0), 5.0, 6.0)),
-    "SELECT vec_id AS case_id, @array(floor(@at(embedding, 1) * 1000), floor(@at(embedding, 2) * 1000), floor(@at(embedding, 3) * 1000)) AS xs, @array(floor(@at(embedding, 4) * 1000), floor(@at(embedding, 5) * 1000), floor(@at(embedding, 6) * 1000)) AS ys, 50 AS width, 40 AS height FROM {embeddings} WHERE embedding IS NOT NULL",
+    "SELECT vec_id AS case_id, @array(floor(@at(embedding, 1) * 1000@single), floor(@at(embedding, 2) * 1000@single), floor(@at(embedding, 3) * 1000@single)) AS xs, @array(floor(@at(embedding, 4) * 1000@single), floor(@at(embedding, 5) * 1000@single), floor(@at(embedding, 6) * 1000@single)) AS ys, 50 AS width, 40 AS height FROM {embeddings} WHERE embedding IS NOT NULL",
 )
 
 

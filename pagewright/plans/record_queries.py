@@ -196,7 +196,7 @@ MEASURED = Fixture(
     "case_id long, p string, b array<double>, w int, h int",
     ((1, "HPD-parsing", (1.0, 2.0, 900.0, 1000.0), 800, 600), (2, "other", (1.0, 2.0, 3.0, 4.0), 800, 600), (3, "unlimited-ocr", (1.0, 2.0, 3.0, 4.0), 1024, 1024), (4, "unlimited-ocr", (1.0, 2.0, 3.0, 4.0), 1024, 768),
      (5, "x", (1.0, 2.0, 3.0, 4.0), 0, 9), (6, "hpd-parsing", (1.0, -1001.0, 3.0, 4.0), 80, 90), (7, "hpd-parsing", (1.0, 2.0), 80, 90)),
-    "SELECT vec_id AS case_id, CASE vec_id % 3 WHEN 0 THEN 'HPD-parsing' WHEN 1 THEN 'other' ELSE 'unlimited-ocr' END AS p, @array(floor(abs(@at(embedding, 1)) * 4000), floor(abs(@at(embedding, 2)) * 4000), floor(abs(@at(embedding, 3)) * 4000), floor(abs(@at(embedding, 4)) * 4000)) AS b, CASE WHEN vec_id % 5 > 0 THEN 800 ELSE 1024 END AS w, CASE WHEN vec_id % 5 > 0 THEN 600 ELSE 1024 END AS h FROM {embeddings} WHERE embedding IS NOT NULL",
+    "SELECT vec_id AS case_id, CASE vec_id % 3 WHEN 0 THEN 'HPD-parsing' WHEN 1 THEN 'other' ELSE 'unlimited-ocr' END AS p, @array(floor(abs(@at(embedding, 1)) * 4000@single), floor(abs(@at(embedding, 2)) * 4000@single), floor(abs(@at(embedding, 3)) * 4000@single), floor(abs(@at(embedding, 4)) * 4000@single)) AS b, CASE WHEN vec_id % 5 > 0 THEN 800 ELSE 1024 END AS w, CASE WHEN vec_id % 5 > 0 THEN 600 ELSE 1024 END AS h FROM {embeddings} WHERE embedding IS NOT NULL",
 )
 
 

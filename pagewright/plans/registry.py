@@ -57,7 +57,7 @@ def _literal(value) -> str:
 #: All fixtures, and whether they give their literal rows where they could derive them; tests set that.
 FIXTURES: list[Fixture] = []
 LITERAL = False
-_SPARK, _DUCKDB = {"@array": "array", "@at": "element_at"}, {"@array": "list_value", "@at": "list_extract"}
+_SPARK, _DUCKDB = {"@array": "array", "@at": "element_at", "@single": "F"}, {"@array": "list_value", "@at": "list_extract", "@single": ""}
 
 
 def _spelled(text: str, names: dict[str, str]) -> str:
@@ -70,7 +70,8 @@ def _spelled(text: str, names: dict[str, str]) -> str:
 class Fixture:
     """Inputs of a rule: rows that ``given`` derives from tables, in SQL that both engines read, and literal ones for tests.
 
-    ``given`` names tables in braces, and ``@array`` and ``@at`` where the engines have different names.
+    ``given`` names tables in braces, and ``@array`` and ``@at`` where the engines have different names. ``@single`` behind a
+    whole number has Spark multiply floats by it in single precision, as DuckDB does.
     """
 
     columns: str

@@ -388,7 +388,7 @@ BOXES = Fixture(
         (1, (100.0, 200.0, 300.5, 400.2), 1000, 2000), (2, (0.0, 0.0, 1200.0, 900.0), 800, 600), (3, (500.0, 500.0, 400.0, 600.0), 1000, 1000), (4, (2.5, 2.5, 7.5, 7.5), 1000, 1000),
         (5, (100.0, 300.0, 500.0, 900.0), 2000, 2000), (6, (-5.0, -5.0, 10.0, 10.0), 100, 100), (7, (float("inf"), 1.0, 2.0, 3.0), 100, 100), (8, (10.0, 10.0, 3000.0, 2500.0), 1500, 1250), (9, (1.0, 2.0), 10, 10),
     ),
-    "SELECT vec_id AS case_id, @array(floor(@at(embedding, 1) * 1000) / 2, floor(@at(embedding, 2) * 1000) / 2, floor(@at(embedding, 3) * 1000) / 2, floor(@at(embedding, 4) * 1000) / 2) AS box, 800 + vec_id % 7 * 100 AS width, 2000 AS height FROM {embeddings} WHERE embedding IS NOT NULL",
+    "SELECT vec_id AS case_id, @array(floor(@at(embedding, 1) * 1000@single) / 2, floor(@at(embedding, 2) * 1000@single) / 2, floor(@at(embedding, 3) * 1000@single) / 2, floor(@at(embedding, 4) * 1000@single) / 2) AS box, 800 + vec_id % 7 * 100 AS width, 2000 AS height FROM {embeddings} WHERE embedding IS NOT NULL",
 )
 _SIDES = f"(SELECT case_id, width, height, box[1] AS x1, box[2] AS y1, box[3] AS x2, box[4] AS y2, len(box) >= 4 AND len(list_filter(box, lambda v: NOT isfinite(v))) = 0 AS ok FROM {BOXES.sql()})"
 
@@ -439,7 +439,7 @@ def bbox_scale(spark, sf_dir):
     return out.select("case_id", pixels.alias("p")).filter("p IS NOT NULL").select("case_id", F.array_join("p", ",").alias("pixels"))
 
 
-PROGRESS = Fixture("case_id long, box array<double>, height int", ((1, (0.0, 0.0, 5.0, 500.0), 1000), (2, (0.0, 900.0, 1.0, 1500.0), 1000), (3, (0.0, -50.0, 1.0, 10.0), 100)), "SELECT vec_id AS case_id, @array(0.0, floor(@at(embedding, 2) * 1000), 1.0, floor(@at(embedding, 4) * 9000)) AS box, 1000 AS height FROM {embeddings} WHERE embedding IS NOT NULL")
+PROGRESS = Fixture("case_id long, box array<double>, height int", ((1, (0.0, 0.0, 5.0, 500.0), 1000), (2, (0.0, 900.0, 1.0, 1500.0), 1000), (3, (0.0, -50.0, 1.0, 10.0), 100)), "SELECT vec_id AS case_id, @array(0.0, floor(@at(embedding, 2) * 1000@single), 1.0, floor(@at(embedding, 4) * 9000@single)) AS box, 1000 AS height FROM {embeddings} WHERE embedding IS NOT NULL")
 
 
 @query("vertical_progress", f"SELECT case_id, least(greatest((box[2] + box[4]) / 2 / greatest(height, 1), 0), 1)::DOUBLE AS progress FROM {PROGRESS.sql()}")

@@ -312,3 +312,19 @@ def test_percent_boxes_are_those_of_the_sql(spark, tmp_path):
     want = duck.execute(f"SELECT vec_id, percent FROM ({plans.oracle_sql()['record_structs']})").fetchall()
     got = plans.queries()["record_structs"](spark, str(tmp_path)).select("vec_id", "percent").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["bbox_pixels", "coordinate_bounds", "point_boxes", "polygon_boxes", "vertical_progress"])
+def test_single_precision_of_components(spark, tmp_path, name):
+    import duckdb
+
+    from pagewright import plans
+
+    values = [-0.14100000262, 0.14399999380, -0.15800000727, -0.32800000906, -0.18400000035, 0.21199999749, 0.16099999845, 0.09749999642, 0.42849999666]
+    rows = [(i, [values[(i + k) % len(values)] for k in range(6)]) for i in range(len(values))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    found = duck.execute(plans.oracle_sql()[name])
+    want = sorted(map(repr, found.fetchall()))
+    assert sorted(repr(tuple(r)) for r in plans.queries()[name](spark, str(tmp_path)).select(*[d[0] for d in found.description]).collect()) == want
