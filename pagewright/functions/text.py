@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,8 +20,17 @@ PAGE_CAPTIONS = ("image_caption", "figure_caption", "figure_title")
 PAGE_REFERENCES = ("reference", "reference_content", "reference_text", "ref_text")
 
 
+#: What (?U)\s matches.
+SPACE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+    return F.trim(c, F.lit(SPACE))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def replaced(c: Column, *pairs: tuple[str, str]) -> Column:
@@ -46,10 +57,14 @@ def compact(c: Column) -> Column:
 def prose(c: Column) -> Column:
     """Hyphens at line ends joined, blank lines off; a list keeps its lines, all else becomes one."""
     text = F.regexp_replace(strip(normalize_newlines(c)), r"(?U)(?<=[A-Za-z])-\s*\n\s*(?=[a-z])", "")
-    lines = F.transform(F.filter(F.split(text, "\n"), lambda x: strip(x) != ""), lambda x: strip(F.regexp_replace(x, "[ \t]+", " ")))
-    listed = F.forall(lines, lambda x: x.rlike(r"(?U)^(?:[-*+]\s+|\d+[.)]\s+)"))
-    joined = strip(F.regexp_replace(F.array_join(lines, " "), r"(?U)\s+", " "))
-    return F.when(F.size(lines) == 0, "").when(listed, F.array_join(lines, "\n")).otherwise(joined)
+    split = F.split(F.regexp_replace(text, "[ \t]{2,}|\t", " "), "\n")
+
+    def told(lines: Column) -> Column:
+        listed = F.forall(lines, lambda x: x.rlike(r"(?U)^(?:[-*+]\s+|\d+[.)]\s+)"))
+        joined = strip(F.regexp_replace(F.array_join(lines, " "), r"(?U)\s{2,}|[^\S ]", " "))
+        return F.when(F.size(lines) == 0, "").when(listed, F.array_join(lines, "\n")).otherwise(joined)
+
+    return let(F.filter(F.transform(split, strip), lambda x: x != ""), told)
 
 
 def heading_level(kind: Column, text: Column) -> Column:
@@ -80,31 +95,40 @@ def display_formula(c: Column) -> Column:
 
 
 def reference_entry(c: Column) -> Column:
-    text = prose(c)
-    number, rest = F.regexp_extract(text, r"(?sU)^\[(\d+)\]\s*(.*)", 1), F.regexp_extract(text, r"(?sU)^\[(\d+)\]\s*(.*)", 2)
-    return F.when(number != "", F.concat(number, F.lit(". "), strip(rest))).otherwise(F.concat(F.lit("- "), text))
+
+    def entry(text: Column) -> Column:
+        number, rest = F.regexp_extract(text, r"(?sU)^\[(\d+)\]\s*(.*)", 1), F.regexp_extract(text, r"(?sU)^\[(\d+)\]\s*(.*)", 2)
+        return F.when(number != "", F.concat(number, F.lit(". "), strip(rest))).otherwise(F.concat(F.lit("- "), text))
+
+    return let(prose(c), entry)
 
 
 def heading(kind: Column, text: Column) -> Column:
     """A title with as many hashes as it brings, or as its level has."""
     hashes = F.regexp_extract(strip(text), r"(?U)^(#{1,6})\s+", 1)
-    title = prose(F.regexp_replace(text, r"(?U)^#{1,6}\s*", ""))
-    level = F.when(hashes != "", F.length(hashes)).otherwise(heading_level(kind, title))
-    return F.when(title != "", F.concat(F.repeat(F.lit("#"), level), F.lit(" "), title)).otherwise("")
+
+    def titled(title: Column) -> Column:
+        level = F.when(hashes != "", F.length(hashes)).otherwise(heading_level(kind, title))
+        return F.when(title != "", F.concat(F.repeat(F.lit("#"), level), F.lit(" "), title)).otherwise("")
+
+    return let(prose(F.regexp_replace(text, r"(?U)^#{1,6}\s*", "")), titled)
 
 
 def marked(text: Column, mark: str) -> Column:
     """Prose between marks; nothing for nothing."""
-    body = prose(text)
-    return F.when(body != "", F.concat(F.lit(mark), body, F.lit(mark))).otherwise("")
+    return let(prose(text), lambda body: F.when(body != "", F.concat(F.lit(mark), body, F.lit(mark))).otherwise(""))
 
 
 def paragraph(text: Column) -> Column:
     """Prose, with what leads into an abstract or into keywords as a heading, and one sign for items."""
-    body, lead = prose(text), r"(?isU)^(abstract|摘要|index terms|keywords|关键词)\s*[—–:-]\s*(.+)$"
-    section = F.regexp_extract(body, lead, 1)
-    titled = F.concat(F.lit("## "), F.initcap(section), F.lit("\n\n"), strip(F.regexp_extract(body, lead, 2)))
-    return F.when(section != "", titled).otherwise(F.regexp_replace(body, r"(?U)^[-*+]\s+", "- "))
+    lead = r"(?isU)^(abstract|摘要|index terms|keywords|关键词)\s*[—–:-]\s*(.+)$"
+
+    def led(body: Column) -> Column:
+        section = F.regexp_extract(body, lead, 1)
+        titled = F.concat(F.lit("## "), F.initcap(section), F.lit("\n\n"), strip(F.regexp_extract(body, lead, 2)))
+        return F.when(section != "", titled).otherwise(F.regexp_replace(body, r"(?U)^[-*+]\s+", "- "))
+
+    return let(prose(text), led)
 
 
 def page_block(kind: Column, text: Column, tabled: Column | None = None) -> Column:
@@ -148,9 +172,8 @@ def anchor_words(c: Column) -> Column:
 
 def match_text(c: Column) -> Column:
     """What two renderings of a text have in common: no dollar signs, commands or punctuation."""
-    bare = F.regexp_replace(F.regexp_replace(c, r"\$+", " "), r"\\[a-zA-Z]+", " ")
-    bare = F.regexp_replace(bare, "[{}^_`~|()\\[\\]<>#*_.,:;'\"!?，。；：！？、]", " ")
-    return F.lower(strip(F.regexp_replace(bare, r"(?U)\s+", " ")))
+    bare = F.when(F.contains(c, F.lit("\\")), F.regexp_replace(c, r"\\[a-zA-Z]+", " ")).otherwise(c)
+    return F.lower(strip(F.regexp_replace(bare, "(?U)[\\s$\\{}^_`~|()\\[\\]<>#*.,:;'\"!?，。；：！？、]+", " ")))
 
 
 def match_score(element: Column, block: Column) -> Column:

@@ -328,3 +328,30 @@ def test_single_precision_of_components(spark, tmp_path, name):
     found = duck.execute(plans.oracle_sql()[name])
     want = sorted(map(repr, found.fetchall()))
     assert sorted(repr(tuple(r)) for r in plans.queries()[name](spark, str(tmp_path)).select(*[d[0] for d in found.description]).collect()) == want
+
+
+def test_blocks_compute_their_prose_once(spark):
+    from pagewright.functions import text as T
+
+    plan = spark.range(1).select(T.page_block(F.lit("text"), F.col("id").cast("string")).alias("m"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("split(") <= 5  # one for each kind with prose
+
+
+def test_links_read_a_text_at_most_twice(spark):
+    from pagewright.functions import text as T
+
+    frame = spark.createDataFrame([("$$a  \\alpha\u2003B_c.$\\$x", "a b c \\ x"), ("\\x$y", "y"), (" \xa0A ", "a")], "t string, want string")
+    out = frame.select("want", T.match_text(F.col("t")).alias("got"))
+    assert [r.got for r in out.collect()] == [r.want for r in out.collect()]
+    assert out._jdf.queryExecution().analyzed().toString().count("regexp_replace(") <= 2
+
+
+def test_tails_go_to_python_in_small_batches(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    texts = [(1, "x" * 900 + "abcdefg" * 40), (2, "short"), (3, None), *((k, "y" * 799 + f"{k:010d}" * 30) for k in range(4, 400))]
+    try:
+        out = repetition.without_repeated_tail(spark.createDataFrame(texts, "k long, text string"), "k", F.col("text"))
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+        assert {r.k: r.text for r in out.collect()} == {k: t and repetition.tail_unit(t) for k, t in texts}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
