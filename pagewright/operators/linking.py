@@ -62,11 +62,28 @@ class Linker:
         self.cursor, self.blocks = 0, []
 
     def link(self, text: str) -> tuple[int, float] | None:
-        best = None
+        best, words, least = None, None, LEAST
         for at in range(max(0, self.cursor - BACK), min(len(self.blocks), self.cursor + AHEAD)):
-            value = score(text, self.blocks[at][1])
+            block = self.blocks[at][1]
+            if not block:
+                continue
+            if text in block or block in text:
+                value = score(text, block)
+            else:  # the share of words as in ``score``, left off where it can't reach what counts
+                if words is None:
+                    words = [w for w in text.split(" ") if len(w) > 2]
+                    count = len(words)
+                missing, most = 0, count - least * count + 1e-6
+                for word in words:
+                    if word not in block:
+                        missing += 1
+                        if missing > most:
+                            break
+                if not count or missing > most:
+                    continue
+                value = (count - missing) / count
             if value >= LEAST and (best is None or value > best[1]):
-                best = at, value
+                best, least = (at, value), value
             if value >= ENOUGH:
                 break
         if best is None:
