@@ -281,12 +281,22 @@ def tail_unit(text: str, least_text: int = 800, longest_unit: int = 200, least_c
     return text
 
 
+#: Bytes of a batch of texts that goes to Python, about, and rows of it that are Python's texts at once.
+BATCH_BYTES, SLICE = 4 << 20, 128
+
+
 def without_repeated_tail(docs: DataFrame, key: str, text: Column) -> DataFrame:
-    """``key, text``; only texts long enough go to Python, in one scan."""
+    """``key, text``; only texts long enough go to Python, in one scan.
+
+    Batches are cut by bytes and turned into Python's texts a slice at a time, so a worker's memory follows neither the
+    rows of a task nor the length of texts.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     @F.arrow_udf("string")
     def cut(texts: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else tail_unit(x) for x in texts.to_pylist()], pa.string())
+        parts = [texts.slice(at, SLICE) for at in range(0, len(texts), SLICE)]
+        return pa.concat_arrays([pa.array([None if x is None else tail_unit(x) for x in part.to_pylist()], pa.string()) for part in parts] or [texts])
 
     long = F.length(text) >= 800
     return docs.select(key, F.when(long, cut(F.when(long, text))).otherwise(text).alias("text"))
